@@ -19,7 +19,7 @@ CORE = 0.75
 LEAST_CELL = 80
 STEPS = 6
 #: A document goes if its squared distance exceeds so many times the cell's median squared distance (and so many units).
-FAR, FAR_UNITS = 14.0, 60.0
+FAR, FAR_UNITS = 14.0, 7.0 * 6
 
 #: Standard deviation of each transformed statistic below which a difference isn't worth a remark.
 FLOORS = {"x_words": 0.5, "x_length": 0.06, "x_symbols": 0.5, "x_lines": 0.1, "x_repeats": 0.1, "x_variety": 0.02}
