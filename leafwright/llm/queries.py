@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language_id, near_dedup, packing, quality, secret_scan, sharding, url_filter
+from . import ann, bpe, language_id, line_dedup, near_dedup, packing, quality, secret_scan, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +51,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.deduplicated(table(spark, sf_dir, "documents"), counts=True)
+    return cleaned.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_near_dedup, op3_bpe, op4_quality, op5_ann, op6_url_filter, op7_secret_scan, op8_language_id, op10_sharding)
+    own = (op1_packing, op2_near_dedup, op3_bpe, op4_quality, op5_ann, op6_url_filter, op7_secret_scan, op8_language_id, op9_line_dedup, op10_sharding)
     return {f.__name__: f for f in own}
 
 
