@@ -123,62 +123,72 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(sorted((r.lang, r.text) for r in texts.select("lang", "text").toLocalIterator()))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, words_a_time: int = 400_000) -> DataFrame:
+class Predictor:
+    """Predicts texts of one task; words are weighed once while among the last million."""
+
+    def __init__(self, model: Model, words_a_time: int = 400_000) -> None:
+        self.model, self.words_a_time = model, words_a_time
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(model.langs)), np.float32)
+
+    def _settle(self, pending: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+            self.rows = self.rows[:0]
+        new = list(set().union(*pending).difference(self.known))
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.rows = np.concatenate([self.rows, self.model.words(new)])
+        lengths = np.fromiter(map(len, pending), np.int64, len(pending))
+        codes = np.fromiter((self.known[w] for own in pending for w in own), np.int64, int(lengths.sum()))
+        share, size, _ = mixtures(self.rows[codes], lengths)
+        return share, size
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, their proportions, and the sizes of the chosen sets."""
+        langs, scores, sizes = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+        at, pending, n = [], [], 0
+        for i, text in enumerate(texts):
+            if text and self.model.langs and next(filter(str.isalpha, text), None):
+                at.append(i)
+                pending.append(text.lower().split())
+                n += len(pending[-1])
+            if pending and (n > self.words_a_time or i == len(texts) - 1):
+                for j, s, k in zip(at, *self._settle(pending)):
+                    best = int(s.argmax())
+                    langs[j], scores[j], sizes[j] = self.model.langs[best], min(1.0, float(s[best])), k
+                at, pending, n = [], [], 0
+        return langs, scores, sizes
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Predicts the language of every whole text from the text alone.
 
-    Returns ``(id, lang_pred, score, n_langs, *keep)``: the language with the largest proportion of the chosen set, that
+    Returns ``(id, lang_pred, score, n_langs)``: the language with the largest proportion of the chosen set, that
     proportion, and the set's size. ``und`` with score 0 if the text is null, holds no letter, or nothing was learned. One row
-    out for each row in. Words are weighed once per task while among the last million.
+    out for each row in; ids may repeat or be null.
     """
-    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        rows = np.zeros((0, len(model.langs)), np.float32)
+        predictor = Predictor(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            langs, scores, sizes = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
-            at, pending, n = [], [], 0
-
-            def settle() -> None:
-                nonlocal rows
-                if not at:
-                    return
-                if len(known) > 1_000_000:
-                    known.clear()
-                    rows = rows[:0]
-                new: dict[str, None] = {}
-                for own in pending:
-                    new.update(dict.fromkeys(w for w in own if w not in known))
-                if new:
-                    fresh = list(new)
-                    for w in fresh:
-                        known[w] = len(known)
-                    rows = np.concatenate([rows, model.words(fresh)])
-                lengths = np.fromiter(map(len, pending), np.int64, len(pending))
-                codes = np.fromiter((known[w] for own in pending for w in own), np.int64, int(lengths.sum()))
-                share, size, _ = mixtures(rows[codes], lengths)
-                for i, s, k in zip(at, share, size):
-                    best = int(s.argmax())
-                    langs[i], scores[i], sizes[i] = model.langs[best], min(1.0, float(s[best])), k
-
-            for i, text in enumerate(texts):
-                if text and model.langs and next(filter(str.isalpha, text), None):
-                    own = text.lower().split()
-                    at.append(i)
-                    pending.append(own)
-                    n += len(own)
-                    if n > words_a_time:
-                        settle()
-                        at, pending, n = [], [], 0
-            settle()
-            found = [pa.array(langs), pa.array(scores), pa.array(sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *(batch.column(2 + i) for i in range(len(keep)))], names=["id", "lang_pred", "score", "n_langs", *(f"k{i}" for i in range(len(keep)))])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
-    kinds = dict(rows.dtypes)
-    schema = f"id {kinds['id']}, lang_pred string, score double, n_langs int" + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(keep)))
-    return rows.mapInArrow(run, schema).toDF(id_col, "lang_pred", "score", "n_langs", *keep)
+            langs, scores, sizes = predictor.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(sizes)], names=["id", "lang_pred", "score", "n_langs"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double, n_langs int").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: null texts, texts without a letter, and mixtures in which no language has ``least`` of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(model)
+        for batch in batches:
+            langs, scores, _ = predictor.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
