@@ -22,7 +22,7 @@ STEPS = 6
 FAR, FAR_UNITS = 14.0, 7.0 * 6
 
 #: Standard deviation of each transformed statistic below which a difference isn't worth a remark.
-FLOORS = {"x_words": 0.5, "x_length": 0.06, "x_symbols": 0.5, "x_lines": 0.1, "x_repeats": 0.1, "x_variety": 0.02}
+FLOORS = {"x_words": 1.5, "x_length": 0.06, "x_symbols": 0.5, "x_lines": 0.1, "x_repeats": 0.1, "x_variety": 0.02}
 DIMS = tuple(FLOORS)
 
 
@@ -60,17 +60,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+#: Words of the usual length, without symbols or repeats, that each text counts as having besides its own, so that a short one isn't odd by chance.
+PRIOR_WORDS, PRIOR_CHARS = 30, 150
+
+
 def vector() -> list[Column]:
     """Transformed statistics: logarithms of sizes, arcsine roots of shares."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    words = F.col("n_words") + PRIOR_WORDS
     share = lambda a, b: F.asin(F.sqrt(F.least(F.lit(1.0), F.col(a) / b)))
     return [
         F.log(words).alias("x_words"),
-        F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words).alias("x_length"),
-        F.asinh(100 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("x_symbols"),
-        share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))).alias("x_lines"),
+        F.log((F.col("word_chars") + PRIOR_CHARS) / words).alias("x_length"),
+        F.asinh(100 * F.col("n_symbols") / (F.col("word_chars") + PRIOR_CHARS)).alias("x_symbols"),
+        share("n_dup_lines", F.col("n_lines") + 3).alias("x_lines"),
         share("n_repeat_words", words).alias("x_repeats"),
-        (F.log(F.greatest(F.col("n_distinct"), F.lit(1)) + 1) / F.log(words + 1)).alias("x_variety"),
+        (F.log(F.col("n_distinct") + PRIOR_WORDS) / F.log(words)).alias("x_variety"),
     ]
 
 
