@@ -11,7 +11,11 @@ from .graph import bucket_pairs, components
 SIMILARITY = 0.8
 #: Characters of a shingle when similarity is computed; of one that signatures are made from, which starts at a word.
 SHINGLE, ANCHORED = 5, 8
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 12, 3
+#: Least number of equal samples of a pair that is verified; of lines at the limit about one in a thousand has fewer.
+LEAST_EQUAL = 15
+#: Lines of fewer characters get a second signature from all their shingles, since few start at words.
+SHORT = 150
 #: XORed to a shingle's hash, one for each sample, so that each orders the shingles anew.
 SEEDS = tuple((0x9E3779B1 * (2 * k + 1) ^ 0x85EBCA6B * (k + 3)) % (1 << 32) - (1 << 31) for k in range(BANDS * ROWS))
 
@@ -27,10 +31,19 @@ def anchored(line: str | Column) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!{_WORD})(?=({_WORD}.{{0,{ANCHORED - 1}}}))"), 1)
 
 
+def _runs(line: str | Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)
+
+
 def shingle_set(line: str | Column) -> Column:
     """Hashes of all distinct runs of ``SHINGLE`` characters; of the whole line if it is shorter."""
-    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)
-    return F.array_distinct(F.transform(F.when(F.char_length(line) >= SHINGLE, runs).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(F.when(F.char_length(line) >= SHINGLE, _runs(line)).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
+
+
+def drawn_shingles(line: str | Column) -> Column:
+    """What signatures are made from; those of the second signature begin with a newline."""
+    every = F.transform(_runs(line), lambda x: F.concat(F.lit("\n"), x))
+    return F.when(F.char_length(line) < SHORT, F.concat(anchored(line), every)).otherwise(anchored(line))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -44,19 +57,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shuffle, so neither long lines nor frequent ones gather anywhere; the text of lines is read again only for candidates.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("key"), "text")
-    # Some sources are read in few tasks; lines are dealt as they come.
     lines = base.select("id", "key", F.posexplode(_lines("text")).alias("nr", "line")).where(F.col("line").rlike(_WORD)).withColumn("node", F.xxhash64("line"))
     places = written(lines.select("id", "key", "nr", "node"), "places")
 
-    drawn = lines.select("node", F.explode(anchored("line")).alias("shingle")).select("node", F.hash("shingle").alias("h"))
-    mins = drawn.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s).cast("int"))).alias(f"m{k}") for k, s in enumerate(SEEDS)))
-    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    pairs = written(bucket_pairs(mins.select("node", F.explode(keys).alias("key")).select("key", F.col("node").alias("id")), "line-buckets"), "line-pairs")
+    drawn = lines.select("node", F.explode(drawn_shingles("line")).alias("shingle")).select("node", F.startswith("shingle", F.lit("\n")).alias("kind"), F.hash("shingle").alias("h"))
+    mins = drawn.groupBy("node", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s).cast("int"))).alias(f"m{k}") for k, s in enumerate(SEEDS)))
+    signed = written(mins.select("node", "kind", F.array(*(f"m{k}" for k in range(len(SEEDS)))).alias("sign")), "line-signs")
+    keys = F.array(*(F.xxhash64(F.lit(b), "kind", *(F.get("sign", F.lit(b * ROWS + r)) for r in range(ROWS))) for b in range(BANDS)))
+    pairs = bucket_pairs(signed.select(F.explode(keys).alias("key"), F.col("node").alias("id")), "line-buckets")
+    beside = pairs.join(signed.toDF("a", "kind", "x"), "a").join(signed.toDF("b", "kind", "y"), ["b", "kind"])
+    equal = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda same: same))
+    pairs = written(beside.where(equal >= LEAST_EQUAL).select("a", "b").distinct(), "line-pairs")
 
     ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
-    sets = lines.select("node", "line").join(small(ends), "node", "left_semi").dropDuplicates(["node"]).select("node", shingle_set("line").alias("set"))
-    sets = written(sets, "line-sets")
-    compared = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    texts = written(lines.select("node", "line").join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+    compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingle_set("x").alias("x"), shingle_set("y").alias("y"))
+    compared = compared.withColumn("both", F.size(F.array_intersect("x", "y")))
     edges = compared.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
     united = written(components(edges), "line-united").withColumnRenamed("id", "node")
 
