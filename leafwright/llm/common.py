@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows up to which a *counted* table may be broadcast (about 64 MB of narrow rows).
 BROADCAST_ROWS = 500_000
 
@@ -29,7 +30,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    rows = spark.conf.get(_ARROW_ROWS, None)
+    spark.conf.set(_ARROW_ROWS, "1000")  # whole texts and shingle sets are large rows; Python workers hold a few batches
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, rows) if rows is not None else spark.conf.unset(_ARROW_ROWS)
     return spark.read.schema(df.schema).parquet(path)
 
 
