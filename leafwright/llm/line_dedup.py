@@ -9,15 +9,19 @@ from .common import small, text_of, written
 from .graph import bucket_pairs, components
 
 SIMILARITY = 0.8
-#: Characters of a shingle when similarity is computed; of one that signatures are made from, which starts at a word.
-SHINGLE, ANCHORED = 5, 8
-BANDS, ROWS = 12, 3
-#: Least number of equal samples of a pair that is verified; of lines at the limit about one in a thousand has fewer.
-LEAST_EQUAL = 15
-#: Lines of fewer characters get a second signature from all their shingles, since few start at words.
-SHORT = 150
-#: XORed to a shingle's hash, one for each sample, so that each orders the shingles anew.
-SEEDS = tuple((0x9E3779B1 * (2 * k + 1) ^ 0x85EBCA6B * (k + 3)) % (1 << 32) - (1 << 31) for k in range(BANDS * ROWS))
+#: Characters of a shingle when similarity is computed.
+SHINGLE = 5
+#: Signatures are made from the characters that follow each word's start: so many of them that lines that share one by chance
+#: are few, and a band of one sample does. A line with one word in ninety characters changed keeps about half of them.
+ANCHORED, SAMPLES = 24, 10
+#: Shorter lines have too few of those; they get a second signature from all their shingles, in bands of more samples.
+SHORT, BANDS, ROWS = 100, 8, 3
+
+
+def _seeds(n: int) -> tuple[int, ...]:
+    """XORed to a shingle's hash, one for each sample, so that each orders the shingles anew."""
+    return tuple((0x9E3779B1 * (2 * k + 1) ^ 0x85EBCA6B * (k + 3)) % (1 << 32) - (1 << 31) for k in range(n))
+
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -40,10 +44,13 @@ def shingle_set(line: str | Column) -> Column:
     return F.array_distinct(F.transform(F.when(F.char_length(line) >= SHINGLE, _runs(line)).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
 
 
-def drawn_shingles(line: str | Column) -> Column:
-    """What signatures are made from; those of the second signature begin with a newline."""
-    every = F.transform(_runs(line), lambda x: F.concat(F.lit("\n"), x))
-    return F.when(F.char_length(line) < SHORT, F.concat(anchored(line), every)).otherwise(anchored(line))
+def _buckets(shingles: DataFrame, bands: int, rows: int, family: int, name: str) -> DataFrame:
+    """``(key, id)`` of the bands of each node's MinHash signature; ``shingles``: ``(node, shingle)``, one row each."""
+    drawn = shingles.select("node", F.hash("shingle").alias("h"))
+    mins = drawn.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s).cast("int"))).alias(f"m{k}") for k, s in enumerate(_seeds(bands * rows))))
+    signed = written(mins.select("node", F.array(*(f"m{k}" for k in range(bands * rows))).alias("sign")), name)
+    keys = F.array(*(F.xxhash64(F.lit(family), F.lit(b), *(F.get("sign", F.lit(b * rows + r)) for r in range(rows))) for b in range(bands)))
+    return signed.select(F.explode(keys).alias("key"), F.col("node").alias("id"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -60,14 +67,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = base.select("id", "key", F.posexplode(_lines("text")).alias("nr", "line")).where(F.col("line").rlike(_WORD)).withColumn("node", F.xxhash64("line"))
     places = written(lines.select("id", "key", "nr", "node"), "places")
 
-    drawn = lines.select("node", F.explode(drawn_shingles("line")).alias("shingle")).select("node", F.startswith("shingle", F.lit("\n")).alias("kind"), F.hash("shingle").alias("h"))
-    mins = drawn.groupBy("node", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s).cast("int"))).alias(f"m{k}") for k, s in enumerate(SEEDS)))
-    signed = written(mins.select("node", "kind", F.array(*(f"m{k}" for k in range(len(SEEDS)))).alias("sign")), "line-signs")
-    keys = F.array(*(F.xxhash64(F.lit(b), "kind", *(F.get("sign", F.lit(b * ROWS + r)) for r in range(ROWS))) for b in range(BANDS)))
-    pairs = bucket_pairs(signed.select(F.explode(keys).alias("key"), F.col("node").alias("id")), "line-buckets")
-    beside = pairs.join(signed.toDF("a", "kind", "x"), "a").join(signed.toDF("b", "kind", "y"), ["b", "kind"])
-    equal = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda same: same))
-    pairs = written(beside.where(equal >= LEAST_EQUAL).select("a", "b").distinct(), "line-pairs")
+    long = _buckets(lines.select("node", F.explode(anchored("line")).alias("shingle")), SAMPLES, 1, 1, "line-signs")
+    short = _buckets(lines.where(F.char_length("line") < SHORT).select("node", F.explode(_runs("line")).alias("shingle")), BANDS, ROWS, 2, "short-line-signs")
+    pairs = written(bucket_pairs(long.unionByName(short), "line-buckets"), "line-pairs")
 
     ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
     texts = written(lines.select("node", "line").join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
