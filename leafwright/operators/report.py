@@ -113,7 +113,7 @@ def heatmap_cells(confusion: DataFrame, labels: tuple[str, ...] = LABELS) -> Dat
     """Cells of the confusion heat map with row and column numbers and each row's share."""
     place = F.create_map(*(F.lit(x) for i, label in enumerate(labels) for x in (label, i)))
     total = confusion.groupBy("actual").agg(F.sum("n").alias("support"))
-    return confusion.join(total, "actual").select("actual", "predicted", F.element_at(place, "actual").alias("row"), F.element_at(place, "predicted").alias("column"), "n", F.try_divide("n", "support").alias("share"))
+    return confusion.join(total, "actual").select("actual", "predicted", F.element_at(place, F.col("actual")).alias("row"), F.element_at(place, F.col("predicted")).alias("column"), "n", F.try_divide("n", "support").alias("share"))
 
 
 def zero_support_note(metrics: list[dict]) -> str | None:
