@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, written
+
 #: Labelled documents per language that a model is fitted on at most.
 TRAIN_DOCS = 600
 UNDETERMINED = "und"
@@ -110,14 +112,20 @@ def mixtures(like: np.ndarray, lengths: np.ndarray, steps: int = 12, most: int =
     return share, size, value
 
 
+_UNITS = 1 << 30
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> Model:
     """Fits a model on at most ``per_lang`` labelled documents a language, those with the smallest hashes of their ids.
 
     Null languages, texts and ids aren't used. The sample is picked from ids alone; only the picked texts are read out.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= per_lang).drop("nr")
+    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(_UNITS)).alias("h"))
+    # Hashes are even, so those below a threshold are some three times per_lang ids of each language, however many it has.
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    near = ids.join(small(written(counts, "languages")), "lang").where(F.col("h") * F.col("n") < F.lit(3.0 * per_lang * _UNITS))
+    picked = near.withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("nr") <= per_lang).select("id", "lang")
     # At most per_lang rows a language; a repeated id may bring its copies along.
     texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked.distinct()), ["id", "lang"], "left_semi")
     return fit(sorted((r.lang, r.text) for r in texts.select("lang", "text").toLocalIterator()))
