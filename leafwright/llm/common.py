@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows up to which a *counted* table may be broadcast (about 64 MB of narrow rows).
-BROADCAST_ROWS = 500_000
+#: Rows up to which a *counted* table may be broadcast (about 25 MB of narrow rows).
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
