@@ -11,24 +11,28 @@ from .common import small, written
 ALL_PAIRS = 12
 
 
-def bucket_pairs(rows: DataFrame, name: str, all_pairs: int = ALL_PAIRS) -> DataFrame:
+def bucket_pairs(rows: DataFrame, name: str, all_pairs: int = ALL_PAIRS, votes: int = 1) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, of ids that share a bucket; ``rows``: ``(key, id)``, each id once a bucket.
 
+    Buckets may carry a ``vote`` (1 without the column); only pairs with ``votes`` of them in sum are given.
+
     Buckets of up to ``all_pairs`` ids give all their pairs. A larger one gives a star around its centre, the id whose
     buckets are largest in sum: in a group of copies edited each in its own way that is the text that they
     were made from, which differs least from all of them, so stars of its many buckets reach every copy. Work is
     linear in ``rows``; counts and centres are aggregates, so no bucket is gathered in one task.
     """
+    rows = rows if "vote" in rows.columns else rows.withColumn("vote", F.lit(1))
     counts = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     full = written(rows.join(small(written(counts, name)), "key"), name)
-    few = full.where(F.col("m") <= all_pairs).select("key", "id")
-    near = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    few = full.where(F.col("m") <= all_pairs).select("key", "id", "vote")
+    near = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "x.vote")
     weight = full.groupBy("id").agg(F.sum("m").alias("weight"))
     many = full.where(F.col("m") > all_pairs)
-    ranked = many.join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("nid"), "id").alias("rank"))
+    ranked = many.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("nid"), "id").alias("rank"))
     centres = ranked.groupBy("key").agg(F.max("rank")["id"].alias("centre"))
-    star = many.join(small(written(centres, name)), "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    return near.unionByName(star).distinct()
+    star = many.join(small(written(centres, name)), "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), "vote")
+    both = near.unionByName(star).groupBy("a", "b").agg(F.sum("vote").alias("votes"))
+    return both.where(F.col("votes") >= votes).select("a", "b")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

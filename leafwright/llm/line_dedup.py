@@ -14,6 +14,8 @@ SHINGLE = 5
 #: Signatures are made from the characters that follow each word's start: so many of them that lines that share one by chance
 #: are few, and a band of one sample does. A line with one word in ninety characters changed keeps about half of them.
 ANCHORED, SAMPLES = 24, 10
+#: Samples that a pair must share before its texts are fetched; of lines at the limit of similarity one in a hundred shares fewer.
+LEAST_EQUAL = 2
 #: Shorter lines have too few of those; they get a second signature from all their shingles, in bands of more samples.
 SHORT, BANDS, ROWS = 100, 8, 3
 
@@ -69,7 +71,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     long = _buckets(lines.select("node", F.explode(anchored("line")).alias("shingle")), SAMPLES, 1, 1, "line-signs")
     short = _buckets(lines.where(F.char_length("line") < SHORT).select("node", F.explode(_runs("line")).alias("shingle")), BANDS, ROWS, 2, "short-line-signs")
-    pairs = written(bucket_pairs(long.unionByName(short), "line-buckets"), "line-pairs")
+    buckets = long.withColumn("vote", F.lit(1)).unionByName(short.withColumn("vote", F.lit(LEAST_EQUAL)))
+    pairs = written(bucket_pairs(buckets, "line-buckets", votes=LEAST_EQUAL), "line-pairs")
 
     ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
     texts = written(lines.select("node", "line").join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
