@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -142,7 +142,7 @@ def _planted(texts: list[str], rng: random.Random, most: int) -> list[tuple[list
     text_of_ = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
     names = ("password", "passwd", "secret", "token", "api_key", "apikey", "API_KEY", "auth_token", "client_secret", "access_key", "private_key", "pwd", "Authorization: Bearer")
     out = []
-    words = [w for t in texts for w in t.split()[:4000]] or ["text"]
+    words = [w for t in texts for w in t.split()] or ["text"]
     for _ in range(most):
         kind = rng.randrange(10)
         at = rng.randrange(len(words))
@@ -238,11 +238,20 @@ def fit(texts: list[str], planted: int = PLANTED, turns: int = 40, seed: int = 7
     return Field({f: w[i] for f, i in names.items()}, step)
 
 
+_UNITS = 1 << 30
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = SAMPLE_TEXTS) -> Field:
-    """Fits a field on at most ``texts`` texts, those with the smallest hashes of their ids, cut to whole words."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, 20_000).alias("text"))
-    sample = rows.orderBy(F.xxhash64("id"), "id", "text").limit(texts)
-    return fit([r.text for r in sample.collect()])
+    """Fits a field on at most ``texts`` distinct texts, those with the smallest hashes of id and text.
+
+    A threshold on the hashes leaves some three times as many rows, so neither tasks nor the driver see more, and only the
+    picked texts are read out.
+    """
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    near = rows.where(F.pmod("h", F.lit(_UNITS)) * F.lit(docs.count()) < F.lit(3.0 * texts * _UNITS))
+    picked = written(near.select("h").distinct().orderBy(F.pmod("h", F.lit(_UNITS)), "h").limit(texts), "picked")
+    sample = near.join(F.broadcast(picked), "h", "left_semi").dropDuplicates(["h"])
+    return fit([r.text for r in sorted(sample.collect(), key=lambda r: r.h)])
 
 
 def scan_texts(texts: list[str], field: Field, known: dict[str, int], kinds: dict[tuple, int], roles: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
