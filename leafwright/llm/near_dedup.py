@@ -47,9 +47,10 @@ def shingles(texts: list[str], size: int = SHINGLE) -> list[tuple[np.ndarray, np
     if not len(starts):
         return [none] * len(texts)
     ends = np.flatnonzero(inside & np.concatenate([space[1:], [True]])) + 1
-    place = np.arange(len(data)) - np.repeat(starts, np.diff([*starts, len(data)])) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(data)) - np.repeat(starts, np.diff([*starts, len(data)]))])
+    word = np.maximum(np.cumsum(inside & np.concatenate([[True], space[:-1]])) - 1, 0)
+    place = np.where(inside, np.arange(len(data)) - starts[word], 0)
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int((ends - starts).max()), 0x100000001B3, np.uint64)]), dtype=np.uint64)
-    value = np.where(inside, _BYTES[data] * powers[np.minimum(place, len(powers) - 1)], np.uint64(0))
+    value = np.where(inside, _BYTES[data] * powers[place], np.uint64(0))
     words = _mix(np.add.reduceat(value, starts))
     first = np.searchsorted(starts, limits)
     out = []
