@@ -25,7 +25,7 @@ def _seeds(n: int) -> tuple[int, ...]:
     return tuple((0x9E3779B1 * (2 * k + 1) ^ 0x85EBCA6B * (k + 3)) % (1 << 32) - (1 << 31) for k in range(n))
 
 
-_WORD = r"[^\x20\x09-\x0D]"
+_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 
 
 def _lines(text: str | Column) -> Column:
@@ -34,7 +34,8 @@ def _lines(text: str | Column) -> Column:
 
 def anchored(line: str | Column) -> Column:
     """The ``ANCHORED`` characters from each word's start on."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!{_WORD})(?=({_WORD}.{{0,{ANCHORED - 1}}}))"), 1)
+    # Each match takes a whole word and the gap behind it, so that the next one begins at a word.
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=({_WORD}.{{0,{ANCHORED - 1}}})){_WORD}++{_GAP}*+"), 1)
 
 
 def _runs(line: str | Column) -> Column:
