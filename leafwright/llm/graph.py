@@ -22,8 +22,10 @@ def bucket_pairs(rows: DataFrame, name: str, all_pairs: int = ALL_PAIRS, votes:
     linear in ``rows``; counts and centres are aggregates, so no bucket is gathered in one task.
     """
     rows = rows if "vote" in rows.columns else rows.withColumn("vote", F.lit(1))
-    counts = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    full = written(rows.join(small(written(counts, name)), "key"), name)
+    # Buckets of two, the most frequent ones, are told by their smallest and largest id; only larger ones fetch their members.
+    counts = written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("vote").alias("vote")).where("m > 1"), name)
+    two = counts.where("m = 2").select("a", "b", "vote")
+    full = written(rows.join(small(counts.where("m > 2").select("key", "m")), "key"), name)
     few = full.where(F.col("m") <= all_pairs).select("key", "id", "vote")
     near = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "x.vote")
     weight = full.groupBy("id").agg(F.sum("m").alias("weight"))
@@ -31,7 +33,7 @@ def bucket_pairs(rows: DataFrame, name: str, all_pairs: int = ALL_PAIRS, votes:
     ranked = many.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("nid"), "id").alias("rank"))
     centres = ranked.groupBy("key").agg(F.max("rank")["id"].alias("centre"))
     star = many.join(small(written(centres, name)), "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), "vote")
-    both = near.unionByName(star).groupBy("a", "b").agg(F.sum("vote").alias("votes"))
+    both = two.unionByName(near).unionByName(star).groupBy("a", "b").agg(F.sum("vote").alias("votes"))
     return both.where(F.col("votes") >= votes).select("a", "b")
 
 
