@@ -22,6 +22,7 @@ def _pages(rows: DataFrame) -> list[Any]:
 
 def check_aligned(truth: DataFrame, predictions: DataFrame, labels: tuple[str, ...] = LABELS) -> None:
     """Raises ValueError unless both name the same pages once each, with known labels."""
+    # The messages, which callers may match.
     checks = (
         ("Duplicate page_number(s) in ground truth", truth.groupBy(*KEYS).count().where("count > 1")),
         ("Duplicate page_number(s) in predictions", predictions.groupBy(*KEYS).count().where("count > 1")),
@@ -144,7 +145,7 @@ def report_text(e: Evaluation, expand: bool = True) -> str:
     lines += _table(["doc_type", "support", "predicted", "precision", "recall", "f1"], [[m["doc_type"], str(m["support"]), str(m["predicted_count"]), *(_places(m[k]) for k in ("precision", "recall", "f1"))] for m in e.per_class])
     lines.append("")
     if unused := [m["doc_type"] for m in e.per_class if not m["support"]]:
-        lines += [f"Note: {', '.join(unused)} has support 0 in this dataset. recall/f1 are undefined (N/A), not 0.0, and excluded from macro_f1_supported.", ""]
+        lines += [f"Note: {', '.join(unused)} has support 0: no true page, so recall and F1 stay N/A and don't enter macro_f1_supported.", ""]
     lines.append("confusion matrix (rows=actual, cols=predicted):")
     lines += _table(["actual\\predicted", *labels], [[a, *(str(e.confusion_matrix[a][p]) for p in labels)] for a in labels])
     lines += ["", f"misclassified pages ({len(e.misclassified_pages)}):"]

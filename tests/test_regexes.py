@@ -47,7 +47,7 @@ def test_replacement():
     assert java_replacement(r"\1[ID]$\g<a>", {"a": 2}) == r"$1[ID]\$$2"
 
 
-def _reference_cut(text, limit):
+def _plain_cut(text, limit):
     if len(text) <= limit:
         return text
     window = text[:limit]
@@ -64,7 +64,7 @@ def test_excerpts_agree_with_a_plain_version(spark):
     texts = ["".join(r.choice("ab .\n é") for _ in range(r.randrange(60))) for _ in range(500)] + ["x" * 40, "a. " * 9, " " + "y" * 40, "z" * 10 + ". " + "z" * 20]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
     got = {r.i: r.c for r in df.select("i", t.truncated(F.col("x"), 20).alias("c")).collect()}
-    assert got == {i: _reference_cut(x, 20) for i, x in enumerate(texts)}
+    assert got == {i: _plain_cut(x, 20) for i, x in enumerate(texts)}
 
 
 POLICY = load_rules().mask
