@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -11,30 +11,45 @@ from .common import small, written
 ALL_PAIRS = 12
 
 
-def bucket_pairs(rows: DataFrame, name: str, all_pairs: int = ALL_PAIRS, votes: int = 1) -> DataFrame:
+def bucket_pairs(rows: DataFrame, name: str, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, of ids that share a bucket; ``rows``: ``(key, id)``, each id once a bucket.
 
-    Buckets may carry a ``vote`` (1 without the column); only pairs with ``votes`` of them in sum are given.
-
     Buckets of up to ``all_pairs`` ids give all their pairs. A larger one gives a star around its centre, the id whose
     buckets are largest in sum: in a group of copies edited each in its own way that is the text that they
     were made from, which differs least from all of them, so stars of its many buckets reach every copy. Work is
     linear in ``rows``; counts and centres are aggregates, so no bucket is gathered in one task.
     """
-    rows = rows if "vote" in rows.columns else rows.withColumn("vote", F.lit(1))
+    return _pairs_and_large(rows, name, all_pairs)[0]
+
+
+def _pairs_and_large(rows: DataFrame, name: str, all_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs, and the ``(key, id, m)`` of buckets that gave only a star."""
     # Buckets of two, the most frequent ones, are told by their smallest and largest id; only larger ones fetch their members.
-    counts = written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("vote").alias("vote")).where("m > 1"), name)
-    two = counts.where("m = 2").select("a", "b", "vote")
+    counts = written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("m > 1"), name)
+    two = counts.where("m = 2").select("a", "b")
     full = written(rows.join(small(counts.where("m > 2").select("key", "m")), "key"), name)
-    few = full.where(F.col("m") <= all_pairs).select("key", "id", "vote")
-    near = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "x.vote")
+    few = full.where(F.col("m") <= all_pairs).select("key", "id")
+    near = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     weight = full.groupBy("id").agg(F.sum("m").alias("weight"))
     many = full.where(F.col("m") > all_pairs)
     ranked = many.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("nid"), "id").alias("rank"))
     centres = ranked.groupBy("key").agg(F.max("rank")["id"].alias("centre"))
-    star = many.join(small(written(centres, name)), "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), "vote")
-    both = two.unionByName(near).unionByName(star).groupBy("a", "b").agg(F.sum("vote").alias("votes"))
-    return both.where(F.col("votes") >= votes).select("a", "b")
+    star = many.join(small(written(centres, name)), "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    return two.unionByName(near).unionByName(star).distinct(), many
+
+
+def agreement(x: str, y: str, samples: int) -> Column:
+    """How many of their ``samples`` two signatures share."""
+    return sum(((F.get(x, F.lit(k)) == F.get(y, F.lit(k))).cast("int") for k in range(samples)), F.lit(0))
+
+
+def agreeing(pairs: DataFrame, signs: DataFrame, samples: int, least: float, name: str) -> DataFrame:
+    """The ``pairs`` whose signatures share at least ``least`` samples; ``signs``: ``(id, sign)``."""
+    pairs = written(pairs, name)
+    ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), name)
+    own = small(written(signs.join(small(ends), "id", "left_semi"), name), 20_000)
+    beside = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    return written(beside.where(agreement("x", "y", samples) >= least).select("a", "b"), name)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

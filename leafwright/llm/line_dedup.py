@@ -6,38 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, text_of, written
-from .graph import bucket_pairs, components
+from .graph import agreeing, bucket_pairs, components
 
 SIMILARITY = 0.8
 #: Characters of a shingle when similarity is computed.
 SHINGLE = 5
-#: Signatures are made from the characters that follow each word's start: so many of them that lines that share one by chance
-#: are few, and a band of one sample does. A line with one word in ninety characters changed keeps about half of them.
-ANCHORED, SAMPLES = 24, 10
-#: Samples that a pair must share before its texts are fetched; of lines at the limit of similarity one in a hundred shares fewer.
-LEAST_EQUAL = 2
-#: Shorter lines have too few of those; they get a second signature from all their shingles, in bands of more samples.
-SHORT, BANDS, ROWS = 100, 8, 3
+#: Signatures are drawn from all shingles of a line, of whatever length or script: a pair at the limit of similarity shares
+#: no band with a probability of (1 - 0.8^5)^16 = 0.2 %, and lines that are alike by chance (0.1 at most) one in 10,000.
+BANDS, ROWS = 16, 5
+#: Samples that a pair must share before its texts are fetched; at the limit of similarity they share 64 of 80, give or take 4.
+LEAST_EQUAL = 40
 
 
 def _seeds(n: int) -> tuple[int, ...]:
-    """XORed to a shingle's hash, one for each sample, so that each orders the shingles anew."""
-    return tuple((0x9E3779B1 * (2 * k + 1) ^ 0x85EBCA6B * (k + 3)) % (1 << 32) - (1 << 31) for k in range(n))
+    """XORed to a shingle's hash, one for each band, so that each orders the shingles anew; below 2^31."""
+    return tuple((0x9E3779B1 * (2 * k + 1) ^ 0x85EBCA6B * (k + 3)) % (1 << 31) for k in range(n))
 
 
-_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _lines(text: str | Column) -> Column:
     return F.split(text, "\n")
 
 
-def anchored(line: str | Column) -> Column:
-    """The ``ANCHORED`` characters from each word's start on."""
-    # Each match takes a whole word and the gap behind it, so that the next one begins at a word.
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=({_WORD}.{{0,{ANCHORED - 1}}})){_WORD}++{_GAP}*+"), 1)
-
-
 def _runs(line: str | Column) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)
 
@@ -47,13 +39,22 @@ def shingle_set(line: str | Column) -> Column:
     return F.array_distinct(F.transform(F.when(F.char_length(line) >= SHINGLE, _runs(line)).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
 
 
-def _buckets(shingles: DataFrame, bands: int, rows: int, family: int, name: str) -> DataFrame:
-    """``(key, id)`` of the bands of each node's MinHash signature; ``shingles``: ``(node, shingle)``, one row each."""
-    drawn = shingles.select("node", F.hash("shingle").alias("h"))
-    mins = drawn.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s).cast("int"))).alias(f"m{k}") for k, s in enumerate(_seeds(bands * rows))))
-    signed = written(mins.select("node", F.array(*(f"m{k}" for k in range(bands * rows))).alias("sign")), name)
-    keys = F.array(*(F.xxhash64(F.lit(family), F.lit(b), *(F.get("sign", F.lit(b * rows + r)) for r in range(rows))) for b in range(bands)))
-    return signed.select(F.explode(keys).alias("key"), F.col("node").alias("id"))
+def signatures(lines: DataFrame, name: str) -> DataFrame:
+    """``(id, sign)``: the MinHash signature of each node, band by band; ``lines``: ``(node, line)``, which may repeat."""
+    # Four bytes a character, so that a shingle is cut out at its place without a walk through the line.
+    wide = lines.select("node", F.encode("line", "UTF-32").alias("wide"))
+    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length("wide") / 4).cast("int") - (SHINGLE - 1)))
+    hashed = wide.select("node", "wide", F.explode(spots).alias("at")).select("node", F.xxhash64(F.substring("wide", 4 * F.col("at") - 3, F.lit(4 * SHINGLE))).alias("h"))
+    # The samples of a band order by bits of their own, so that they agree independently in short lines, too.
+    parts = hashed.select("node", *(F.shiftrightunsigned("h", 8 * r).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"h{r}") for r in range(ROWS)))
+    mins = parts.groupBy("node").agg(*(F.min(F.col(f"h{r}").bitwiseXOR(F.lit(s))).alias(f"m{b}_{r}") for b, s in enumerate(_seeds(BANDS)) for r in range(ROWS)))
+    return written(mins.select(F.col("node").alias("id"), F.array(*(f"m{b}_{r}" for b in range(BANDS) for r in range(ROWS))).alias("sign")), name)
+
+
+def bands(signs: DataFrame) -> DataFrame:
+    """``(key, id)`` of the bands of each signature."""
+    keys = F.array(*(F.xxhash64(F.lit(b), *(F.get("sign", F.lit(b * ROWS + r)) for r in range(ROWS))) for b in range(BANDS)))
+    return signs.select(F.explode(keys).alias("key"), "id")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -70,10 +71,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = base.select("id", "key", F.posexplode(_lines("text")).alias("nr", "line")).where(F.col("line").rlike(_WORD)).withColumn("node", F.xxhash64("line"))
     places = written(lines.select("id", "key", "nr", "node"), "places")
 
-    long = _buckets(lines.select("node", F.explode(anchored("line")).alias("shingle")), SAMPLES, 1, 1, "line-signs")
-    short = _buckets(lines.where(F.char_length("line") < SHORT).select("node", F.explode(_runs("line")).alias("shingle")), BANDS, ROWS, 2, "short-line-signs")
-    buckets = long.withColumn("vote", F.lit(1)).unionByName(short.withColumn("vote", F.lit(LEAST_EQUAL)))
-    pairs = written(bucket_pairs(buckets, "line-buckets", votes=LEAST_EQUAL), "line-pairs")
+    signs = signatures(lines.select("node", "line"), "line-signs")
+    pairs = agreeing(bucket_pairs(bands(signs), "line-buckets"), signs, BANDS * ROWS, LEAST_EQUAL, "line-pairs")
 
     ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
     texts = written(lines.select("node", "line").join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "line-texts")

@@ -155,6 +155,19 @@ def test_fuzzy_lines_agree_with_all_pairs(spark):
     assert line_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_long_lines_need_no_white_space_and_bear_spread_edits(spark):
+    r = random.Random(21)
+    docs = []
+    for k in range(30):
+        solid = "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(600))  # no white space; one of the first characters differs
+        spread = _words(r, 90)[:500]
+        own = list(spread)
+        for i in range(11):  # eleven spread edits of one character: about 0.8
+            own[20 + 44 * i] = "Z"
+        docs.append((k, "\n".join([solid, solid[:10] + "x" + solid[11:], spread, "".join(own)])))
+    assert {x.doc_id: x.text for x in line_dedup.deduplicated(_docs(spark, docs)).collect()} == _expected_lines(docs)
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.deduplicated(_docs(spark, [(1, "a\na")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
