@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .common import small, written
 
 #: Buckets up to this size are compared pair by pair; larger ones against their centre.
 ALL_PAIRS = 12
+#: What its star leaves apart in a large bucket is compared in blocks of about so many ids against each other.
+BLOCK = 2000
 
 
 def bucket_pairs(rows: DataFrame, name: str, all_pairs: int = ALL_PAIRS) -> DataFrame:
@@ -52,6 +56,35 @@ def agreeing(pairs: DataFrame, signs: DataFrame, samples: int, least: float, nam
     return written(beside.where(agreement("x", "y", samples) >= least).select("a", "b"), name)
 
 
+def _left_pairs(many: DataFrame, united: DataFrame, signs: DataFrame, samples: int, least: float, name: str, block: int) -> DataFrame:
+    """Pairs in the large buckets ``many`` whose ends aren't connected in ``united`` yet and whose signatures share ``least`` samples."""
+    held = many.join(small(united), "id", "left").select("key", "id", "m", F.coalesce("root", "id").alias("root"))
+    parts = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    apart = written(held.join(small(written(parts, name)), "key"), name)
+    dealt = apart.withColumn("n", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = dealt.join(small(signs, 20_000), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "root", "sign")
+    met = dealt.alias("x").join(dealt.alias("y"), ["key", "low", "high"])
+    once = F.expr("x.id < y.id and x.root != y.root and (x.own != y.own or low = high)")
+    # All conditions belong to the join, so no row is made of a pair that doesn't meet them.
+    return met.where(once & (agreement("x.sign", "y.sign", samples) >= least)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def linked(rows: DataFrame, signs: DataFrame, samples: int, least: float, verify: Callable[[DataFrame], DataFrame], name: str, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
+    """``(id, root)`` of all ids that verified pairs connect, where a pair shares a bucket of ``rows (key, id)`` and ``least`` samples.
+
+    ``verify`` gives those of the pairs ``(a, b)`` that are similar. Large buckets are united by their stars first; ids
+    that are still apart in one are then compared with all others there, so no link in a bucket is lost. That is
+    linear for a group of copies, and grows with the square of a bucket whose ids aren't alike; only pairs that pass leave it.
+    """
+    pairs, many = _pairs_and_large(rows, name, all_pairs)
+    united = written(components(verify(agreeing(pairs, signs, samples, least, name))), name)
+    left = written(_left_pairs(many, united, signs, samples, least, name, block), name)
+    if left.isEmpty():
+        return united
+    return written(components(united.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(verify(left))), name)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(id, root)`` for every id in ``edges (a, b)``: the smallest id that it is connected with.
 

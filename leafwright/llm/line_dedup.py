@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, text_of, written
-from .graph import agreeing, bucket_pairs, components
+from .graph import linked
 
 SIMILARITY = 0.8
 #: Characters of a shingle when similarity is computed.
@@ -72,14 +72,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = written(lines.select("id", "key", "nr", "node"), "places")
 
     signs = signatures(lines.select("node", "line"), "line-signs")
-    pairs = agreeing(bucket_pairs(bands(signs), "line-buckets"), signs, BANDS * ROWS, LEAST_EQUAL, "line-pairs")
-
-    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
-    texts = written(lines.select("node", "line").join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-    compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingle_set("x").alias("x"), shingle_set("y").alias("y"))
-    compared = compared.withColumn("both", F.size(F.array_intersect("x", "y")))
-    edges = compared.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
-    united = written(components(edges), "line-united").withColumnRenamed("id", "node")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
+        texts = written(lines.select("node", "line").join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+        compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingle_set("x").alias("x"), shingle_set("y").alias("y"))
+        compared = compared.withColumn("both", F.size(F.array_intersect("x", "y")))
+        return compared.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+
+    united = linked(bands(signs), signs, BANDS * ROWS, LEAST_EQUAL, verify, "line-buckets").withColumnRenamed("id", "node")
 
     placed = places.join(small(united), "node", "left").select("id", "key", "nr", F.coalesce("root", "node").alias("root"))
     counts = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")

@@ -45,6 +45,35 @@ def test_pairs_of_large_buckets_reach_the_centre(spark):
     assert (7, 8) in got and len(got) < 100 and {b for a, b in got if a == 0} == set(range(1, 40))
 
 
+@pytest.mark.parametrize("block", [2000, 7])
+def test_large_buckets_keep_the_links_that_miss_the_centre(spark, block):
+    # Thirty ids in one bucket: 0 is the centre, 10 and 11, 20 and 21 are alike, all others are like none.
+    alike = {(10, 11), (20, 21), (0, 3)}
+    signs = spark.createDataFrame([(i, [1, 1, 1, 1 if i in (0, 3) else i // 2 if i >= 10 else -i]) for i in range(30)], "id long, sign array<int>")
+    rows = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 0), (2, 1), (2, 2)], "key long, id long")
+    seen = []
+
+    def verify(pairs):
+        got = {tuple(p) for p in pairs.collect()}
+        seen.append(got)
+        return spark.createDataFrame(sorted(got & alike), "a long, b long")
+
+    got = {x.id: x.root for x in graph.linked(rows, signs, 4, 4, verify, "t", block=block).collect()}
+    assert got == {0: 0, 3: 0, 10: 10, 11: 10, 20: 20, 21: 20}
+    assert seen[1] == {(i, i + 1) for i in range(10, 30, 2)}
+
+
+def test_lines_around_a_shared_passage_agree_with_all_pairs(spark):
+    r = random.Random(31)
+    passage = _words(r, 30)
+    lines = []
+    for _ in range(40):  # 0.7 of each line is a passage that all share; each has one near copy
+        own = _words(r, 13)
+        lines += [f"{passage} {own}", f"{passage} {own[:-1]}Z"]
+    docs = list(enumerate(lines))
+    assert {x.doc_id: x.text for x in line_dedup.deduplicated(_docs(spark, docs)).collect()} == _expected_lines(docs)
+
+
 def _shingle_weights(texts):
     sets = []
     for x in texts:
