@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, small, text_of, written
-from .graph import bucket_pairs, components
+from .graph import linked
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: A shingle in more than one of so many documents weighs less than others, by the logarithm of how many times more.
 RARE = 1000
-#: Least share of equal samples of a pair that is verified; a pair at the limit of similarity stays below once in a million.
-LEAST_AGREEMENT = 16 / 36
+#: Least number of equal samples of a pair that is verified; a pair at the limit of similarity stays below once in a million.
+LEAST_EQUAL = 16
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
@@ -226,27 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     for r in range(ROWS):
                         key = _mix(key * _M1 + s[:, band * ROWS + r])
                     keys[:, band] = key
-                signs = [r.tobytes() for r in s.astype("<u4")]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b], pa.int64()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["node", "keys", "sign"])
+                signs = list(s.astype("<u4").view("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b], pa.int64()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int32()))], names=["node", "keys", "sign"])
                 a = b
 
-    signed = written(table.select("node", "shingles", "times").mapInArrow(sign, "node long, keys array<long>, sign binary").dropDuplicates(["node"]), "signed")
-    pairs = bucket_pairs(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id")), "buckets")
-    signs = small(signed.select("node", "sign"))
-    beside = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
+    signed = written(table.select("node", "shingles", "times").mapInArrow(sign, "node long, keys array<long>, sign array<int>").dropDuplicates(["node"]), "signed")
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(len(batch), -1) for c in ("sign_a", "sign_b"))
-            yield batch.filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)).select(["a", "b"])
-
-    pairs = written(beside.mapInArrow(agree, "a long, b long"), "pairs")
-    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-    sets = table.select("node", "shingles", "times").join(small(ends), "node", "left_semi").dropDuplicates(["node"])
-    sets = written(sets, "sets")
-    compared = pairs.join(sets.toDF("a", "xa", "ta"), "a").join(sets.toDF("b", "xb", "tb"), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for (x, n), (y, m) in zip(_blob_rows(batch, "xa", "ta"), _blob_rows(batch, "xb", "tb")):
@@ -256,9 +242,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keep.append(bool(both >= similarity * (u.sum() + v.sum() - both) * (1 - 1e-12)))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    edges = written(compared.mapInArrow(verify, "a long, b long"), "edges")
-    united = components(edges)
-    members = table.select("doc_id", "node").join(small(written(united, "united")).withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        sets = table.select("node", "shingles", "times").join(small(ends), "node", "left_semi").dropDuplicates(["node"])
+        sets = written(sets, "sets")
+        compared = pairs.join(sets.toDF("a", "xa", "ta"), "a").join(sets.toDF("b", "xb", "tb"), "b")
+        return written(compared.mapInArrow(similar, "a long, b long"), "edges")
+
+    signs = signed.select(F.col("node").alias("id"), "sign")
+    united = linked(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id")), signs, BANDS * ROWS, LEAST_EQUAL, verify, "buckets")
+    members = table.select("doc_id", "node").join(small(united).withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     members = written(members, "members")
     classes = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
     named = members.join(small(written(classes.drop("n"), "classes")), "root", "left")

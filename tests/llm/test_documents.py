@@ -115,6 +115,33 @@ def test_near_duplicates_agree_with_all_pairs(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(got.values())) and kept.columns == df.columns
 
 
+def test_a_drifting_family_agrees_with_all_pairs(spark):
+    r = random.Random(1)
+    base, texts = _words(r, 400).split(), []
+    for v in range(14):  # versions that drift, eight copies each: large buckets, of which the centre is like some only
+        for c in range(8):
+            own = list(base)
+            own[r.randrange(4, 396)] = f"own{v}x{c}"
+            texts.append(" ".join(own))
+        base = base[: 9 * v] + _words(r, 9).split() + base[9 * (v + 1) :]
+    weights, root = _shingle_weights(texts), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            u, v = weights[i], weights[j]
+            both = sum(min(u[k], v[k]) for k in u.keys() & v.keys())
+            if both >= 0.8 * (sum(u.values()) + sum(v.values()) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(_docs(spark, enumerate(texts))).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_one_of_repeated_rows_and_null_ids_stays(spark):
     df = _docs(spark, [(1, "a b c d e f")] * 3 + [(None, "a b c d e f"), (None, "x y"), (None, "x y"), (5, "z")])
     kept = sorted(((x.doc_id is None, x.doc_id or 0, x.text) for x in near_dedup.deduplicated(df).collect()))
