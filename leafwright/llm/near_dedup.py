@@ -140,7 +140,7 @@ def common_shingles(table: DataFrame, documents: int, rare: int = RARE) -> DataF
     """``(hash, n)``: exact counts of the shingles that more than one in ``rare`` documents hold.
 
     Such a shingle must pass that share in at least one task, so tasks name those that pass in theirs (never more than ``rare``
-    times an average document's shingles), and a second pass counts the named ones everywhere. Nothing else is shuffled.
+    times an average document's shingles; all of a task with fewer than ``rare`` documents), and a second pass counts the named ones everywhere. Nothing else is shuffled.
     """
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def common_shingles(table: DataFrame, documents: int, rare: int = RARE) -> DataF
             held += [x for x, _ in _blob_rows(batch, "shingles", "times")]
         if held:
             x, n = _counted(np.concatenate(held))
-            yield pa.RecordBatch.from_arrays([pa.array(x[(n > docs / rare) & (n > 1)].view(np.int64))], names=["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[n > docs / rare].view(np.int64))], names=["hash"])
 
     names = written(table.select("shingles", "times").mapInArrow(named, "hash long").distinct(), "named")
     if names.count() > 4 * BROADCAST_ROWS:  # documents of very many words in very small tasks
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = common_shingles(table, max(1, documents))
     # At most RARE times the shingles of an average document, whatever the number of documents.
     known = common.toPandas().sort_values("hash", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
-    usual = 1.0 + float(np.log(RARE))
+    usual = 1.0 + float(np.log(max(1, min(RARE, documents))))
     weigh = table.sparkSession.sparkContext.broadcast((known["hash"].to_numpy(np.int64).view(np.uint64), 1.0 + np.log(documents / np.maximum(known["n"].to_numpy(float), 1.0)), usual))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
