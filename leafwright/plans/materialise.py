@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _local = threading.local()
 _lock = threading.Lock()
 _own_folder: list[str] = []
-#: Rows of an Arrow batch while a table is written: whole texts and sets of hashes are large rows.
-_ARROW = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+#: Bounds of an Arrow batch while a table is written: whole texts and sets of hashes are large rows.
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _writing: dict[int, list] = {}
 
 
@@ -34,13 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Small Arrow batches while any thread of the session writes; the last one out restores the setting."""
-    key, value = _ARROW
+    """Small Arrow batches while any thread of the session writes; the last one out restores the settings."""
     with _lock:
-        held = _writing.setdefault(id(spark), [0, None])
+        held = _writing.setdefault(id(spark), [0, {}])
         if held[0] == 0:
-            held[1] = spark.conf.get(key, None)
-            spark.conf.set(key, value)
+            held[1] = {key: spark.conf.get(key, None) for key in _ARROW}
+            for key, value in _ARROW.items():
+                spark.conf.set(key, value)
         held[0] += 1
     try:
         yield
@@ -48,7 +48,8 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
         with _lock:
             held[0] -= 1
             if held[0] == 0:
-                spark.conf.set(key, held[1]) if held[1] is not None else spark.conf.unset(key)
+                for key, value in held[1].items():
+                    spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
                 del _writing[id(spark)]
 
 
