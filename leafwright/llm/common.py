@@ -1,42 +1,23 @@
-"""Helpers shared by the corpus operators: written intermediate tables, prefix sums and column picking."""
+"""Helpers shared by the corpus operators: intermediate tables, prefix sums, counted broadcasts and column picking."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows up to which a *counted* table may be broadcast (about 25 MB of narrow rows).
-BROADCAST_ROWS = 200_000
+from ..plans.materialise import forget, materialised, scope
 
+__all__ = ["BROADCAST_IDS", "BROADCAST_ROWS", "exclusive_prefix", "forget", "release", "scope", "small", "text_of", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="leafwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Rows up to which a *counted* table may be broadcast (about 25 MB of narrow rows).
+BROADCAST_ROWS = 200_000
+#: The same for tables of one or two numbers a row (about 40 MB as a hash table).
+BROADCAST_IDS = 1_000_000
 
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again.
-
-    Cuts the lineage: a lost executor costs only the tasks that read its blocks, and what a later
-    stage reads can't differ from what an earlier one saw.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    rows = spark.conf.get(_ARROW_ROWS, None)
-    spark.conf.set(_ARROW_ROWS, "1000")  # whole texts and shingle sets are large rows; Python workers hold a few batches
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(_ARROW_ROWS, rows) if rows is not None else spark.conf.unset(_ARROW_ROWS)
-    return spark.read.schema(df.schema).parquet(path)
+written = materialised
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,6 +33,15 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system, for the worker is used again by other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # no glibc
+
+
 def exclusive_prefix(df: DataFrame, key: str, value: str, out: str, block: int = 4096) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over rows with a smaller ``key`` (dense whole numbers, no repeats).
 

@@ -7,101 +7,99 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import BROADCAST_IDS, forget, scope, small, written
 
-#: Buckets up to this size are compared pair by pair; larger ones against their centre.
+#: Buckets up to this size are compared member by member at once; larger ones against their centre first.
 ALL_PAIRS = 12
-#: What its star leaves apart in a large bucket is compared in blocks of about so many ids against each other.
+#: What stays apart in a large bucket is compared in blocks of about so many members against each other.
 BLOCK = 2000
+#: Samples that a sketch holds, two bits of each.
+SKETCH = 32
+_ODD_BITS = 0x5555555555555555
 
 
-def bucket_pairs(rows: DataFrame, name: str, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, of ids that share a bucket; ``rows``: ``(key, id)``, each id once a bucket.
+def differing(xored: Column) -> Column:
+    """How many of ``SKETCH`` samples differ in their two bits, from the exclusive or of two sketches. A sample that is the same never counts; one that isn't does three times of four."""
+    return F.bit_count((xored.bitwiseOR(F.shiftrightunsigned(xored, 1))).bitwiseAND(F.lit(_ODD_BITS)))
 
-    Buckets of up to ``all_pairs`` ids give all their pairs. A larger one gives a star around its centre, the id whose
-    buckets are largest in sum: in a group of copies edited each in its own way that is the text that they
-    were made from, which differs least from all of them, so stars of its many buckets reach every copy. Work is
-    linear in ``rows``; counts and centres are aggregates, so no bucket is gathered in one task.
-    """
-    return _pairs_and_large(rows, name, all_pairs)[0]
 
+def _pairs(rows: DataFrame, most: int, all_pairs: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``(a, b)``, a < b, whose sketches differ in ``most`` samples at most, and ``(key, id, sketch, m)`` of the large buckets.
 
-def _pairs_and_large(rows: DataFrame, name: str, all_pairs: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs, and the ``(key, id, m)`` of buckets that gave only a star."""
-    # Buckets of two, the most frequent ones, are told by their smallest and largest id; only larger ones fetch their members.
-    counts = written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("m > 1"), name)
-    two = counts.where("m = 2").select("a", "b")
-    full = written(rows.join(small(counts.where("m > 2").select("key", "m")), "key"), name)
-    few = full.where(F.col("m") <= all_pairs).select("key", "id")
-    near = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    Buckets of two, the most frequent ones, are told by aggregates. Up to ``all_pairs`` members meet each other; a larger
+    bucket gives a star around its centre, the id whose buckets are largest in sum: among copies edited
+    each in its own way that is the text they were made from. Counts and centres are aggregates, so no bucket is gathered in one task.
+    """
+    counts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor("sketch").alias("xored")).where("m > 1")
+    counts = written(counts, name + "-counts")
+    two = counts.where((F.col("m") == 2) & (F.col("a") != F.col("b")) & (differing(F.col("xored")) <= most)).select("a", "b")
+    full = written(rows.join(small(counts.where("m > 2").select("key", "m"), BROADCAST_IDS), "key"), name + "-members")
+    close = differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= most
+    few, many = full.where(F.col("m") <= all_pairs), full.where(F.col("m") > all_pairs)
+    near = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     weight = full.groupBy("id").agg(F.sum("m").alias("weight"))
-    many = full.where(F.col("m") > all_pairs)
-    ranked = many.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("nid"), "id").alias("rank"))
-    centres = ranked.groupBy("key").agg(F.max("rank")["id"].alias("centre"))
-    star = many.join(small(written(centres, name)), "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    return two.unionByName(near).unionByName(star).distinct(), many
-
-
-def agreement(x: str, y: str, samples: int) -> Column:
-    """How many of their ``samples`` two signatures share."""
-    return sum(((F.get(x, F.lit(k)) == F.get(y, F.lit(k))).cast("int") for k in range(samples)), F.lit(0))
-
-
-def agreeing(pairs: DataFrame, signs: DataFrame, samples: int, least: float, name: str) -> DataFrame:
-    """The ``pairs`` whose signatures share at least ``least`` samples; ``signs``: ``(id, sign)``."""
-    pairs = written(pairs, name)
-    ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), name)
-    own = small(written(signs.join(small(ends), "id", "left_semi"), name), 20_000)
-    beside = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-    return written(beside.where(agreement("x", "y", samples) >= least).select("a", "b"), name)
+    ranked = many.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("nid"), "id", "sketch").alias("rank"))
+    centres = written(ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.id").alias("centre"), F.col("rank.sketch").alias("middle")), name + "-centres")
+    star = many.join(small(centres), "key").where((F.col("id") != F.col("centre")) & (differing(F.col("sketch").bitwiseXOR(F.col("middle"))) <= most))
+    star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    return written(two.unionByName(near).unionByName(star).distinct(), name + "-pairs"), many
 
 
-def _left_pairs(many: DataFrame, united: DataFrame, signs: DataFrame, samples: int, least: float, name: str, block: int) -> DataFrame:
-    """Pairs in the large buckets ``many`` whose ends aren't connected in ``united`` yet and whose signatures share ``least`` samples."""
-    held = many.join(small(united), "id", "left").select("key", "id", "m", F.coalesce("root", "id").alias("root"))
+def _apart(many: DataFrame, united: DataFrame, most: int, name: str, block: int) -> DataFrame:
+    """Pairs in large buckets whose ends aren't connected in ``united`` yet and whose sketches are near, block against block."""
+    held = many.join(small(united), "id", "left").select("key", "id", "sketch", "m", F.coalesce("root", "id").alias("root"))
     parts = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    apart = written(held.join(small(written(parts, name)), "key"), name)
+    apart = held.join(small(written(parts, name + "-parts"), BROADCAST_IDS), "key")
     dealt = apart.withColumn("n", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    dealt = dealt.join(small(signs, 20_000), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "root", "sign")
-    met = dealt.alias("x").join(dealt.alias("y"), ["key", "low", "high"])
-    once = F.expr("x.id < y.id and x.root != y.root and (x.own != y.own or low = high)")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = written(dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "root", "sketch"), name + "-dealt")
     # All conditions belong to the join, so no row is made of a pair that doesn't meet them.
-    return met.where(once & (agreement("x.sign", "y.sign", samples) >= least)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    once = F.expr("x.key = y.key and x.low = y.low and x.high = y.high and x.id < y.id and x.root != y.root and (x.own != y.own or x.low = x.high)")
+    close = differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= most
+    return dealt.alias("x").join(dealt.alias("y"), once & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def linked(rows: DataFrame, signs: DataFrame, samples: int, least: float, verify: Callable[[DataFrame], DataFrame], name: str, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
-    """``(id, root)`` of all ids that verified pairs connect, where a pair shares a bucket of ``rows (key, id)`` and ``least`` samples.
+def linked(rows: DataFrame, most: int, verify: Callable[[DataFrame], DataFrame], name: str, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
+    """``(id, root)`` of all ids that verified pairs connect: pairs that share a bucket of ``rows (key, id, sketch)`` and whose sketches differ in ``most`` samples at most.
 
-    ``verify`` gives those of the pairs ``(a, b)`` that are similar. Large buckets are united by their stars first; ids
-    that are still apart in one are then compared with all others there, so no link in a bucket is lost. That is
-    linear for a group of copies, and grows with the square of a bucket whose ids aren't alike; only pairs that pass leave it.
+    ``verify`` gives those of the pairs ``(a, b)`` that are similar. First each id meets its smallest partner alone; pairs
+    whose ends are connected by then need no look. In large buckets all that is still apart meets all others there, block
+    by block, so no link in a bucket is lost. That is linear for copies, and grows with the square of a bucket
+    whose ids aren't alike, by some nanoseconds for each pair of sketches; only near ones leave it.
     """
-    pairs, many = _pairs_and_large(rows, name, all_pairs)
-    united = written(components(verify(agreeing(pairs, signs, samples, least, name))), name)
-    left = written(_left_pairs(many, united, signs, samples, least, name, block), name)
-    if left.isEmpty():
-        return united
-    return written(components(united.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(verify(left))), name)
+    with scope() as keep:
+        pairs, many = _pairs(rows, most, all_pairs, name)
+        nearest = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("b").agg(F.min("a").alias("a"))
+        united = components(verify(written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name + "-first")))
+        roots = small(united)
+        rest = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
+        left = written(rest.unionByName(_apart(many, united, most, name, block)).distinct(), name + "-left")
+        if left.isEmpty():
+            return keep(united)
+        return keep(components(united.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(verify(left)), united.select("id")))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``(id, root)`` for every id in ``edges (a, b)``: the smallest id that it is connected with.
+def components(edges: DataFrame, ids: DataFrame | None = None, name: str = "components") -> DataFrame:
+    """``(id, root)`` for every id in ``edges (a, b)`` and ``ids (id)``: the smallest id that it is connected with.
 
     Union-find by contraction: every id points at its smallest neighbour, pointers are followed twice, and edges are
     carried over to what their ends point at, until none is left. Rounds grow with the logarithm of a component's
     length; the smallest id always points at itself, so it is what a component ends in. Only written tables pass from one round to the next, and nothing is collected.
     """
-    edges = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    roots = ids.withColumn("root", F.col("id"))
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        step = written(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to")), name)
-        further = small(step.select(F.col("id").alias("to"), F.col("to").alias("next")))
-        step = written(step.join(further, "to").select("id", F.col("next").alias("to")), name)
-        hint = small(step)
-        roots = written(roots.join(hint.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")), name)
-        left = edges.join(hint.select(F.col("id").alias("a"), F.col("to").alias("c")), "a").join(hint.select(F.col("id").alias("b"), F.col("to").alias("d")), "b")
-        edges = written(left.where("c != d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), name)
-    return roots
+    with scope() as keep:
+        edges = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        ends = edges.select(F.col("a").alias("id")).union(edges.select("b"))
+        roots = written((ends if ids is None else ends.unionByName(ids)).distinct().withColumn("root", F.col("id")), name)
+        while not edges.isEmpty():
+            both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select("b", "a"))
+            step = written(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to")), name)
+            further = small(step.select(F.col("id").alias("to"), F.col("to").alias("next")))
+            step, old = written(step.join(further, "to").select("id", F.col("next").alias("to")), name), step
+            forget(old)
+            hint = small(step)
+            roots, old = written(roots.join(hint.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")), name), roots
+            forget(old)
+            left = edges.join(hint.select(F.col("id").alias("a"), F.col("to").alias("c")), "a").join(hint.select(F.col("id").alias("b"), F.col("to").alias("d")), "b")
+            edges, old = written(left.where("c != d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), name), edges
+            forget(old, step)
+        return keep(roots)

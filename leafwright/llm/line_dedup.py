@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_of, written
+from .common import BROADCAST_IDS, forget, scope, small, text_of, written
 from .graph import linked
 
 SIMILARITY = 0.8
 #: Characters of a shingle when similarity is computed.
 SHINGLE = 5
-#: Signatures are drawn from all shingles of a line, of whatever length or script: a pair at the limit of similarity shares
-#: no band with a probability of (1 - 0.8^5)^16 = 0.2 %, and lines that are alike by chance (0.1 at most) one in 10,000.
-BANDS, ROWS = 16, 5
-#: Samples that a pair must share before its texts are fetched; at the limit of similarity they share 64 of 80, give or take 4.
-LEAST_EQUAL = 40
+#: Characters of a shingle from which signatures are drawn. Edits spread so that 0.8 of the 5-character shingles remain leave
+#: 35 of 45 + 10, a likeness of 0.64, of these, and lines that are alike by chance share far fewer of them.
+SIGNED = 10
+#: A pair at the limit of similarity shares no band with a probability of (1 - 0.64^2)^10 = 0.5 %.
+BANDS, ROWS = 10, 2
+#: Samples of which a sketch holds two bits each; bands use the first ones. At the limit 8.7 of 32 differ, give or take 2.5; 22 in lines alike by chance.
+SAMPLES, MOST_DIFFERING = 32, 16
+#: Signatures use each fourth shingle by its hash; lines of fewer characters, or with fewer different shingles of that kind, get one from all shingles besides.
+THIN, SHORT, FEW = 4, 144, 24
 
 
 def _seeds(n: int) -> tuple[int, ...]:
@@ -30,31 +34,60 @@ def _lines(text: str | Column) -> Column:
     return F.split(text, "\n")
 
 
-def _runs(line: str | Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)
+def _wide(line: str | Column) -> Column:
+    """Four bytes a character, so that a shingle is cut out at its place without a walk through the line."""
+    return F.encode(line, "UTF-32")
 
 
-def shingle_set(line: str | Column) -> Column:
-    """Hashes of all distinct runs of ``SHINGLE`` characters; of the whole line if it is shorter."""
-    return F.array_distinct(F.transform(F.when(F.char_length(line) >= SHINGLE, _runs(line)).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
+def _places(wide: str | Column, size: int) -> Column:
+    """Where runs of ``size`` characters begin; 1 alone if the line is shorter."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length(wide) / 4).cast("int") - (size - 1)))
 
 
-def signatures(lines: DataFrame, name: str) -> DataFrame:
-    """``(id, sign)``: the MinHash signature of each node, band by band; ``lines``: ``(node, line)``, which may repeat."""
-    # Four bytes a character, so that a shingle is cut out at its place without a walk through the line.
-    wide = lines.select("node", F.encode("line", "UTF-32").alias("wide"))
-    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length("wide") / 4).cast("int") - (SHINGLE - 1)))
-    hashed = wide.select("node", "wide", F.explode(spots).alias("at")).select("node", F.xxhash64(F.substring("wide", 4 * F.col("at") - 3, F.lit(4 * SHINGLE))).alias("h"))
+def shingle_set(wide: str | Column) -> Column:
+    """Hashes of all distinct runs of ``SHINGLE`` characters of a line in four bytes a character; of the whole line if it is shorter."""
+    column = F.col(wide) if isinstance(wide, str) else wide
+    return F.array_distinct(F.transform(_places(column, SHINGLE), lambda at: F.xxhash64(F.substring(column, 4 * at - 3, F.lit(4 * SHINGLE)))))
+
+
+def _signed(lines: DataFrame, thin: bool) -> DataFrame:
+    """``(id, kind, sketch, keys, guess)`` of lines ``(node, line)``, which may repeat, from all shingles or from one of ``THIN``.
+
+    The least values over n shingles are 2^31 / n on average, and so tell how many different ones there are.
+    """
+    wide = lines.select("node", _wide("line").alias("wide"))
+    hashed = wide.select("node", "wide", F.explode(_places("wide", SIGNED)).alias("at")).select("node", F.xxhash64(F.substring("wide", 4 * F.col("at") - 3, F.lit(4 * SIGNED))).alias("h"))
+    if thin:
+        hashed = hashed.where(F.col("h").bitwiseAND(F.lit(THIN - 1)) == 0)
     # The samples of a band order by bits of their own, so that they agree independently in short lines, too.
-    parts = hashed.select("node", *(F.shiftrightunsigned("h", 8 * r).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"h{r}") for r in range(ROWS)))
-    mins = parts.groupBy("node").agg(*(F.min(F.col(f"h{r}").bitwiseXOR(F.lit(s))).alias(f"m{b}_{r}") for b, s in enumerate(_seeds(BANDS)) for r in range(ROWS)))
-    return written(mins.select(F.col("node").alias("id"), F.array(*(f"m{b}_{r}" for b in range(BANDS) for r in range(ROWS))).alias("sign")), name)
+    parts = hashed.select("node", *(F.shiftrightunsigned("h", 8 * r + 3).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"h{r}") for r in range(ROWS + 2)))
+    drawn = [(b, r) for b in range(BANDS) for r in range(ROWS)] + [(BANDS + e, ROWS + e % 2) for e in range(SAMPLES - BANDS * ROWS)]
+    seeds = _seeds(BANDS + SAMPLES)
+    mins = parts.groupBy("node").agg(*(F.min(F.col(f"h{r}").bitwiseXOR(F.lit(seeds[b]))).alias(f"m{i}") for i, (b, r) in enumerate(drawn)))
+    sketch = F.lit(0).cast("long")
+    for i in range(SAMPLES):
+        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(3)).cast("long"), 2 * i))
+    keys = F.array(*(F.xxhash64(F.lit(b + (BANDS if thin else 0)), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
+    total = sum((F.col(f"m{i}").cast("double") for i in range(SAMPLES)), F.lit(0.0))
+    return mins.select(F.col("node").alias("id"), sketch.alias("sketch"), keys.alias("keys"), (SAMPLES * float(1 << 31) / (total + 1)).alias("guess"))
+
+
+def signatures(lines: DataFrame, places: DataFrame) -> list[DataFrame]:
+    """Written tables ``(id, sketch, keys, guess)``: of all lines ``(node, line)`` from some of their shingles, and of short or repetitive ones from all.
+
+    ``places``: ``(node, long)`` of the same lines. A line whose thinned set is empty, as it can be with a few different shingles, is among the latter, too.
+    """
+    thin = written(_signed(lines, True), "line-thin")
+    full = [written(_signed(lines.where(~_long()), False), "line-full")]
+    enough = thin.where(F.col("guess") >= FEW).select(F.col("id").alias("node"))
+    odd = written(places.where("long").select("node").distinct().join(enough, "node", "left_anti"), "line-odd")
+    if not odd.isEmpty():
+        full.append(written(_signed(lines.where(_long()).join(small(odd, BROADCAST_IDS), "node", "left_semi"), False), "line-full"))
+    return [thin, *full]
 
 
-def bands(signs: DataFrame) -> DataFrame:
-    """``(key, id)`` of the bands of each signature."""
-    keys = F.array(*(F.xxhash64(F.lit(b), *(F.get("sign", F.lit(b * ROWS + r)) for r in range(ROWS))) for b in range(BANDS)))
-    return signs.select(F.explode(keys).alias("key"), "id")
+def _long() -> Column:
+    return F.char_length("line") >= SHORT
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -62,33 +95,39 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Lines with a word that are equal, or whose sets of ``SHINGLE`` characters have a Jaccard similarity of ``similarity`` or
     more, are connected; of each component the first line stays, by document id (nulls first), key and line number.
-    ``key`` is the 64-bit hash of id and text, so rows that repeat both are treated alike and keep the same lines.
+    ``key`` is the 64-bit hash of id and text, so rows that repeat both are treated alike and keep the same lines. Null and empty
+    texts, and those without a word, have no lines; an empty table gives no rows.
 
     Equal lines are one node. Shingles are exploded and reduced to signatures by an aggregate that combines before the
     shuffle, so neither long lines nor frequent ones gather anywhere; the text of lines is read again only for candidates.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("key"), "text")
     lines = base.select("id", "key", F.posexplode(_lines("text")).alias("nr", "line")).where(F.col("line").rlike(_WORD)).withColumn("node", F.xxhash64("line"))
-    places = written(lines.select("id", "key", "nr", "node"), "places")
-
-    signs = signatures(lines.select("node", "line"), "line-signs")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
-        texts = written(lines.select("node", "line").join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-        compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingle_set("x").alias("x"), shingle_set("y").alias("y"))
-        compared = compared.withColumn("both", F.size(F.array_intersect("x", "y")))
-        return compared.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
-
-    united = linked(bands(signs), signs, BANDS * ROWS, LEAST_EQUAL, verify, "line-buckets").withColumnRenamed("id", "node")
-
-    placed = places.join(small(united), "node", "left").select("id", "key", "nr", F.coalesce("root", "node").alias("root"))
-    counts = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    many = written(placed.join(small(written(counts, "line-counts")), "root"), "line-many")
-    first = many.groupBy("root").agg(F.min(F.struct("id", "key", "nr")).alias("first"))
-    others = many.join(small(written(first, "line-first")), "root").where(~((F.col("key") == F.col("first.key")) & (F.col("nr") == F.col("first.nr"))))
-    # As many numbers as a text has lines, at most; rows that repeat a text name each number once.
-    return written(others.groupBy("key").agg(F.sort_array(F.collect_set("nr")).alias("gone")), "line-gone")
+        with scope() as keep:
+            ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
+            texts = written(lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+            compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", _wide("x").alias("x"), _wide("y").alias("y"))
+            compared = compared.select("a", "b", shingle_set("x").alias("x"), shingle_set("y").alias("y")).withColumn("both", F.size(F.array_intersect("x", "y")))
+            return keep(written(compared.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"), "line-edges"))
+
+    with scope() as keep:
+        places = written(lines.select("id", "key", "nr", "node", _long().alias("long")), "line-places")
+        signs = signatures(lines.select("node", "line"), places)
+        rows = signs[0].select(F.explode("keys").alias("key"), "id", "sketch")
+        for more in signs[1:]:
+            rows = rows.unionByName(more.select(F.explode("keys").alias("key"), "id", "sketch"))
+        united = linked(rows, MOST_DIFFERING, verify, "lines").withColumnRenamed("id", "node")
+        forget(*signs)
+
+        placed = places.join(small(united), "node", "left").select("id", "key", "nr", F.coalesce("root", "node").alias("root"))
+        counts = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+        many = written(placed.join(small(written(counts, "line-counts"), BROADCAST_IDS), "root"), "line-many")
+        first = many.groupBy("root").agg(F.min(F.struct("id", "key", "nr")).alias("first"))
+        others = many.join(small(written(first, "line-first")), "root").where(~((F.col("key") == F.col("first.key")) & (F.col("nr") == F.col("first.nr"))))
+        # As many numbers as a text has lines, at most; rows that repeat a text name each number once.
+        return keep(written(others.groupBy("key").agg(F.sort_array(F.collect_set("nr")).alias("gone")), "line-gone"))
 
 
 def _flags(gone: str) -> Column:

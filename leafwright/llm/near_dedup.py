@@ -9,15 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, text_of, written
-from .graph import linked
+from .common import BROADCAST_IDS, BROADCAST_ROWS, forget, release, scope, small, text_of, written
+from .graph import SKETCH, linked
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: A shingle in more than one of so many documents weighs less than others, by the logarithm of how many times more.
 RARE = 1000
-#: Least number of equal samples of a pair that is verified; a pair at the limit of similarity stays below once in a million.
-LEAST_EQUAL = 16
+#: Such shingles are this many at most (12 bytes each on every executor): where documents are so long that there could be more, fewer count as common.
+COMMON = 4 * BROADCAST_ROWS
+#: A pair whose sketches differ in more of ``SKETCH`` samples isn't verified; at the limit of similarity 4.8 differ, give or take 2.
+MOST_DIFFERING = 13
+#: Shingles that a task holds at a time while it names common ones, and documents that such a task should see at least.
+SEGMENT, LEAST_DOCS = 1 << 21, 8192
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
@@ -136,25 +140,38 @@ def _blob_rows(batch: pa.RecordBatch, name: str, times: str) -> Iterator[tuple[n
         yield x, np.ones(len(x), np.uint32) if raw is None else np.frombuffer(raw, "<u4")
 
 
-def common_shingles(table: DataFrame, documents: int, rare: int = RARE) -> DataFrame:
-    """``(hash, n)``: exact counts of the shingles that more than one in ``rare`` documents hold.
+def common_shingles(table: DataFrame, least: float, documents: int) -> DataFrame:
+    """``(hash, n)``: exact counts of the shingles that more than ``least`` of ``documents`` documents hold, however rows are dealt to tasks.
 
-    Such a shingle must pass that share in at least one task, so tasks name those that pass in theirs (never more than ``rare``
-    times an average document's shingles; all of a task with fewer than ``rare`` documents), and a second pass counts the named ones everywhere. Nothing else is shuffled.
+    Such a shingle must pass its share, ``least / documents`` of the documents, in at least one part of any division of the
+    rows, so tasks name what passes in their segments, and a second pass counts the named ones everywhere. Tasks are merged
+    until they see ``LEAST_DOCS`` documents on average, for in a part of few documents everything passes.
     """
+    rows = table.select("shingles", "times")
+    share = least / documents
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs = [], 0
+        held, size, docs = [], 0, 0
+
+        def passing() -> pa.RecordBatch:
+            x, n = _counted(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(x[n > share * docs].view(np.int64))], names=["hash"])
+
         for batch in batches:
-            docs += len(batch)
-            held += [x for x, _ in _blob_rows(batch, "shingles", "times")]
+            for x, _ in _blob_rows(batch, "shingles", "times"):
+                held.append(x.copy())
+                size, docs = size + len(x), docs + 1
+                if size >= SEGMENT:
+                    yield passing()
+                    held, size, docs = [], 0, 0
         if held:
-            x, n = _counted(np.concatenate(held))
-            yield pa.RecordBatch.from_arrays([pa.array(x[n > docs / rare].view(np.int64))], names=["hash"])
+            yield passing()
+        release()
 
-    names = written(table.select("shingles", "times").mapInArrow(named, "hash long").distinct(), "named")
-    if names.count() > 4 * BROADCAST_ROWS:  # documents of very many words in very small tasks
-        exploded = table.select("shingles", "times").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["hash"]) for b in batches for x, _ in _blob_rows(b, "shingles", "times")), "hash long")
+    merged = rows.coalesce(max(1, documents // LEAST_DOCS))
+    names = written(merged.mapInArrow(named, "hash long").distinct(), "named")
+    if names.count() > COMMON:  # documents of very many words
+        exploded = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["hash"]) for b in batches for x, _ in _blob_rows(b, "shingles", "times")), "hash long")
         counts = exploded.join(names, "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("n"))
     else:
         listed = table.sparkSession.sparkContext.broadcast(np.sort(names.toPandas()["hash"].to_numpy(np.int64).view(np.uint64)))
@@ -169,40 +186,58 @@ def common_shingles(table: DataFrame, documents: int, rare: int = RARE) -> DataF
                         total[at[wanted[at] == x]] += 1  # a text's shingles are distinct
             k = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(wanted[k].view(np.int64)), pa.array(total[k])], names=["hash", "n"])
+            release()
 
-        counts = table.select("shingles", "times").mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return written(counts.where(F.col("n") > documents / rare), "common")
+        counts = rows.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    common = written(counts.where(F.col("n") > least), "common")
+    forget(names)
+    return common
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """Classes of documents connected by a weighted Jaccard similarity of ``similarity`` or more.
 
     Equal texts are one node, whatever their number. A shingle of ``size`` words weighs its count times ``1 + ln(N / n)``, n
-    being the documents that hold it, N / ``RARE`` at least. Texts that agree in ``ROWS`` samples of a band share a bucket;
-    pairs from buckets that agree in enough samples are verified on their whole shingle sets; verified pairs are
-    united.
+    being the documents that hold it, or N / ``RARE`` if that is more (more than that where documents have more than
+    ``COMMON / RARE`` shingles on average). Texts that agree in ``ROWS`` samples of a band share a bucket; pairs from buckets whose
+    sketches are near are verified on their whole shingle sets; verified pairs are united.
 
     Returns ``(doc_id, node, class_id)`` per row of ``docs``: the 64-bit hash of its text, and the smallest id in its class. Null and
     empty texts are equal texts; those without words are alike only if equal. Rows may repeat; null ids take class ids from others, or null.
+    An empty table gives no rows; other columns of ``docs``, whatever their names, aren't read.
     """
+    with scope() as keep:
+        members, classes = _classes(docs, id_col, text_col, similarity, size)
+        named = keep(members).join(small(keep(classes)), "root", "left")
+        return named.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, size: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables ``(doc_id, node, root)`` of all rows and ``(root, class_id)`` of classes of more than one row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("node"), text_of(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at, part in _chunks(texts):
-                own = shingles(part, size)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(at, len(part)) for i in (0, 1)), pa.array([x.tobytes() for x, _ in own], pa.binary()), pa.array([None if len(n) == 0 or n.max() == 1 else n.tobytes() for _, n in own], pa.binary())],
-                    names=["doc_id", "node", "shingles", "times"],
-                )
-
-    table = written(rows.mapInArrow(cut, "doc_id long, node long, shingles binary, times binary"), "shingles")
-    documents = table.count()
-    common = common_shingles(table, max(1, documents))
-    # At most RARE times the shingles of an average document, whatever the number of documents.
-    known = common.toPandas().sort_values("hash", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
-    usual = 1.0 + float(np.log(max(1, min(RARE, documents))))
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                for k, part in _chunks(some.column("text").to_pylist()):
+                    own = shingles(part, size)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(some.column(i).slice(k, len(part)) for i in (0, 1)), pa.array([len(x) for x, _ in own], pa.int32()), pa.array([x.tobytes() for x, _ in own], pa.binary()),
+                            pa.array([None if len(n) == 0 or n.max() == 1 else n.tobytes() for _, n in own], pa.binary()),
+                        ],
+                        names=["doc_id", "node", "size", "shingles", "times"],
+                    )
+        release()
+
+    table = written(rows.mapInArrow(cut, "doc_id long, node long, size int, shingles binary, times binary"), "shingles")
+    documents, total = table.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    documents = max(1, documents)
+    least = max(documents / RARE, total / COMMON)
+    common = common_shingles(table, least, documents)
+    known = common.toPandas().sort_values("hash", key=lambda h: h.to_numpy(np.int64).view(np.uint64))  # COMMON rows at most
+    usual = 1.0 + float(np.log(documents / max(1.0, least)))
     weigh = table.sparkSession.sparkContext.broadcast((known["hash"].to_numpy(np.int64).view(np.uint64), 1.0 + np.log(documents / np.maximum(known["n"].to_numpy(float), 1.0)), usual))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +261,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     for r in range(ROWS):
                         key = _mix(key * _M1 + s[:, band * ROWS + r])
                     keys[:, band] = key
-                signs = list(s.astype("<u4").view("<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b], pa.int64()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int32()))], names=["node", "keys", "sign"])
+                bits = (_mix(s[:, :SKETCH] * _M2) & np.uint64(3)) << (2 * np.arange(SKETCH)).astype(np.uint64)
+                sketch = np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b], pa.int64()), pa.array(sketch), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["node", "sketch", "keys"])
                 a = b
+        release()
 
-    signed = written(table.select("node", "shingles", "times").mapInArrow(sign, "node long, keys array<long>, sign array<int>").dropDuplicates(["node"]), "signed")
+    signed = written(table.select("node", "shingles", "times").mapInArrow(sign, "node long, sketch long, keys array<long>").dropDuplicates(["node"]), "signed")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,38 +278,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 both = np.minimum(u[i], v[j]).sum()
                 keep.append(bool(both >= similarity * (u.sum() + v.sum() - both) * (1 - 1e-12)))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        release()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-        sets = table.select("node", "shingles", "times").join(small(ends), "node", "left_semi").dropDuplicates(["node"])
-        sets = written(sets, "sets")
-        compared = pairs.join(sets.toDF("a", "xa", "ta"), "a").join(sets.toDF("b", "xb", "tb"), "b")
-        return written(compared.mapInArrow(similar, "a long, b long"), "edges")
-
-    signs = signed.select(F.col("node").alias("id"), "sign")
-    united = linked(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id")), signs, BANDS * ROWS, LEAST_EQUAL, verify, "buckets")
+        with scope() as keep:
+            ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+            sets = table.select("node", "shingles", "times").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"])
+            sets = written(sets, "sets")
+            compared = pairs.join(sets.toDF("a", "xa", "ta"), "a").join(sets.toDF("b", "xb", "tb"), "b")
+            return keep(written(compared.mapInArrow(similar, "a long, b long"), "edges"))
+
+    united = linked(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "sketch"), MOST_DIFFERING, verify, "buckets")
     members = table.select("doc_id", "node").join(small(united).withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     members = written(members, "members")
     classes = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
-    named = members.join(small(written(classes.drop("n"), "classes")), "root", "left")
-    return named.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return members, written(classes.drop("n"), "classes")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id (of repeated rows one, null ids last)."""
-    found = written(near_duplicates(docs, id_col, text_col), "found")
-    groups = found.groupBy(F.col("class_id"), F.when(F.col("class_id").isNull(), F.col("node")).alias("alone")).agg(F.count("*").alias("n"), F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("keep"), F.min("doc_id").alias("first"))
-    many = written(groups.where("n > 1").select("class_id", F.col("first"), "keep"), "groups")
-    members = found.join(small(many), found["class_id"].eqNullSafe(many["class_id"]) & (found["class_id"].isNotNull() | (found["node"] == many["keep"])))
-    # Rows to settle: (id, node) of all members of larger classes, and which of them stays.
-    marked = members.select("doc_id", "node", (F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("node") == F.col("keep"))).alias("stays"))
-    marked = written(marked.groupBy("doc_id", "node", "stays").agg(F.count("*").alias("copies")), "marked")
+    """``docs`` with one row of each class: that of the smallest id (of repeated rows one, null ids last).
+
+    Null and empty texts are one class, so one of them stays. An empty table gives no rows; all columns stay as they are.
+    """
     keyed = docs.withColumn("__node_of_text", F.xxhash64(text_of(text_col))).withColumn("__id_of_row", F.col(id_col).cast("long"))
     same = lambda a, b: a["__id_of_row"].eqNullSafe(b["doc_id"]) & (a["__node_of_text"] == b["node"])
-    gone = marked.where("not stays or copies > 1")
-    alone = keyed.join(small(gone), same(keyed, gone), "left_anti")
-    again = marked.where("stays and copies > 1")
-    if not again.isEmpty():
-        repeated = keyed.join(small(again), same(keyed, again), "left_semi").dropDuplicates(["__id_of_row", "__node_of_text"])
-        alone = alone.unionByName(repeated)
-    return alone.drop("__node_of_text", "__id_of_row")
+    with scope() as keep:
+        members, _ = _classes(docs, id_col, text_col, SIMILARITY, SHINGLE)
+        # Of each class the least (id, node), null ids last; the others of its members go.
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+        many = written(members.groupBy("root").agg(F.count("*").alias("n"), least.alias("keep")).where("n > 1").select("root", F.col("keep.doc_id").alias("first"), F.col("keep.node").alias("keep")), "groups")
+        settled = members.join(small(many), "root").select("doc_id", "node", (F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("node") == F.col("keep"))).alias("stays"))
+        settled = written(settled.groupBy("doc_id", "node", "stays").agg(F.count("*").alias("copies")), "settled")
+        gone = written(settled.where("not stays or copies > 1"), "gone")
+        again = written(settled.where("stays and copies > 1"), "again")
+        out = keyed.join(small(keep(gone)), same(keyed, gone), "left_anti")
+        if not again.isEmpty():
+            repeated = keyed.join(small(keep(again)), same(keyed, again), "left_semi").dropDuplicates(["__id_of_row", "__node_of_text"])
+            out = out.unionByName(repeated)
+        return out.drop("__node_of_text", "__id_of_row")

@@ -39,28 +39,93 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_pairs_of_large_buckets_reach_the_centre(spark):
-    rows = [("big", i) for i in range(40)] + [("other", i) for i in range(0, 40, 2)] + [("x", 7), ("x", 8)]
-    got = {tuple(p) for p in graph.bucket_pairs(spark.createDataFrame(rows, "key string, id long"), "t", 5).collect()}
-    assert (7, 8) in got and len(got) < 100 and {b for a, b in got if a == 0} == set(range(1, 40))
+def _sketch(samples):
+    return sum((v & 3) << 2 * i for i, v in enumerate(samples)) - (1 << 64 if samples[-1] & 2 else 0)
+
+
+def test_sketches_count_differing_samples(spark):
+    r = random.Random(4)
+    pairs = [([r.randrange(4) for _ in range(32)], [r.randrange(4) for _ in range(32)]) for _ in range(50)]
+    df = spark.createDataFrame([(sum(x != y for x, y in zip(a, b)), _sketch(a), _sketch(b)) for a, b in pairs], "n int, a long, b long")
+    assert df.where(F.col("n") != graph.differing(F.col("a").bitwiseXOR(F.col("b")))).count() == 0
 
 
 @pytest.mark.parametrize("block", [2000, 7])
-def test_large_buckets_keep_the_links_that_miss_the_centre(spark, block):
-    # Thirty ids in one bucket: 0 is the centre, 10 and 11, 20 and 21 are alike, all others are like none.
-    alike = {(10, 11), (20, 21), (0, 3)}
-    signs = spark.createDataFrame([(i, [1, 1, 1, 1 if i in (0, 3) else i // 2 if i >= 10 else -i]) for i in range(30)], "id long, sign array<int>")
-    rows = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 0), (2, 1), (2, 2)], "key long, id long")
-    seen = []
+@pytest.mark.parametrize("all_pairs", [2, 12, 50])
+def test_buckets_of_every_size_keep_their_links(spark, block, all_pairs):
+    # Thirty ids in one bucket: 0 is the centre, 10 and 11, 20 and 21 are alike, all others are like none. A second bucket of two.
+    alike = {(10, 11), (20, 21), (0, 3), (40, 41)}
+    near = {i: _sketch([0] * 31 + [1 if i in (0, 3) else 2 if i in (10, 11, 12) else 3]) for i in range(42)}
+    rows = [(1, i) for i in range(30)] + [(2, 0), (2, 1), (2, 2), (3, 40), (3, 41), (4, 7), (4, 8)]
+    rows = spark.createDataFrame([(k, i, near[i]) for k, i in rows], "key long, id long, sketch long")
+    seen = set()
 
     def verify(pairs):
         got = {tuple(p) for p in pairs.collect()}
-        seen.append(got)
+        seen.update(got)
         return spark.createDataFrame(sorted(got & alike), "a long, b long")
 
-    got = {x.id: x.root for x in graph.linked(rows, signs, 4, 4, verify, "t", block=block).collect()}
-    assert got == {0: 0, 3: 0, 10: 10, 11: 10, 20: 20, 21: 20}
-    assert seen[1] == {(i, i + 1) for i in range(10, 30, 2)}
+    got = {x.id: x.root for x in graph.linked(rows, 0, verify, "t", all_pairs, block).collect()}
+    assert {k: v for k, v in got.items() if k != v} == {3: 0, 11: 10, 21: 20, 41: 40}
+    assert all(near[a] == near[b] for a, b in seen)
+
+
+def test_tables_go_with_their_scope(spark):
+    import os
+
+    from leafwright.llm import common
+
+    docs = _docs(spark, [(1, "a b c d e f\nx"), (2, "a b c d e f\ny"), (3, "other words here")])
+    root = common.written(docs, "probe")._written_path.rsplit("/", 1)[0].removeprefix("file://")
+    before = set(os.listdir(root))
+    out = line_dedup.deduplicated(docs)
+    assert {x.split("-")[1] for x in set(os.listdir(root)) - before} == {"gone"} and out.count() == 3
+    out = near_dedup.deduplicated(docs)
+    assert {x.split("-")[0] for x in set(os.listdir(root)) - before} <= {"line", "gone", "again"} and out.count() == 3
+
+
+@pytest.mark.parametrize("parts", [1, 4, 211])
+def test_idf_and_classes_do_not_depend_on_the_layout(spark, parts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    weights = Counter(k for x in docs for k in near_dedup.shingles([x.text or ""])[0][0].tolist())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    table = df.select("text").rdd.map(lambda r: (bytearray(near_dedup.shingles([r.text or ""])[0][0].tobytes()), None)).toDF("shingles binary, times binary")
+    got = {x["hash"] % (1 << 64): x["n"] for x in near_dedup.common_shingles(table, 2.5, len(docs)).collect()}
+    assert got == {k: n for k, n in weights.items() if n > 2.5}
+    classes = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(df).collect()}
+    _CLASSES.setdefault("classes", classes)
+    assert classes == _CLASSES["classes"]
+
+
+_CLASSES = {}
+
+
+def _words_of(r, n, alphabet):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnop   ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_/.", "".join(chr(0x4E00 + i) for i in range(900))])
+def test_recall_of_lines_near_the_limit(spark, alphabet):
+    # Evenly spread edits of one character leave the least of the longer shingles: pairs of 0.80 to 0.85, of 60 to 600 characters.
+    r, docs, wanted = random.Random(17), [], 0
+    for k in range(400):
+        n = r.choice((60, 120, 200, 330, 600))
+        line = list(_words_of(r, n, alphabet).strip() or "x")
+        other = list(line)
+        for at in range(r.randrange(20, 40), len(line), 46):
+            other[at] = "§"
+        a, b = "".join(line), "".join(other)
+        x, y = {a[i : i + 5] for i in range(len(a) - 4)}, {b[i : i + 5] for i in range(len(b) - 4)}
+        if 0.8 <= len(x & y) / len(x | y) < 1:
+            wanted += 1
+            docs += [(2 * k, a), (2 * k + 1, b)]
+    kept = line_dedup.deduplicated(_docs(spark, docs)).where("text <> ''").count()
+    assert wanted > 100 and len(docs) - kept >= 0.96 * wanted
+
+
+def test_lines_with_few_different_shingles_meet(spark):
+    docs = list(enumerate(["é" * 3000, "é" * 200, "ab" * 900, "ab" * 100, "x y z " * 200, "x y z " * 90, "abcdefghij" * 4, "abcdefghij" * 40, "no such line"]))
+    assert {x.doc_id: x.text for x in line_dedup.deduplicated(_docs(spark, docs)).collect()} == _expected_lines(docs)
 
 
 def test_lines_around_a_shared_passage_agree_with_all_pairs(spark):
