@@ -107,8 +107,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def verify(pairs: DataFrame) -> DataFrame:
         with scope() as keep:
             ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
-            texts = written(lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-            compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", _wide("x").alias("x"), _wide("y").alias("y"))
+            texts = lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"])
+            texts = written(texts.select("node", _wide("line").alias("wide")), "line-texts")  # written wide, lest each shingle widens its line anew
+            compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
             compared = compared.select("a", "b", shingle_set("x").alias("x"), shingle_set("y").alias("y")).withColumn("both", F.size(F.array_intersect("x", "y")))
             return keep(written(compared.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"), "line-edges"))
 
