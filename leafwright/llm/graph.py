@@ -24,7 +24,7 @@ def differing(xored: Column) -> Column:
 
 
 def _pairs(rows: DataFrame, most: int, all_pairs: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs ``(a, b)``, a < b, whose sketches differ in ``most`` samples at most, and ``(key, id, sketch, m)`` of the large buckets.
+    """Distinct pairs ``(a, b, far)``, a < b, whose sketches differ in ``far`` samples, ``most`` at most, and ``(key, id, sketch, m)`` of the large buckets.
 
     Buckets of two, the most frequent ones, are told by aggregates. Up to ``all_pairs`` members meet each other; a larger
     bucket gives a star around its centre, the id whose buckets are largest in sum: among copies edited
@@ -32,17 +32,18 @@ def _pairs(rows: DataFrame, most: int, all_pairs: int, name: str) -> tuple[DataF
     """
     counts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor("sketch").alias("xored")).where("m > 1")
     counts = written(counts, name + "-counts")
-    two = counts.where((F.col("m") == 2) & (F.col("a") != F.col("b")) & (differing(F.col("xored")) <= most)).select("a", "b")
+    two = counts.where((F.col("m") == 2) & (F.col("a") != F.col("b"))).select("a", "b", differing(F.col("xored")).alias("far")).where(F.col("far") <= most)
     full = written(rows.join(small(counts.where("m > 2").select("key", "m"), BROADCAST_IDS), "key"), name + "-members")
-    close = differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= most
+    far = differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
     few, many = full.where(F.col("m") <= all_pairs), full.where(F.col("m") > all_pairs)
-    near = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    near = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (far <= most)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.alias("far"))
     weight = full.groupBy("id").agg(F.sum("m").alias("weight"))
     ranked = many.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("nid"), "id", "sketch").alias("rank"))
     centres = written(ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.id").alias("centre"), F.col("rank.sketch").alias("middle")), name + "-centres")
-    star = many.join(small(centres), "key").where((F.col("id") != F.col("centre")) & (differing(F.col("sketch").bitwiseXOR(F.col("middle"))) <= most))
-    star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    return written(two.unionByName(near).unionByName(star).distinct(), name + "-pairs"), many
+    star = many.join(small(centres), "key").where(F.col("id") != F.col("centre"))
+    star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), differing(F.col("sketch").bitwiseXOR(F.col("middle"))).alias("far")).where(F.col("far") <= most)
+    # A pair may be near by one kind of sketch and nearer by another.
+    return written(two.unionByName(near).unionByName(star).groupBy("a", "b").agg(F.min("far").alias("far")), name + "-pairs"), many
 
 
 def _apart(many: DataFrame, united: DataFrame, most: int, name: str, block: int) -> DataFrame:
@@ -62,14 +63,14 @@ def _apart(many: DataFrame, united: DataFrame, most: int, name: str, block: int)
 def linked(rows: DataFrame, most: int, verify: Callable[[DataFrame], DataFrame], name: str, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
     """``(id, root)`` of all ids that verified pairs connect: pairs that share a bucket of ``rows (key, id, sketch)`` and whose sketches differ in ``most`` samples at most.
 
-    ``verify`` gives those of the pairs ``(a, b)`` that are similar. First each id meets its smallest partner alone; pairs
+    ``verify`` gives those of the pairs ``(a, b)`` that are similar. First each id meets its nearest partner alone; pairs
     whose ends are connected by then need no look. In large buckets all that is still apart meets all others there, block
     by block, so no link in a bucket is lost. That is linear for copies, and grows with the square of a bucket
     whose ids aren't alike, by some nanoseconds for each pair of sketches; only near ones leave it.
     """
     with scope() as keep:
         pairs, many = _pairs(rows, most, all_pairs, name)
-        nearest = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("b").agg(F.min("a").alias("a"))
+        nearest = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far")).groupBy("b").agg(F.min_by("a", "far").alias("a"))
         united = components(verify(written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name + "-first")))
         roots = small(united)
         rest = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")

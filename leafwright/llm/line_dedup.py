@@ -17,9 +17,9 @@ SIGNED = 10
 #: A pair at the limit of similarity shares no band with a probability of (1 - 0.64^2)^10 = 0.5 %.
 BANDS, ROWS = 10, 2
 #: Samples of which a sketch holds two bits each; bands use the first ones. At the limit 8.7 of 32 differ, give or take 2.5; 22 in lines alike by chance.
-SAMPLES, MOST_DIFFERING = 32, 16
+SAMPLES, MOST_DIFFERING = 32, 13
 #: Signatures use each fourth shingle by its hash; lines of fewer characters, or with fewer different shingles of that kind, get one from all shingles besides.
-THIN, SHORT, FEW = 4, 144, 24
+THIN, SHORT, FEW = 4, 112, 12
 
 
 def _seeds(n: int) -> tuple[int, ...]:
@@ -44,10 +44,9 @@ def _places(wide: str | Column, size: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length(wide) / 4).cast("int") - (size - 1)))
 
 
-def shingle_set(wide: str | Column) -> Column:
-    """Hashes of all distinct runs of ``SHINGLE`` characters of a line in four bytes a character; of the whole line if it is shorter."""
-    column = F.col(wide) if isinstance(wide, str) else wide
-    return F.array_distinct(F.transform(_places(column, SHINGLE), lambda at: F.xxhash64(F.substring(column, 4 * at - 3, F.lit(4 * SHINGLE)))))
+def shingles(line: str) -> Column:
+    """All runs of ``SHINGLE`` characters of a line; the whole line if it is shorter."""
+    return F.when(F.char_length(line) >= SHINGLE, F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)).otherwise(F.array(line))
 
 
 def _signed(lines: DataFrame, thin: bool) -> DataFrame:
@@ -107,11 +106,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def verify(pairs: DataFrame) -> DataFrame:
         with scope() as keep:
             ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
-            texts = lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"])
-            texts = written(texts.select("node", _wide("line").alias("wide")), "line-texts")  # written wide, lest each shingle widens its line anew
+            texts = written(lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
             compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-            compared = compared.select("a", "b", shingle_set("x").alias("x"), shingle_set("y").alias("y")).withColumn("both", F.size(F.array_intersect("x", "y")))
-            return keep(written(compared.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"), "line-edges"))
+            # Exploded as one row, so that the condition can't be moved below and cut the shingles several times.
+            sets = compared.select("a", "b", F.explode(F.array(F.struct(shingles("x").alias("x"), shingles("y").alias("y")))).alias("s"))
+            return keep(written(sets.where(F.size(F.array_intersect("s.x", "s.y")) >= similarity * F.size(F.array_union("s.x", "s.y"))).select("a", "b"), "line-edges"))
 
     with scope() as keep:
         places = written(lines.select("id", "key", "nr", "node", _long().alias("long")), "line-places")
