@@ -17,7 +17,10 @@ SIGNED = 10
 #: A pair at the limit of similarity shares no band with a probability of (1 - 0.64^2)^10 = 0.5 %.
 BANDS, ROWS = 10, 2
 #: Samples of which a sketch holds two bits each; bands use the first ones. At the limit 8.7 of 32 differ, give or take 2.5; 22 in lines alike by chance.
-SAMPLES, MOST_DIFFERING = 32, 13
+SAMPLES, MOST_DIFFERING = 32, 16
+#: Before a pair's shingles are compared exactly, its likeness is estimated from sets of 64 * WORDS bits, to 0.03; it is dropped only if that
+#: is SLACK below the limit. Sets that fill FULL bits tell nothing.
+WORDS, SLACK, FULL = 16, 0.1, 960
 #: Signatures use each fourth shingle by its hash; lines of fewer characters, or with fewer different shingles of that kind, get one from all shingles besides.
 THIN, SHORT, FEW = 4, 112, 12
 
@@ -49,6 +52,24 @@ def shingles(line: str) -> Column:
     return F.when(F.char_length(line) >= SHINGLE, F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)).otherwise(F.array(line))
 
 
+def bitmaps(lines: DataFrame) -> DataFrame:
+    """``(node, w0, w1, ...)``: the hashes of a line's runs of ``SHINGLE`` characters as a set of ``64 * WORDS`` bits; ``lines``: ``(node, line)``, no line twice."""
+    wide = lines.select("node", _wide("line").alias("wide"))
+    spots = wide.select("node", "wide", F.explode(_places("wide", SHINGLE)).alias("at")).select("node", F.xxhash64(F.substring("wide", 4 * F.col("at") - 3, F.lit(4 * SHINGLE))).alias("h"))
+    marked = spots.select("node", F.pmod(F.shiftrightunsigned("h", 32), F.lit(WORDS)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    return marked.groupBy("node").agg(*(F.coalesce(F.bit_or(F.when(F.col("w") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)))
+
+
+def _near(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` that may reach ``similarity``, by the sizes of their sets and of both together, as the bits that they set tell them."""
+    name = lambda side: [F.col("node").alias(side), *(F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS))]
+    both = pairs.join(bits.select(*name("a")), "a").join(bits.select(*name("b")), "b")
+    count = lambda word: sum((F.bit_count(word(i)) for i in range(WORDS)), F.lit(0))
+    size = lambda n: -F.log(1 - F.least(n, F.lit(FULL)) / (64.0 * WORDS))
+    counted = both.select("a", "b", count(lambda i: F.col(f"a{i}")).alias("m"), count(lambda i: F.col(f"b{i}")).alias("n"), count(lambda i: F.col(f"a{i}").bitwiseOR(F.col(f"b{i}"))).alias("u"))
+    return counted.where((F.col("u") >= FULL) | (size(F.col("m")) + size(F.col("n")) >= (1 + similarity - SLACK) * size(F.col("u")))).select("a", "b")
+
+
 def _signed(lines: DataFrame, thin: bool) -> DataFrame:
     """``(id, kind, sketch, keys, guess)`` of lines ``(node, line)``, which may repeat, from all shingles or from one of ``THIN``.
 
@@ -107,7 +128,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         with scope() as keep:
             ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
             texts = written(lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-            compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+            near = _near(pairs, written(bitmaps(texts), "line-bits"), similarity)
+            compared = near.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
             # Exploded as one row, so that the condition can't be moved below and cut the shingles several times.
             sets = compared.select("a", "b", F.explode(F.array(F.struct(shingles("x").alias("x"), shingles("y").alias("y")))).alias("s"))
             return keep(written(sets.where(F.size(F.array_intersect("s.x", "s.y")) >= similarity * F.size(F.array_union("s.x", "s.y"))).select("a", "b"), "line-edges"))
