@@ -56,28 +56,54 @@ def _apart(many: DataFrame, united: DataFrame, most: int, name: str, block: int)
     dealt = written(dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "root", "sketch"), name + "-dealt")
     # All conditions belong to the join, so no row is made of a pair that doesn't meet them.
     once = F.expr("x.key = y.key and x.low = y.low and x.high = y.high and x.id < y.id and x.root != y.root and (x.own != y.own or x.low = x.high)")
-    close = differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= most
-    return dealt.alias("x").join(dealt.alias("y"), once & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    far = differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
+    met = dealt.alias("x").join(dealt.alias("y"), once & (far <= most)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.alias("far"))
+    return met.groupBy("a", "b").agg(F.min("far").alias("far"))
+
+
+#: ``(pairs (a, b, far)) -> (those of them that may be similar, verify)``; ``verify`` gives those of such pairs that are.
+Prepare = Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]]
 
 
-def linked(rows: DataFrame, most: int, verify: Callable[[DataFrame], DataFrame], name: str, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
+def linked(rows: DataFrame, most: int, prepare: Prepare, name: str, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
     """``(id, root)`` of all ids that verified pairs connect: pairs that share a bucket of ``rows (key, id, sketch)`` and whose sketches differ in ``most`` samples at most.
 
-    ``verify`` gives those of the pairs ``(a, b)`` that are similar. First each id meets its nearest partner alone; pairs
-    whose ends are connected by then need no look. In large buckets all that is still apart meets all others there, block
+    ``prepare`` fetches what pairs are verified by, once. First each id meets its nearest partner alone, then of each two groups so far the
+    nearest two members, then all pairs whose ends are still apart. In large buckets all that is apart then meets all others there, block
     by block, so no link in a bucket is lost. That is linear for copies, and grows with the square of a bucket
     whose ids aren't alike, by some nanoseconds for each pair of sketches; only near ones leave it.
     """
     with scope() as keep:
         pairs, many = _pairs(rows, most, all_pairs, name)
+        pairs, verify = prepare(pairs)
         nearest = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far")).groupBy("b").agg(F.min_by("a", "far").alias("a"))
         united = components(verify(written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name + "-first")))
-        roots = small(united)
-        rest = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
-        left = written(rest.unionByName(_apart(many, united, most, name, block)).distinct(), name + "-left")
-        if left.isEmpty():
-            return keep(united)
-        return keep(components(united.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(verify(left)), united.select("id")))
+        rest = _still_apart(pairs, united, name)
+        # Of each two groups the nearest pair; it may fail where others don't, so these follow.
+        one = rest.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(F.min(F.struct("far", "a", "b")).alias("n")).select("n.a", "n.b")
+        united = _joined(united, verify(written(one, name + "-second")))
+        rest = _still_apart(rest.select("a", "b", "far"), united, name)
+        united = _joined(united, verify(rest.select("a", "b")))
+        apart = written(_apart(many, united, most, name, block), name + "-apart")
+        if not apart.isEmpty():
+            apart, verify = prepare(apart)
+            united = _joined(united, verify(apart.select("a", "b")))
+        return keep(united)
+
+
+def _still_apart(pairs: DataFrame, united: DataFrame, name: str) -> DataFrame:
+    """``(a, b, far, ra, rb)``: the pairs whose ends ``united`` doesn't connect, with their roots."""
+    roots = small(united)
+    both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    both = both.select("a", "b", "far", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    return written(both.where("ra != rb"), name + "-rest")
+
+
+def _joined(united: DataFrame, edges: DataFrame) -> DataFrame:
+    """``united (id, root)`` with further edges."""
+    if edges.isEmpty():
+        return united
+    return components(united.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(edges), united.select("id"))
 
 
 def components(edges: DataFrame, ids: DataFrame | None = None, name: str = "components") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +63,14 @@ def bitmaps(lines: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` that may reach ``similarity``, by the sizes of their sets and of both together, as the bits that they set tell them."""
+    """The ``pairs`` that may reach ``similarity``, by the sizes of their sets and of both together, as the bits that they set tell them; ``far``: their estimated distance in 1/1000."""
     name = lambda side: [F.col("node").alias(side), *(F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS))]
     both = pairs.join(bits.select(*name("a")), "a").join(bits.select(*name("b")), "b")
     count = lambda word: sum((F.bit_count(word(i)) for i in range(WORDS)), F.lit(0))
     size = lambda n: -F.log(1 - F.least(n, F.lit(FULL)) / (64.0 * WORDS))
     counted = both.select("a", "b", count(lambda i: F.col(f"a{i}")).alias("m"), count(lambda i: F.col(f"b{i}")).alias("n"), count(lambda i: F.col(f"a{i}").bitwiseOR(F.col(f"b{i}"))).alias("u"))
-    return counted.where((F.col("u") >= FULL) | (size(F.col("m")) + size(F.col("n")) >= (1 + similarity - SLACK) * size(F.col("u")))).select("a", "b")
+    alike = (size(F.col("m")) + size(F.col("n"))) / size(F.col("u")) - 1
+    return counted.where((F.col("u") >= FULL) | (alike >= similarity - SLACK)).select("a", "b", F.round(1000 * (1 - alike)).cast("int").alias("far"))
 
 
 def _signed(lines: DataFrame, thin: bool) -> DataFrame:
@@ -110,12 +113,12 @@ def _long() -> Column:
     return F.char_length("line") >= SHORT
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``(key, gone)``: the line numbers (from 0, ascending) that go from the text with this key, where any go.
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Written tables ``(key, gone)``: the line numbers (from 0, ascending) that go from the text with this key, where any go; and ``(key)`` of repeated rows.
 
     Lines with a word that are equal, or whose sets of ``SHINGLE`` characters have a Jaccard similarity of ``similarity`` or
     more, are connected; of each component the first line stays, by document id (nulls first), key and line number.
-    ``key`` is the 64-bit hash of id and text, so rows that repeat both are treated alike and keep the same lines. Null and empty
+    ``key`` is the 64-bit hash of id and text; of rows that repeat both, ``gone`` is meant for one, and the others keep no line. Null and empty
     texts, and those without a word, have no lines; an empty table gives no rows.
 
     Equal lines are one node. Shingles are exploded and reduced to signatures by an aggregate that combines before the
@@ -124,15 +127,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("key"), "text")
     lines = base.select("id", "key", F.posexplode(_lines("text")).alias("nr", "line")).where(F.col("line").rlike(_WORD)).withColumn("node", F.xxhash64("line"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        with scope() as keep:
-            ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
-            texts = written(lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-            near = _near(pairs, written(bitmaps(texts), "line-bits"), similarity)
-            compared = near.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    def prepare(pairs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
+        texts = written(lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+        near = written(_near(pairs, written(bitmaps(texts), "line-bits"), similarity), "line-near")
+
+        def verify(some: DataFrame) -> DataFrame:
+            compared = some.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
             # Exploded as one row, so that the condition can't be moved below and cut the shingles several times.
             sets = compared.select("a", "b", F.explode(F.array(F.struct(shingles("x").alias("x"), shingles("y").alias("y")))).alias("s"))
-            return keep(written(sets.where(F.size(F.array_intersect("s.x", "s.y")) >= similarity * F.size(F.array_union("s.x", "s.y"))).select("a", "b"), "line-edges"))
+            return written(sets.where(F.size(F.array_intersect("s.x", "s.y")) >= similarity * F.size(F.array_union("s.x", "s.y"))).select("a", "b"), "line-edges")
+
+        return near, verify
 
     with scope() as keep:
         places = written(lines.select("id", "key", "nr", "node", _long().alias("long")), "line-places")
@@ -140,7 +146,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = signs[0].select(F.explode("keys").alias("key"), "id", "sketch")
         for more in signs[1:]:
             rows = rows.unionByName(more.select(F.explode("keys").alias("key"), "id", "sketch"))
-        united = linked(rows, MOST_DIFFERING, verify, "lines").withColumnRenamed("id", "node")
+        united = linked(rows, MOST_DIFFERING, prepare, "lines").withColumnRenamed("id", "node")
         forget(*signs)
 
         placed = places.join(small(united), "node", "left").select("id", "key", "nr", F.coalesce("root", "node").alias("root"))
@@ -149,7 +155,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = many.groupBy("root").agg(F.min(F.struct("id", "key", "nr")).alias("first"))
         others = many.join(small(written(first, "line-first")), "root").where(~((F.col("key") == F.col("first.key")) & (F.col("nr") == F.col("first.nr"))))
         # As many numbers as a text has lines, at most; rows that repeat a text name each number once.
-        return keep(written(others.groupBy("key").agg(F.sort_array(F.collect_set("nr")).alias("gone")), "line-gone"))
+        gone = keep(written(others.groupBy("key").agg(F.sort_array(F.collect_set("nr")).alias("gone")), "line-gone"))
+        again = places.groupBy("key", "nr").agg(F.count("*").alias("n")).where("n > 1").select("key").distinct()
+        return gone, keep(written(again, "line-again"))
 
 
 def _flags(gone: str) -> Column:
@@ -161,12 +169,23 @@ def _flags(gone: str) -> Column:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, counts: bool = False) -> DataFrame:
     """``docs`` without the lines that ``repeated_lines`` names; all rows and columns stay.
 
-    A text from which all lines go becomes empty; lines without a word stay; null texts stay null. With ``counts`` the columns
-    ``n_lines``, ``dropped`` (the numbers of the lines that went) are added.
+    A text from which all lines go becomes empty; lines without a word stay; null texts stay null. Of rows that repeat id and
+    text, one counts and the others lose all lines with a word. With ``counts`` the columns ``n_lines``, ``dropped`` (the
+    numbers of the lines that went) are added.
     """
-    gone = repeated_lines(docs, id_col, text_col, similarity)
-    keyed = docs.withColumn("__key_of_lines", F.xxhash64(F.col(id_col), text_of(text_col)))
-    marked = keyed.join(small(gone.toDF("__key_of_lines", "__gone")), "__key_of_lines", "left")
+    key = "__key_of_lines"
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), text_of(text_col)))
+    with scope() as keep:
+        gone, again = repeated_lines(docs, id_col, text_col, similarity)
+        marked = keyed.join(small(keep(gone).toDF(key, "__gone")), key, "left")
+        if not again.isEmpty():
+            again = small(keep(again).toDF(key), BROADCAST_IDS)
+            copies = keep(written(keyed.join(again, key, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "line-copies"))
+            first = small(keep(written(copies.groupBy(key).agg(F.min("__row").alias("__first")), "line-firsts")))
+            words = F.filter(F.sequence(F.lit(0), F.size(_lines(text_of(text_col))) - 1), lambda i: F.get(_lines(text_of(text_col)), i).rlike(_WORD))
+            copies = copies.join(small(gone.toDF(key, "__gone")), key, "left").join(first, key)
+            copies = copies.withColumn("__gone", F.when(F.col("__row") == F.col("__first"), F.col("__gone")).otherwise(F.nullif(words, F.array().cast("array<int>"))))
+            marked = marked.join(again, key, "left_anti").unionByName(copies.drop("__row", "__first"))
     # Line numbers become one string of flags, read byte by byte.
     flags = _flags("__gone").cast("binary")
     marked = marked.withColumn("__flags", flags)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -280,15 +280,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, siz
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
         release()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        with scope() as keep:
-            ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-            sets = table.select("node", "shingles", "times").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"])
-            sets = written(sets, "sets")
-            compared = pairs.join(sets.toDF("a", "xa", "ta"), "a").join(sets.toDF("b", "xb", "tb"), "b")
-            return keep(written(compared.mapInArrow(similar, "a long, b long"), "edges"))
+    def prepare(pairs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        sets = written(table.select("node", "shingles", "times").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    united = linked(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "sketch"), MOST_DIFFERING, verify, "buckets")
+        def verify(some: DataFrame) -> DataFrame:
+            compared = some.join(sets.toDF("a", "xa", "ta"), "a").join(sets.toDF("b", "xb", "tb"), "b")
+            return written(compared.mapInArrow(similar, "a long, b long"), "edges")
+
+        return pairs, verify
+
+    united = linked(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "sketch"), MOST_DIFFERING, prepare, "buckets")
     members = table.select("doc_id", "node").join(small(united).withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     members = written(members, "members")
     classes = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
