@@ -2,9 +2,8 @@
 
 A text is cut where a rolling hash of its last bytes hits a pattern, so that passages shared by
 documents are cut alike wherever they stand. A chunk's inside is encoded once and kept; what lies
-around a join is encoded again, over a window that grows until both its ends fall on places where
-the encoding of the left and the right can't depend on each other, so the joined ids agree exactly
-with those of the whole text.
+around a join is encoded again, over a window that reaches to places where the encoding of the left and the
+right can't depend on each other, and whose ids must agree with those of the pieces that it overlaps.
 """
 
 from __future__ import annotations
@@ -15,15 +14,18 @@ import re
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import release, text_of
 
 VOCABULARY = "byte_bpe_50k"
+#: A chunk has 2^BITS bytes on average; a task keeps so many distinct ones.
+BITS, KEEP = 8, 60_000
 #: Letters whose class every Unicode version agrees on; a text with any other letter goes to the `tokenizers` library itself.
 _RARE = re.compile("[^\u0000-ɏ‐-‧‰-⁞€]")
 #: White space after a character that is none: the encoding on either side can't depend on the other.
@@ -70,7 +72,7 @@ def encoder(name: str = VOCABULARY) -> Encoder:
     return Encoder(name)
 
 
-def cuts(data: bytes, bits: int = 9) -> np.ndarray:
+def cuts(data: bytes, bits: int = BITS) -> np.ndarray:
     """Byte offsets where chunks begin (without 0): those after which a hash of the eight bytes before hits a pattern.
 
     A hash of a sliding window depends on these bytes alone, so equal passages are cut alike. Offsets
@@ -88,63 +90,76 @@ def cuts(data: bytes, bits: int = 9) -> np.ndarray:
     return np.unique(at[at < len(a)])
 
 
+class Chunk(NamedTuple):
+    """A chunk between its first and its last safe place: what stands before and after, the ids between, and the text and number of ids of the first and last piece of them."""
+
+    head: str
+    ids: np.ndarray
+    tail: str
+    first: str
+    n_first: int
+    last: str
+    n_last: int
+
+
 class ChunkedEncoder:
     """Encodes texts by chunks, each distinct one once while it stays among the ``keep`` last used."""
 
-    def __init__(self, name: str = VOCABULARY, bits: int = 10, keep: int = 40_000) -> None:
+    def __init__(self, name: str = VOCABULARY, bits: int = BITS, keep: int = KEEP) -> None:
         self.base, self.bits, self.keep = encoder(name), bits, keep
-        self.known: OrderedDict[bytes, tuple[str, np.ndarray, str] | None] = OrderedDict()
-        self.hits = self.misses = 0
+        self.known: OrderedDict[bytes, Chunk | None] = OrderedDict()
+        self.hits = self.misses = self.widened = 0
 
-    def _chunk(self, raw: bytes) -> tuple[str, np.ndarray, str] | None:
-        """(text before the first safe place, ids between the first and the last, text after); None if it has fewer than two."""
+    def _chunk(self, raw: bytes) -> Chunk | None:
+        """None if it has fewer than three safe places."""
         if raw in self.known:
             self.hits += 1
             self.known.move_to_end(raw)
             return self.known[raw]
         self.misses += 1
         text = raw.decode("utf-8")
-        first = _SAFE.search(text)
-        a = b = first.start() if first else -1
-        p = len(text)
-        while p > a >= 0:
-            p = max(text.rfind(" ", 0, p), text.rfind("\n", 0, p))
-            if p > a and _SAFE.match(text, p):
-                b = p
-                break
-        got = (text[:a], self.base.ids(text[a:b]), text[b:]) if b > a else None
+        at = [m.start() for m in _SAFE.finditer(text)]
+        got = None
+        if len(at) >= 3:
+            a, b, c, d = at[0], at[1], at[-2], at[-1]
+            got = Chunk(text[:a], self.base.ids(text[a:d]), text[d:], text[a:b], len(self.base.ids(text[a:b])), text[c:d], len(self.base.ids(text[c:d])))
         self.known[raw] = got
         if len(self.known) > self.keep:
             self.known.popitem(last=False)
         return got
 
     def ids(self, text: str) -> np.ndarray:
-        """Ids of the whole text."""
-        if any(m in text for m in self.base.marks) or (not text.isascii() and _RARE.search(text)):
+        """Ids of the whole text.
+
+        What lies around a join is encoded again, from the last piece of the chunk before to the first one of the chunk after. Where the new ids
+        agree with both pieces, they take the place of these; a chunk without safe places is taken in whole, and if they ever don't
+        agree, the window grows to the whole text.
+        """
+        if any(m in text for m in self.base.marks):
             return self.base.ids(text)  # special tokens may span what is safe otherwise
         data = text.encode("utf-8")
         ends = [0, *cuts(data, self.bits).tolist(), len(data)]
         parts: list[np.ndarray] = []
-        window = ""
+        window, begin = "", np.empty(0, np.uint32)  # text to be encoded again, and the ids that it must begin with
         for a, b in zip(ends, ends[1:]):
             got = self._chunk(data[a:b])
-            if got is None:  # no safe place: the window grows over the whole chunk
+            if got is None:
                 window += data[a:b].decode("utf-8")
                 continue
-            window += got[0]
-            if window:
-                parts.append(self.base.ids(window))
-            parts.append(got[1])
-            window = got[2]
-        if window:
-            parts.append(self.base.ids(window))
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+            new, head = self.base.ids(window + got.head + got.first), got.ids[: got.n_first]
+            if not (np.array_equal(new[: len(begin)], begin) and np.array_equal(new[len(new) - len(head) :], head)):
+                self.widened += 1
+                return self.base.ids(text)
+            parts += [new, got.ids[got.n_first : len(got.ids) - got.n_last]]
+            window, begin = got.last + got.tail, got.ids[len(got.ids) - got.n_last :]
+        parts.append(self.base.ids(window))
+        return np.concatenate(parts)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, bits: int = 10, keep: int = 40_000, digests: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, bits: int = BITS, keep: int = KEEP, digests: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     Returns ``(doc_id, n_tokens, ids binary of little-endian unsigned 32-bit integers, decoded)``, or with
@@ -168,5 +183,6 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out[2].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digests else decoded)
             kinds = (pa.int64(), pa.string() if digests else pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))], names=[c.split()[0] for c in columns.split(", ")])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import release, scope, small, written
 
 #: Labelled documents per language that a model is fitted on at most.
 TRAIN_DOCS = 600
@@ -118,17 +118,22 @@ _UNITS = 1 << 30
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> Model:
     """Fits a model on at most ``per_lang`` labelled documents a language, those with the smallest hashes of their ids.
 
-    Null languages, texts and ids aren't used. The sample is picked from ids alone; only the picked texts are read out.
+    Null languages, texts and ids aren't used; rows that repeat id, language and text count once. The sample is picked from ids alone;
+    only the picked texts are read out. A table without labels gives a model that knows no language.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(_UNITS)).alias("h"))
     # Hashes are even, so those below a threshold are some three times per_lang ids of each language, however many it has.
-    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    near = ids.join(small(written(counts, "languages")), "lang").where(F.col("h") * F.col("n") < F.lit(3.0 * per_lang * _UNITS))
-    picked = near.withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("nr") <= per_lang).select("id", "lang")
-    # At most per_lang rows a language; a repeated id may bring its copies along.
-    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked.distinct()), ["id", "lang"], "left_semi")
-    return fit(sorted((r.lang, r.text) for r in texts.select("lang", "text").toLocalIterator()))
+    with scope():
+        counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+        near = ids.join(small(written(counts, "languages")), "lang").where(F.col("h") * F.col("n") < F.lit(3.0 * per_lang * _UNITS)).distinct()
+        first = Window.partitionBy("lang").orderBy("h", "id")
+        picked = written(near.withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= per_lang).drop("nr"), "picked")  # per_lang rows a language
+        texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(small(picked), ["id", "lang"])
+        # An id may have several texts: each counts, up to per_lang in all.
+        texts = texts.withColumn("code", F.xxhash64("text")).dropDuplicates(["lang", "h", "id", "code"])
+        kept = texts.withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "code"))).where(F.col("nr") <= per_lang)
+        return fit(sorted((r.lang, r.text) for r in kept.select("lang", "text").toLocalIterator()))
 
 
 class Predictor:
@@ -182,19 +187,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             langs, scores, sizes = predictor.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(sizes)], names=["id", "lang_pred", "score", "n_langs"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double, n_langs int").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: null texts, texts without a letter, and mixtures in which no language has ``least`` of the text."""
+    """``docs`` without the rows whose language can't be told: null texts, texts without a letter, and mixtures in which no language has ``least`` of the text.
+
+    All columns stay as they are, whatever their names; rows may repeat. A model that knows no language rejects all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model)
         for batch in batches:
             langs, scores, _ = predictor.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores)], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

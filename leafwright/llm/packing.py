@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, encoder
-from .common import exclusive_prefix, small, text_of, written
+from .common import exclusive_prefix, release, scope, small, text_of, written
 
 #: Tokens in a window (a training sequence).
 WINDOW = 1024
@@ -20,6 +20,8 @@ WINDOW = 1024
 LEAST_PIECE = 64
 #: Tokens that one task packs at a time (2 bytes each in the shuffle).
 GROUP_TOKENS = 1 << 20
+#: Tokens of a source that go to groups of windows together, so that a rare source isn't spread in crumbs over all of them.
+QUANTUM = 4096
 END = 0
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -37,7 +39,9 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, voca
             before, n, blobs = [], [], []
             sources = batch.column(1).to_pylist()
             for source, text in zip(sources, batch.column(2)):
-                ids = np.array([*own.ids(text.as_py()), END], "<u4")
+                found = own.ids(text.as_py())
+                ids = np.full(len(found) + 1, END, "<u4")
+                ids[:-1] = found
                 before.append(seen.get(source, 0))
                 n.append(len(ids))
                 seen[source] = before[-1] + len(ids)
@@ -46,6 +50,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, voca
                 [pa.array([part] * len(n), pa.int32()), batch.column(0), pa.array(sources, pa.string()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())],
                 names=["part", "doc_id", "source", "before", "n", "ids"],
             )
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "part int, doc_id long, source string, before long, n long, ids binary")
@@ -95,51 +100,72 @@ def serve(available: np.ndarray, deficit: np.ndarray, first: int, window: int, l
     return out
 
 
+def _line(queues: DataFrame, targets: dict[str, float] | None) -> str:
+    """SQL for the place on the line, from 0 to 1, of the share ``rel`` of a ``source``'s queue.
+
+    Without targets all queues run out together, at the end. With them, each source sends by its target, all others by what is left
+    over, until it runs out; then what it had goes to those that are still open, in proportion.
+    """
+    if not targets:
+        return "rel"
+    rest = 1.0 - sum(targets.values())
+    if min(targets.values()) <= 0 or rest < -1e-9:
+        raise ValueError("targets must be positive and sum up to 1 at most")
+    named = F.when(F.col("source").isin(*targets), F.col("source"))
+    totals = {r[0]: r[1] for r in queues.select("source", "queue").distinct().groupBy(named).agg(F.sum("queue")).collect()}  # a row for each target and one for all others
+    rates = [(total, targets.get(source, max(rest, 1e-9))) for source, total in totals.items()]
+    quoted = {source: "'" + source.replace("\\", "\\\\").replace("'", "\\'") + "'" for source in targets}
+    ends = " ".join(f"when {quoted[source]} then {totals[source] / targets[source]!r}D" for source in totals if source is not None)
+    last = f"{totals[None] / max(rest, 1e-9)!r}D" if None in totals else "0D"
+    at = f"(rel * case source {ends} else {last} end)" if ends else f"(rel * {last})"
+    return "(" + " + ".join(f"least({float(total)!r}D, {rate!r}D * {at})" for total, rate in rates) + f") / {float(sum(totals.values()))!r}D"
+
+
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW,
-    vocabulary: str = VOCABULARY, least: int = LEAST_PIECE, group_tokens: int = GROUP_TOKENS, with_ids: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, vocabulary: str = VOCABULARY,
+    least: int = LEAST_PIECE, group_tokens: int = GROUP_TOKENS, with_ids: bool = False, targets: dict[str, float] | None = None, quantum: int = QUANTUM,
 ) -> DataFrame:
-    """Packs every document into windows that hold the sources in their proportions of all tokens.
+    """Packs every document into windows that hold the sources in target proportions.
+
+    ``targets`` gives sources their shares of a window; the sources that it doesn't name divide the rest among them by their sizes.
+    Without it, all do. A source that has run out leaves its share to the others, for every token is packed.
 
-    Each source is a queue, in task order. Since the targets are the corpus's own proportions, a queue
-    with ``T`` tokens has sent ``floor(T * g / G)`` of them when ``g`` of ``G`` groups of windows are done, which
-    places every document without packing the ones before; what flooring leaves over is the queue's
-    deficit, with which the next group begins. A group (``group_tokens`` tokens of all sources, so never
-    skewed) runs the round-robin over its windows; a window that a group leaves half full is filled up
-    by the next. Only the very last window can be short.
+    Each source is a queue, in task order, cut into quanta of ``quantum`` tokens. A quantum's place on the line of all
+    tokens follows from its number and the sources' totals alone, so quanta are dealt to groups of windows (``group_tokens``
+    tokens of all sources, so never skewed) without packing what comes before. A group runs the
+    round-robin over its windows; a source begins it with the deficit that its quanta so far leave, and a
+    window that a group leaves half full is filled up by the next. Only the very last window can be short.
 
     Returns a row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source`` (with ``ids``,
     little-endian unsigned 32-bit, if asked). Null text counts as empty and packs as its closing token alone; null sources
-    form one queue with ``""``; repeated rows are packed each; an empty table gives no rows.
+    form one queue with ``""``; repeated rows are packed each; an empty table gives no rows. Other columns, whatever their names, aren't read.
     """
-    spark = docs.sparkSession
-    tokens = written(tokenised(docs, id_col, text_col, source_col, vocabulary), "tokens", "zstd")
-
-    # A row per task and source, then a row per source.
-    parts = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    totals = F.sum("n").over(Window.partitionBy("source"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    queues = written(parts.select("part", "source", totals.alias("queue"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("queue0")), "queues")
-    total = parts.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
-
-    wide = "decimal(38,0)"
-    at = f"cast(queue0 + before as {wide})"
-    placed = tokens.join(small(queues), ["part", "source"])
-    of = lambda position: F.expr(f"cast(((({position}) + 1) * {groups} - 1) div queue as long)")
-    spread = (
-        placed.withColumn("at", F.expr("queue0 + before"))
-        .withColumn("g", F.explode(F.sequence(of(at), of(f"{at} + n - 1"))))
-        .withColumn("lo", F.expr(f"greatest(0, cast(cast(queue as {wide}) * g div {groups} as long) - at)"))
-        .withColumn("hi", F.expr(f"least(n, cast(cast(queue as {wide}) * (g + 1) div {groups} as long) - at)"))
-    )
-    sizes = spread.where("hi > lo").groupBy("g").agg(F.sum(F.expr("hi - lo")).alias("size"))
-    firsts = written(exclusive_prefix(sizes, "g", "size", "first").select("g", "first"), "groups")
-    width = F.expr("octet_length(ids) div n")
-    slices = spread.where("hi > lo").select(
-        "g", "source", (F.col("at") + F.col("lo")).alias("at"), "doc_id", F.col("n").alias("doc_tokens"), F.col("lo").alias("start"),
-        F.expr(f"cast((cast(queue as {wide}) * g) % {groups} as double) / {groups}").alias("carry"),
-        F.expr("substring(ids, cast(lo * (octet_length(ids) div n) + 1 as int), cast((hi - lo) * (octet_length(ids) div n) as int))").alias("ids"), width.cast("int").alias("width"),
+    with scope() as keep:
+        tokens = keep(written(tokenised(docs, id_col, text_col, source_col, vocabulary), "tokens", "zstd"))
+
+        # A row per task and source.
+        parts = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
+        totals = F.sum("n").over(Window.partitionBy("source"))
+        before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        queues = keep(written(parts.select("part", "source", totals.alias("queue"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("queue0")), "queues"))
+        groups = max(1, -(-(parts.agg(F.sum("n")).first()[0] or 0) // group_tokens))
+
+        phase = "(pmod(xxhash64(source), 65536) / 65536D)"  # so that rare sources don't meet in one group
+        spread = (
+            tokens.join(small(queues), ["part", "source"])
+            .withColumn("at", F.expr("queue0 + before"))
+            .withColumn("j", F.explode(F.expr(f"sequence(at div {quantum}, (at + n - 1) div {quantum})")))
+            .withColumn("rel", F.expr(f"(j + {phase}) / ceil(queue / {quantum}D)"))
+            .withColumn("x", F.expr(f"least({_line(queues, targets)} * {groups}, {groups - 1e-9!r}D)"))
+            .withColumn("g", F.floor("x"))
+            .withColumn("lo", F.expr(f"greatest(0, j * {quantum} - at)"))
+            .withColumn("hi", F.expr(f"least(n, (j + 1) * {quantum} - at)"))
+        )
+        sizes = written(spread.groupBy("g").agg(F.sum(F.expr("hi - lo")).alias("size")), "sizes")
+        firsts = keep(written(exclusive_prefix(sizes, "g", "size", "first").select("g", "first"), "groups"))
+    slices = spread.select(
+        "g", "source", (F.col("at") + F.col("lo")).alias("at"), "doc_id", F.col("n").alias("doc_tokens"), F.col("lo").alias("start"), (F.col("x") - F.col("g")).alias("due"), F.expr(f"{phase} * {quantum}").alias("carry"),
+        F.expr("substring(ids, cast(lo * (octet_length(ids) div n) + 1 as int), cast((hi - lo) * (octet_length(ids) div n) as int))").alias("ids"), F.expr("cast(octet_length(ids) div n as int)").alias("width"),
     )
     columns = PIECES + (", ids binary" if with_ids else "")
 
@@ -152,7 +178,8 @@ def pack(
             streams.append(memoryview(np.concatenate(ids)).cast("B"))
             bounds.append(np.cumsum([0, *map(len, ids)]))
             rows.append((own["doc_id"].tolist(), own["start"].tolist(), own["doc_tokens"].tolist(), own["source"].iloc[0]))
-            deficit.append(own["carry"].iloc[0])
+            # What the source should have sent when the group begins, less what it has: by how far into the group its first quantum is due.
+            deficit.append(own["carry"].iloc[0] - own["due"].iloc[0] * bounds[-1][-1])
         for q, a, n, at in serve(np.array([b[-1] for b in bounds]), np.array(deficit), int(pdf["first"].iloc[0]), window, least):
             ends, (doc, start, size, source) = bounds[q], rows[q]
             k = int(np.searchsorted(ends, a, "right")) - 1
@@ -165,4 +192,4 @@ def pack(
                 at, a, k = at + b - a, b, k + 1
         return pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")]).astype({"doc_id": "Int64"})
 
-    return slices.join(small(firsts), "g").groupBy("g").applyInPandas(group, columns) if groups else spark.createDataFrame([], columns)
+    return slices.join(small(firsts), "g").groupBy("g").applyInPandas(group, columns)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_of, written
+from .common import scope, small, text_of, written
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -18,8 +18,10 @@ CORE = 0.75
 #: Cells with fewer distinct vectors join the other small ones of their language, then of all.
 LEAST_CELL = 80
 STEPS = 6
-#: A document goes if its squared distance exceeds so many times the cell's median squared distance (and so many units).
-FAR, FAR_UNITS = 14.0, 7.0 * 6
+#: A document goes if its squared distance exceeds the value that one in 100,000 exceeds in a normal distribution of six statistics (chi-square), and
+#: where a cell's median squared distance is above that distribution's, so many times the median.
+FAR_UNITS = 33.1
+FAR = FAR_UNITS / 5.348
 
 #: Standard deviation of each transformed statistic below which a difference isn't worth a remark.
 FLOORS = {"x_words": 1.5, "x_length": 0.06, "x_symbols": 0.5, "x_lines": 0.1, "x_repeats": 0.1, "x_variety": 0.02}
@@ -118,10 +120,11 @@ def covariances(vectors: DataFrame, core: float = CORE, steps: int = STEPS) -> D
     concentrated: the ``core`` share of nearest vectors gives the next mean and covariance, whose determinant
     can't grow. The start that ends with the smaller determinant wins. Covariances carry the floors on their
     diagonal, so that a statistic that is nearly always the same doesn't make them singular. ``middle``: the median squared distance.
+    Percentiles are approximate, to 1/2000 of a cell, and may differ by that with the order of rows.
     """
     n = len(DIMS)
     medians = vectors.groupBy("cell").agg(*(F.percentile_approx(d, 0.5, 2000).alias(f"m_{i}") for i, d in enumerate(DIMS)))
-    medians = written(medians, "medians")
+    medians = small(written(medians, "medians"))  # a row per cell, as are all tables that vectors meet
     spread = vectors.join(medians, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(d) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, d in enumerate(DIMS)))
     robust = medians.join(spread, "cell").select(
         "cell", F.lit(0).alias("start"), *(F.col(f"m_{i}").cast("double") for i in range(n)),
@@ -131,7 +134,7 @@ def covariances(vectors: DataFrame, core: float = CORE, steps: int = STEPS) -> D
     state = written(_factor(robust.unionByName(classical)), "mcd")
     for _ in range(steps):
         near = vectors.join(small(state), "cell").select("cell", "start", *DIMS, _distance().alias("d"))
-        edge = near.groupBy("cell", "start").agg(F.percentile_approx("d", core, 2000).alias("edge"))
+        edge = small(written(near.groupBy("cell", "start").agg(F.percentile_approx("d", core, 2000).alias("edge")), "edges"))
         state = written(_factor(_moments(near.join(edge, ["cell", "start"]).where("d <= edge"))), "mcd")
     best = state.groupBy("cell").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     state = written(state.join(best, ["cell", "start"]).drop("start", "logdet"), "mcd")
@@ -143,11 +146,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Counts, base rules and the outlier verdict of every row.
 
     Estimates come from the distinct vectors of documents that pass the base rules, per language and source, so that copies of
-    one text don't narrow a cell. Cells with fewer than ``least_cell`` vectors are pooled by language, then all together; a
-    pool that is still smaller rejects nothing. Returns ``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    one text don't narrow a cell. Cells with fewer than ``least_cell`` vectors are pooled by language, then all together, however few that
+    makes: there the floors decide. Returns ``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, distance)``. Null or empty text: no words, so it fails. Null languages and sources are cells of their
-    own. One row out for each row in.
+    own. One row out for each row in, ids may repeat or be null; an empty table gives no rows. Other columns, whatever their names, aren't read.
     """
+    with scope() as keep:
+        stats, cells, state = map(keep, _fitted(docs, id_col, text_col, lang_col, source_col, least_cell))
+        judged = stats.join(small(cells), ["lang", "source"], "left").join(small(state), "cell", "left")
+    limit = F.greatest(F.lit(far_units), far * F.col("middle"))
+    return judged.select(
+        F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & F.coalesce(_distance() <= limit, F.lit(True))).alias("kept"), _distance().alias("distance"),
+    )
+
+
+def _fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, least_cell: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: statistics and vectors of all rows, the cell of each language and source, and the estimates of each cell."""
     stats = written(statistics(docs, id_col, text_col, lang_col, source_col).select("*", base_failed().alias("base_failed"), *vector()), "statistics")
     distinct = stats.where("not base_failed").select("lang", "source", *DIMS).distinct()
     counts = distinct.groupBy("lang", "source").count()
@@ -155,15 +170,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     fine = counts.withColumn("cell", F.when(F.col("count") >= least_cell, key("lang", "source")))
     pooled = fine.where("cell is null").groupBy("lang").agg(F.sum("count").alias("pool"))
     cells = written(
-        fine.join(pooled, "lang", "left").select("lang", "source", F.coalesce("cell", F.when(F.col("pool") >= least_cell, key("lang")), F.lit("")).alias("cell"), "count"), "cells"
+        fine.join(pooled, "lang", "left").select("lang", "source", F.coalesce("cell", F.when(F.col("pool") >= least_cell, key("lang")), F.lit("")).alias("cell")), "cells"
     )
-    rest = cells.where("cell = ''").agg(F.sum("count")).first()[0] or 0
-    usable = cells.where(F.lit(rest >= least_cell) | (F.col("cell") != "")).drop("count")
-    vectors = written(distinct.join(small(usable), ["lang", "source"]).select("cell", *DIMS), "vectors")
-    state = covariances(vectors)
-    judged = stats.join(small(usable), ["lang", "source"], "left").join(small(state), "cell", "left")
-    limit = F.greatest(F.lit(far_units), far * F.col("middle"))
-    return judged.select(
-        F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(_distance() <= limit, F.lit(True))).alias("kept"), _distance().alias("distance"),
-    )
+    vectors = written(distinct.join(small(cells), ["lang", "source"]).select("cell", *DIMS), "vectors")
+    return stats, cells, covariances(vectors)

@@ -71,7 +71,8 @@ WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url,
    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
  r(rhost, rpath, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
  f AS (SELECT nr, rhost || rpath AS rule, action, row_number() OVER (PARTITION BY nr ORDER BY length(rhost || rpath) DESC) AS rk FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
- q AS (SELECT h.*, f.rule, f.action, CASE WHEN regexp_matches(low, '/wp-login\\.php(?:[?#]|$)') THEN 'login' WHEN regexp_matches(low, '/calendar/\\d{4}/\\d{2}(?:/|$)') THEN 'calendar' WHEN regexp_matches(low, '[?&]add-to-cart=\\d+') THEN 'cart' END AS hit FROM h LEFT JOIN f ON h.nr = f.nr AND f.rk = 1)
+ q AS (SELECT h.*, f.rule, f.action, CASE WHEN regexp_matches(low, '/wp-login\\.php(?:[?#]|$)') THEN 'login' WHEN regexp_matches(low, '[?&]add-to-cart=\\d+') THEN 'cart' WHEN regexp_matches(low, '/calendar/\\d{4}/\\d{2}(?:/|$)') THEN 'calendar'
+   WHEN regexp_matches(low, '[?&]utm_source=') THEN 'feed-copy' WHEN regexp_matches(low, '[?&]page=\\d{2,}(?:[&#]|$)') THEN 'listing-page' END AS hit FROM h LEFT JOIN f ON h.nr = f.nr AND f.rk = 1)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN hit IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN hit END AS pattern FROM q"""
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import release, scope, text_of, written
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -31,11 +31,11 @@ KINDS = ("assign", "access", "hex", "crf")
 _KEY = re.compile("passw|secret|token|api_?key|akia|auth|bearer|key|pwd|cred")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 #: Texts and planted secrets that the field is fitted on at most.
-SAMPLE_TEXTS, PLANTED = 300, 1500
+SAMPLE_TEXTS, PLANTED = 300, 2000
 #: Tokens on each side of a planted or found secret that are learned from.
 CONTEXT = 10
 OUT, BEGIN, INSIDE = 0, 1, 2
-#: A span is kept if a token of it has so many characters and its own shape is not a plain word.
+#: Characters of the shortest span that the field may add.
 LEAST_CHARS = 12
 
 
@@ -144,7 +144,7 @@ def _planted(texts: list[str], rng: random.Random, most: int) -> list[tuple[list
     out = []
     words = [w for t in texts for w in t.split()] or ["text"]
     for _ in range(most):
-        kind = rng.randrange(10)
+        kind = rng.randrange(13)
         at = rng.randrange(len(words))
         left, right = words[max(0, at - CONTEXT) : at], words[at : at + CONTEXT]
         if kind < 3:
@@ -158,12 +158,22 @@ def _planted(texts: list[str], rng: random.Random, most: int) -> list[tuple[list
             middle, before, after = text_of_("0123456789abcdef", rng.choice((16, 24, 32, 40, 64))), rng.choice(("", "key ", "hash ")), ""
         elif kind == 5:
             middle, before, after = text_of_(b64, rng.randrange(24, 48)), "", rng.choice(("", "="))
+        elif kind == 6:  # of several tokens: three parts with full stops
+            middle, before, after = ".".join(text_of_(b64, rng.randrange(*size)) for size in ((12, 30), (20, 50), (20, 44))), rng.choice(("", "Bearer ", f"{rng.choice(names)}=")), ""
+        elif kind == 7:  # with marks among letters and digits
+            value = text_of_(alnum, 1) + text_of_(alnum + "$!@%^*~?#&" * 2, rng.randrange(10, 22)) + text_of_(alnum, 1)
+            quote = rng.choice(("", '"', "'"))
+            middle, before, after = value, f"{rng.choice(names)}{rng.choice((' = ', '=', ': ', ':', ' '))}{quote}", quote
+        elif kind == 8:  # over several lines, or parts with colons
+            middle, before, after = rng.choice(("\n", ":")).join(text_of_(b64, rng.randrange(16, 48)) for _ in range(rng.randrange(2, 4))), rng.choice(("", f"{rng.choice(names)}: ")), ""
         else:  # what looks like one and isn't
             middle = ""
             before = rng.choice((
                 "", text_of_(letters, rng.randrange(12, 34)), text_of_("0123456789", rng.randrange(4, 15)), f"{text_of_(letters, 6)}@{text_of_(letters, 8)}.com",
                 f"https://www.{text_of_(letters, 7)}.org/{text_of_(letters, 5)}/{text_of_('0123456789', 5)}", f"+{text_of_('0123456789', 2)} {text_of_('0123456789', 9)}", f"2024-0{rng.randrange(1, 9)}-1{rng.randrange(9)}",
-                text_of_(letters, 5).upper() + "-" + text_of_("0123456789", 4), f"{text_of_(letters, 7)}_{text_of_(letters, 9)}", f"{text_of_(letters, 6)}-{text_of_(letters, 9)}-{text_of_(letters, 7)}", "the password is short", "token: yes", rng.choice(names),
+                text_of_(letters, 5).upper() + "-" + text_of_("0123456789", 4), f"{text_of_(letters, 7)}_{text_of_(letters, 9)}", f"{text_of_(letters, 6)}-{text_of_(letters, 9)}-{text_of_(letters, 7)}", "the password is short",
+                f"{text_of_(letters, 5)}.{text_of_(letters, 8)}.{text_of_(letters, 3)}", f"v{rng.randrange(9)}.{rng.randrange(30)}.{rng.randrange(9)}", f"${rng.randrange(1, 90)},{rng.randrange(100, 999)}.{rng.randrange(10, 99)}", f"{text_of_(letters, 4)}!!! {text_of_(letters, 3)}?!", f"{rng.randrange(10, 24)}:{rng.randrange(10, 60)}:{rng.randrange(10, 60)}",
+                f"({text_of_(letters, 4)}: {text_of_(letters, 6)}; {text_of_(letters, 5)})", f"{text_of_(letters, 6)} & {text_of_(letters, 6)} = {rng.randrange(100)}%", "token: yes", rng.choice(names),
             ))
             after = ""
         tokens, tags = [], []
@@ -249,13 +259,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     """
     rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     near = rows.where(F.pmod("h", F.lit(_UNITS)) * F.lit(docs.count()) < F.lit(3.0 * texts * _UNITS))
-    picked = written(near.select("h").distinct().orderBy(F.pmod("h", F.lit(_UNITS)), "h").limit(texts), "picked")
-    sample = near.join(F.broadcast(picked), "h", "left_semi").dropDuplicates(["h"])
-    return fit([r.text for r in sorted(sample.collect(), key=lambda r: r.h)])
+    with scope():
+        picked = written(near.select("h").distinct().orderBy(F.pmod("h", F.lit(_UNITS)), "h").limit(texts), "picked")
+        sample = near.join(F.broadcast(picked), "h", "left_semi").dropDuplicates(["h"]).collect()
+    return fit([r.text for r in sorted(sample, key=lambda r: r.h)])
 
 
 def scan_texts(texts: list[str], field: Field, known: dict[str, int], kinds: dict[tuple, int], roles: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of all spans in each text: base ones, and the field's where they meet no base one."""
+    """(start, kind, end) of all spans in each text: base ones, and the field's where they reach beyond these."""
     found = [base_spans(t) for t in texts]
     step = field.step
     # The most that a tag other than outside can gain through its two steps; where the scores differ by more, Viterbi says outside.
@@ -286,20 +297,36 @@ def scan_texts(texts: list[str], field: Field, known: dict[str, int], kinds: dic
         tags[doubt] = viterbi(scores[doubt], b - a, step)
         if not tags.any():
             continue
-        own, base = [], found[i]
-        for k, m in enumerate(TOKEN.finditer(text)):
-            if tags[k] == INSIDE and own and own[-1][3] == k - 1:
-                own[-1][2:] = [m.end(), k, own[-1][4] or _looks(m[0])]
-            elif tags[k]:
-                own.append([m.start(), 3, m.end(), k, _looks(m[0])])
-        extra = [(s, k, e) for s, k, e, _, odd in own if odd and all(e <= x or s >= y for x, _, y in base)]
-        found[i] = sorted(base + extra)
+        found[i] = sorted(found[i] + _spans(text, tags, found[i]))
     return found
 
 
-def _looks(token: str) -> bool:
-    """Whether a token may be a secret at all: long, and no plain word or number."""
-    return len(token) >= LEAST_CHARS and not token.isalpha() and not token.isdigit()
+def _spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of tagged tokens that may be secrets and don't lie within base ones; tokens go on with a span if nothing, or one line end, parts them."""
+    own: list[list[int]] = []
+    last = -2
+    for k, m in enumerate(TOKEN.finditer(text)):
+        if not tags[k]:
+            continue
+        if tags[k] == INSIDE and last == k - 1 and (m.start() == own[-1][1] or text[own[-1][1] : m.start()] == "\n"):
+            own[-1][1] = m.end()
+        else:
+            own.append([m.start(), m.end()])
+        last = k
+    covered = np.zeros(len(text) + 1, bool)
+    for a, _, b in base:
+        covered[a:b] = True
+    return [(a, 3, b) for a, b in own if _looks(text[a:b]) and not covered[a:b].all()]
+
+
+def _looks(span: str) -> bool:
+    """Whether a span may be a secret at all: long, and no plain words, numbers or marks."""
+    inner = "".join(c for c in span if c.isalnum())
+    if len(span) < LEAST_CHARS or inner.isdigit():
+        return False
+    if inner.isalpha():  # letters alone change case within as words don't
+        return sum(a.islower() and b.isupper() for a, b in zip(span, span[1:])) >= 3
+    return len(inner) >= LEAST_CHARS // 2
 
 
 SCHEMA = "id {id}, n_assign long, n_access long, n_hex long, spans array<struct<start:int,kind:string,end:int>>"
@@ -309,7 +336,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     """Finds secrets in every whole text.
 
     Returns ``(id, n_assign, n_access, n_hex, spans)``; spans are by start, then kind in the order of ``KINDS``, in code points
-    with the end exclusive. Null and empty texts have none. One row out for each row in; ids may repeat or be null. No
+    with the end exclusive. Null and empty texts have none. One row out for each row in; ids may repeat or be null, other columns aren't read. No
     shuffle; a task keeps the shapes of at most a million tokens.
     """
 
@@ -325,6 +352,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             counts = [pa.array([sum(k == kind for _, k, _ in s) for s in spans], pa.int64()) for kind in range(3)]
             listed = pa.array([[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in s] for s in spans], kind_type)
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, listed], names=["id", "n_assign", "n_access", "n_hex", "spans"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA.format(id=dict(rows.dtypes)["id"])).withColumnRenamed("id", id_col)
@@ -364,5 +392,6 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             spans = scan_texts([t or "" for t in texts], field, known, kinds, roles)
             new = [t if not s else redacted(t, [(a, b) for a, _, b in s]) for t, s in zip(texts, spans)]
             yield batch.set_column(k, text_col, pa.array(new, pa.string()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

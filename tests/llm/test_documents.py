@@ -65,7 +65,7 @@ def test_buckets_of_every_size_keep_their_links(spark, block, all_pairs):
         seen.update(got)
         return spark.createDataFrame(sorted(got & alike), "a long, b long")
 
-    got = {x.id: x.root for x in graph.linked(rows, 0, verify, "t", all_pairs, block).collect()}
+    got = {x.id: x.root for x in graph.linked(rows, 0, lambda pairs: (pairs, verify), "t", all_pairs, block).collect()}
     assert {k: v for k, v in got.items() if k != v} == {3: 0, 11: 10, 21: 20, 41: 40}
     assert all(near[a] == near[b] for a, b in seen)
 
@@ -123,6 +123,14 @@ def test_recall_of_lines_near_the_limit(spark, alphabet):
     assert wanted > 100 and len(docs) - kept >= 0.96 * wanted
 
 
+def test_of_repeated_rows_one_keeps_its_lines(spark):
+    rows = [(1, "one line of text\n \nanother line here", "en", s, 9, "n", "k", "l") for s in "abc"] + [(2, "another line here", "en", "d", 9, "n", "k", "l")] + [(None, "one more", "en", "e", 9, "n", "k", "l")] * 2
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, DOCS).repartition(3), counts=True)
+    texts = Counter((x.doc_id, x.text) for x in got.collect())
+    assert texts == {(1, "one line of text\n \nanother line here"): 1, (1, " "): 2, (2, ""): 1, (None, "one more"): 1, (None, ""): 1}
+    assert sorted(x.dropped for x in got.collect()) == [[], [], [0], [0], [0, 2], [0, 2]]
+
+
 def test_lines_with_few_different_shingles_meet(spark):
     docs = list(enumerate(["é" * 3000, "é" * 200, "ab" * 900, "ab" * 100, "x y z " * 200, "x y z " * 90, "abcdefghij" * 4, "abcdefghij" * 40, "no such line"]))
     assert {x.doc_id: x.text for x in line_dedup.deduplicated(_docs(spark, docs)).collect()} == _expected_lines(docs)
@@ -316,6 +324,52 @@ def test_quality_counts_and_outliers(spark):
     assert all(x.kept for x in quality.judge(df.limit(5)).collect())
 
 
+def _numpy_mcd(x):
+    """The same estimates by numpy: two starts, six concentration steps over three quarters of the vectors, floors on the diagonal."""
+    floors = np.array(list(quality.FLOORS.values()))
+
+    def nearest_rank(v, q):
+        return np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+
+    def distances(mean, cov):
+        inner = np.linalg.inv(cov)
+        return np.einsum("ij,jk,ik->i", x - mean, inner, x - mean)
+
+    def moments(y):
+        return y.mean(0), np.cov(y.T, bias=True) + np.diag(floors**2)
+
+    middle = np.array([nearest_rank(x[:, i], 0.5) for i in range(x.shape[1])])
+    spread = np.array([nearest_rank(np.abs(x[:, i] - middle[i]), 0.5) for i in range(x.shape[1])])
+    best = None
+    for mean, cov in ((middle, np.diag((1.4826 * spread) ** 2 + floors**2)), moments(x)):
+        for _ in range(quality.STEPS):
+            d = distances(mean, cov)
+            mean, cov = moments(x[d <= nearest_rank(d, quality.CORE)])
+        if best is None or np.linalg.slogdet(cov)[1] < np.linalg.slogdet(best[1])[1]:
+            best = mean, cov
+    d = distances(*best)
+    return d, d <= max(quality.FAR_UNITS, quality.FAR * nearest_rank(d, 0.5))
+
+
+def test_verdicts_agree_with_numpy(spark):
+    r = random.Random(44)
+    texts = [_words(r, r.randrange(20, 300)) for _ in range(260)]
+    texts += [_words(r, r.randrange(20, 200)).replace(" ", r.choice([" # ", " $$ ", "***"])) for _ in range(24)] + ["\n".join([_words(r, 12)] * 2 + [_words(r, 9)]) for _ in range(6)]
+    rows = [(i, x, "en", "s", 0, "n", "k", "l") for i, x in enumerate(texts)] + [(7, texts[7], "en", "s", 0, "n", "k", "l")] * 3 + [(None, texts[8], "en", "s", 0, "n", "k", "l"), (900, "plain words " + _words(r, 60), None, None, 0, "n", "k", "l"), (901, _words(r, 40_000), "en", "s", 0, "n", "k", "l")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = quality.judge(df)
+    assert got.count() == len(rows)
+    rows = {x.doc_id: x for x in got.where("doc_id < 900").collect()}
+    vectors = quality.statistics(df.where("doc_id < 900 or doc_id = 901")).where(~quality.base_failed()).select("doc_id", *quality.vector()).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    want, kept = _numpy_mcd(np.array([tuple(v)[1:] for v in vectors]))
+    far = 0
+    for v, d, k in zip(vectors, want, kept):
+        if v.doc_id in rows:
+            assert rows[v.doc_id].distance == pytest.approx(d, rel=0.05, abs=0.05) and (rows[v.doc_id].kept == k or abs(d - quality.FAR_UNITS) < 3)
+            far += not k
+    assert far >= 15
+
+
 def test_determinants_ignore_a_minority(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 6)) * 2
@@ -338,9 +392,10 @@ def test_urls(spark):
             h, _, p = rule.partition("/")
             if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
                 best = rule, action
-        return host, path, best and best[0], best[1] if best else "allow"
+        low = (url or "").lower()
+        return host, path, best and best[0], best[1] if best else "block" if "utm_source=" in low else "allow"
 
-    urls = ["http://a.Example.COM/en/77?x#y", "https://example.com/en/6", "x://com/en/", "x://xcom/en/", "x://net/de", "x://A.net/de/8", "x://example.net/de/8a", "://org/es/1", "org/es/1", "", None, "a://É.org/es/", "http://h.com?/en/", "http://h.com#/en/", "x://a.com/en/://b", "http://com/EN/"]
+    urls = ["http://a.Example.COM/en/77?x#y", "https://example.com/en/6", "x://com/en/", "x://xcom/en/", "x://net/de", "x://A.net/de/8", "x://example.net/de/8a", "://org/es/1", "org/es/1", "", None, "a://É.org/es/", "http://h.com?/en/", "http://h.com#/en/", "x://a.com/en/://b", "http://com/EN/", "http://a.b.fr/x?UTM_source=feed&" + "y" * 50_000, "http://a.b.fr/" + "z/" * 30_000]
     df = spark.createDataFrame([(i, u, "r", "h") for i, u in enumerate(urls)] + [(0, urls[0], "r", "h"), (None, urls[1], "r", "h")], "page_id long, url string, rule string, host string")
     got = url_filter.filter_urls(df).collect()
     assert len(got) == len(urls) + 2
@@ -349,10 +404,31 @@ def test_urls(spark):
     login = spark.createDataFrame([(1, "http://h.org/wp-login.php?x")], "page_id long, url string")
     assert url_filter.filter_urls(login).first().pattern == "login"
     with pytest.raises(ValueError):
-        url_filter.pattern_rule("all", ".*", ())
+        url_filter.pattern_rule("all", ".*")
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_literals_come_from_the_pattern():
+    tokens = url_filter.required_tokens
+    assert tokens(r"/wp-login\.php(?:[?#]|$)") == ("wp", "login", "php") and tokens(r"[?&]add-to-cart=\d+") == ("add", "to", "cart")
+    assert tokens(r"/cal(?:endar)?/") == () and tokens("abc") == () and tokens(r"^abc$") == ("abc",) and tokens(r"/a|/b/") == () and tokens(r"/(x1)/\w+/") == ("x1",) and tokens(r"\babc\b") == ()
+    r = random.Random(5)
+    for pattern in (r"/wp-login\.php(?:[?#]|$)", r"/(x1)/\w+/", r"[?&]page=\d{2,}(?:[&#]|$)", "/-+go[.]"):
+        for _ in range(3000):  # no match without its tokens
+            url = "".join(r.choice(["/", "wp", "-", "login", ".php", "?", "x1", "q", "page", "=", "22", "&", "go", "."]) for _ in range(r.randrange(1, 9)))
+            if re.search(pattern, url):
+                assert set(tokens(pattern)) <= set(re.split("[^0-9a-z]+", url))
+
+
+@pytest.mark.parametrize("compiled", [0, 64])
+def test_equally_long_rules_and_large_packs(spark, compiled, monkeypatch):
+    monkeypatch.setattr(url_filter, "COMPILED", compiled)
+    rules = (url_filter.site_rule("block", "aa.org", "/x/"), url_filter.site_rule("allow", "org", "/x/yy/"), url_filter.pattern_rule("one", "/yy/", "allow"), url_filter.pattern_rule("two", "/yy/"))
+    df = spark.createDataFrame([(1, "u://aa.org/x/yy/"), (2, "u://b.fr/yy/"), (2, "u://b.fr/yy/")], "page_id long, url string")
+    got = sorted((x.page_id, x.rule or "", x.verdict, x.pattern or "") for x in url_filter.filter_urls(df, rules).collect())
+    assert got == [(1, "org/x/yy/", "allow", ""), (2, "", "allow", "one"), (2, "", "allow", "one")]
+
+
 def test_shards(spark):
     r = random.Random(9)
     rows = [(i, None if i % 50 == 0 else "é" * r.randrange(400)) for i in range(700)] + [(5, "x")] * 3 + [(None, "y")] * 40
@@ -407,6 +483,34 @@ def test_secrets_are_found_and_masked(spark, field):
     assert clean[2] == texts[2] and clean[3] is None and "hunter2" not in clean[0] and clean[6].endswith(secret_scan.MASK)
 
 
+def test_field_finds_planted_secrets_of_one_and_several_tokens(field):
+    r, alnum = random.Random(13), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda n, pool=alnum: "".join(r.choice(pool) for _ in range(n))
+    kinds = {"one": lambda: some(r.randrange(20, 40)), "parts": lambda: ".".join(some(n, alnum + "-_") for n in (20, 36, 28)), "marks": lambda: 'pwd: "' + some(1) + some(16, alnum + "$!@%^*" * 2) + some(1) + '"'}
+    clean = [_words(r, 60) for _ in range(120)]
+    assert sum(map(len, secret_scan.scan_texts(clean, field, {}, {}, []))) <= 1
+    for name, secret in kinds.items():
+        texts, places = [], []
+        for x in clean:
+            value, left = secret(), x[: r.randrange(len(x))].rsplit(" ", 1)[0] + " "
+            texts.append(left + value + " " + x[len(left) :])
+            inner = value.removeprefix('pwd: "').rstrip('"')
+            places.append((texts[-1].index(inner, len(left)), len(inner)))
+        found = secret_scan.scan_texts(texts, field, {}, {}, [])
+        hit = sum(any(a <= at and b >= at + n for a, _, b in own) for (at, n), own in zip(places, found))
+        assert hit >= {"one": 0.95, "parts": 0.9, "marks": 0.5}[name] * len(texts), (name, hit)
+        masked = [secret_scan.redacted(t, [(a, b) for a, _, b in own]) for t, own in zip(texts, found)]
+        assert all(len(m) <= len(t) for m, t in zip(masked, texts))
+
+
+def test_scan_of_odd_rows(spark, field):
+    df = spark.createDataFrame([(None, "x token=abcdefabcdef12", "h", "s"), (None, "x token=abcdefabcdef12", "h", "s"), (3, None, None, None), (4, "", "h", "s")], "doc_id long, text string, h string, spans string")
+    got = sorted((x.doc_id or 0, x.n_assign, len(x.spans)) for x in secret_scan.scan(df, field).collect())
+    assert got == [(0, 1, 1), (0, 1, 1), (3, 0, 0), (4, 0, 0)] and secret_scan.scan(df.limit(0), field).count() == 0
+    assert [x.h for x in secret_scan.redact(df, field).where("doc_id is null").collect()] == ["h", "h"]
+    assert not secret_scan.scan_texts(["plain"], secret_scan.train(df.limit(0)), {}, {}, [])[0]
+
+
 def test_viterbi_agrees_with_all_paths():
     from itertools import product
 
@@ -437,6 +541,59 @@ def test_languages_of_held_out_documents(spark):
     assert language_id.identify(odd, nothing).where("lang_pred = 'und'").count() == 4
 
 
+def test_mixtures_agree_with_all_sets():
+    # Proportions by a long run of the same updates for every set of languages, sizes by penalised likelihood.
+    from itertools import combinations
+
+    r = np.random.default_rng(8)
+    like, lengths = [], []
+    for _ in range(60):
+        n, langs = int(r.integers(30, 120)), r.choice(4, int(r.integers(1, 4)), replace=False)
+        own = r.normal(-12, 0.7, (n, 4))
+        own[np.arange(n), r.choice(langs, n)] += 5
+        like.append(own)
+        lengths.append(n)
+    share, size, value = language_id.mixtures(np.concatenate(like).astype(np.float32), np.array(lengths))
+    for own, s, k, v in zip(like, share, size, value):
+        best = None
+        for m in range(1, 4):
+            for picked in combinations(range(4), m):
+                p, mix = np.exp(own[:, picked]), np.full(m, 1 / m)
+                for _ in range(300):
+                    joint = p * mix
+                    mix = (joint / joint.sum(1, keepdims=True)).mean(0)
+                ll = np.log((p * mix).sum(1)).sum() - 3.0 * np.log(len(own)) * (m - 1)
+                if best is None or ll > best[0]:
+                    best = ll, picked, mix
+        assert set(np.flatnonzero(s > 0)) == set(best[1]) and k == len(best[1])
+        assert np.abs(s[list(best[1])] - best[2]).max() < 0.05
+
+
+def test_languages_of_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = docs.where("lang is not null and length(text) > 300").first()
+    rows = [(one.doc_id, one.text, one.lang, "x", 0.0)] * 50 + [(None, one.text, one.lang, "x", 0.0), (5, "ab " * 200_000, None, "y", 1.0), (5, one.text.upper(), "zz", "y", 1.0), (7, "x", "aa", "z", 0.0), (8, "x", "bb", "z", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double").repartition(4)
+    model = language_id.train(df)
+    assert model.langs == sorted({one.lang, "zz", "aa", "bb"})
+    got = language_id.identify(df, model)
+    assert got.count() == len(rows) and got.columns == ["doc_id", "lang_pred", "score", "n_langs"]
+    assert len({x.lang_pred for x in got.where("doc_id in (7, 8)").collect()}) == 1  # a tie goes one way
+    assert language_id.identify(df.limit(0), model).count() == 0
+    assert language_id.accepted(df, model).columns == df.columns
+
+
+def test_stages_take_empty_tables_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(None, "some plain words of a text " * 4, None, None, 9), (None, "some plain words of a text " * 4, "en", "s", 9), (1, None, "en", "s", 0), (2, "", "en", None, 0), (3, "the words of another one here " * 5, "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        assert out.count() > 0 or name == "language_id", name
+        assert name == "packing" or out.columns == docs.columns
+
+
 def test_stages_keep_clean_documents_and_columns(spark):
     import corpus_pipeline as p
 

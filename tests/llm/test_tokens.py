@@ -89,3 +89,30 @@ def test_packing_nothing_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "same text", "a", None, None)] * 3, SCHEMA)
     assert packing.pack(df).count() >= 3
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_rare_sources_are_not_cut_to_crumbs(spark):
+    texts = [(i, "some words of text " * 120, f"s{i % 49}", "x", 1) for i in range(300)] + [(900, "one lone short document of a rare source", "rare", "x", 1)]
+    got = packing.pack(spark.createDataFrame(texts, SCHEMA).repartition(3), group_tokens=4096, quantum=512).toPandas()
+    assert (got.doc_id == 900).sum() <= 2 and got.length.sum() == got.drop_duplicates("doc_id").doc_tokens.sum()
+    # Pieces of a document: as many as windows give it a share, not as groups there are.
+    assert len(got) <= 1.3 * (got.length.sum() / packing.LEAST_PIECE)
+
+
+def test_windows_meet_given_targets(spark):
+    rows = [(i, "word " * 250, "big" if i % 10 else "small", "x", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = packing.pack(df, group_tokens=16_384, targets={"small": 0.4}, quantum=1024).toPandas()
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert (ordered.sequence_id * 1024 + ordered.offset == ordered.length.cumsum() - ordered.length).all()
+    total = {s: int(x) for s, x in got.groupby("source").length.sum().items()}
+    filled = total["small"] / 0.4 / 1024  # windows until the small source has run out
+    share = got[got.source == "small"].groupby("sequence_id").length.sum() / 1024
+    early = share.reindex(range(int(filled * 0.8)), fill_value=0.0)
+    assert len(early) >= 15 and abs(early.mean() - 0.4) < 0.05 and early.min() > 0.2
+    assert share.reindex(range(int(filled * 1.3) + 2, int(got.sequence_id.max()))).fillna(0).max() < 0.05
+    with pytest.raises(ValueError):
+        packing.pack(df, targets={"small": 0.7, "big": 0.6})
+    quoted = spark.createDataFrame([(1, "a b", "it's", "x", 1), (2, "c", None, "x", 1)], SCHEMA)
+    assert packing.pack(quoted, targets={"it's": 0.5, "absent": 0.2}).count() == 2
+    assert packing.pack(quoted, targets={"it's": 0.5, "": 0.5}).count() == 2
