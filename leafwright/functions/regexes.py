@@ -17,6 +17,8 @@ class Translated:
     pattern: str
     groups: dict[str, int]
     count: int
+    #: Whether what it matches depends on what stands before or after: anchors, word ends, looking ahead or behind.
+    looks_around: bool = True
 
 
 def java_pattern(pattern: str, flags: tuple[str, ...] | list[str] = ()) -> Translated:
@@ -78,7 +80,9 @@ def java_pattern(pattern: str, flags: tuple[str, ...] | list[str] = ()) -> Trans
         out.append(c)
         i += 1
     letters = "".join(sorted({_FLAGS[f.upper()] for f in flags}))
-    return Translated(f"(?dU{letters})" + "".join(out), dict(compiled.groupindex), compiled.groups)
+    bare = re.sub(r"\\[^bBAZ]", "", re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]", "", pattern))
+    looks = re.search(r"[\^$]|\\[bBAZ]|\(\?<?[=!]", bare) is not None
+    return Translated(f"(?dU{letters})" + "".join(out), dict(compiled.groupindex), compiled.groups, looks)
 
 
 def java_replacement(template: str, names: dict[str, int] | None = None) -> str:

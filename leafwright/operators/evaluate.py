@@ -11,29 +11,39 @@ from pyspark.sql import functions as F
 from ..schema import LABELS
 
 KEYS = ("package_id", "page_number")
-NAMED = 50
-
-
-def _pages(rows: DataFrame) -> list[Any]:
-    found = rows.select(*KEYS).distinct().orderBy(*KEYS).limit(NAMED).collect()
-    packages = {r[0] for r in found}
-    return [r[1] for r in found] if len(packages) <= 1 else [tuple(r) for r in found]
+#: Pages that a message names, and mistakes that an evaluation lists; counts are always complete.
+NAMED, LISTED = 50, 10_000
+
+# The messages, in the order of the checks, which callers may match.
+PROBLEMS = (
+    "Duplicate page_number(s) in ground truth",
+    "Duplicate page_number(s) in predictions",
+    "Page(s) present in ground truth but missing from predictions",
+    "Page(s) present in predictions but missing from ground truth",
+    "Ground truth page(s) with an invalid doc_type",
+    "Prediction page(s) with an invalid doc_type",
+)
+
+
+def misaligned(truth: DataFrame, predictions: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """``(nr, package_id, page_number)``: the distinct pages that break each check, by its number in ``PROBLEMS``."""
+    twice = lambda rows: rows.groupBy(*KEYS).count().where("count > 1")
+    unknown = lambda rows: rows.where(~F.coalesce(F.col("doc_type").isin(*labels), F.lit(False)))
+    bad = (twice(truth), twice(predictions), truth.join(predictions, list(KEYS), "left_anti"), predictions.join(truth, list(KEYS), "left_anti"), unknown(truth), unknown(predictions))
+    parts = [rows.select(F.lit(nr).alias("nr"), *KEYS).distinct() for nr, rows in enumerate(bad)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 def check_aligned(truth: DataFrame, predictions: DataFrame, labels: tuple[str, ...] = LABELS) -> None:
-    """Raises ValueError unless both name the same pages once each, with known labels."""
-    # The messages, which callers may match.
-    checks = (
-        ("Duplicate page_number(s) in ground truth", truth.groupBy(*KEYS).count().where("count > 1")),
-        ("Duplicate page_number(s) in predictions", predictions.groupBy(*KEYS).count().where("count > 1")),
-        ("Page(s) present in ground truth but missing from predictions", truth.join(predictions, list(KEYS), "left_anti")),
-        ("Page(s) present in predictions but missing from ground truth", predictions.join(truth, list(KEYS), "left_anti")),
-        ("Ground truth page(s) with an invalid doc_type", truth.where(~F.coalesce(F.col("doc_type").isin(*labels), F.lit(False)))),
-        ("Prediction page(s) with an invalid doc_type", predictions.where(~F.coalesce(F.col("doc_type").isin(*labels), F.lit(False)))),
-    )
-    for message, bad in checks:
-        if pages := _pages(bad):
-            raise ValueError(f"{message}: {pages}")
+    """Raises ValueError unless both name the same pages once each, with known labels: by the first check that fails."""
+    first = misaligned(truth, predictions, labels).orderBy("nr", *KEYS).limit(NAMED).collect()
+    if first:
+        found = [r for r in first if r.nr == first[0].nr]
+        several = len({r.package_id for r in found}) > 1
+        raise ValueError(f"{PROBLEMS[first[0].nr]}: {[(r.package_id, r.page_number) if several else r.page_number for r in found]}")
 
 
 def aligned(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -96,6 +106,8 @@ class Evaluation:
     macro_f1_supported: float
     per_class: list[dict[str, Any]]
     confusion_matrix: dict[str, dict[str, int]]
+    #: How many there are; the lists end at the evaluation's limit.
+    misclassified_count: int
     misclassified_pages: list[Any]
     mistakes: list[tuple[Any, str, str]]
 
@@ -106,26 +118,27 @@ class Evaluation:
     def as_dict(self) -> dict[str, Any]:
         return {
             "schema_version": "1.0.0", "mode": self.mode, "dataset_name": self.dataset_name, "total_pages": self.total_pages, "accuracy": self.accuracy, "per_class": self.per_class,
-            "macro_f1_supported": self.macro_f1_supported, "supported_classes": self.supported_classes, "confusion_matrix": self.confusion_matrix, "misclassified_pages": self.misclassified_pages,
+            "macro_f1_supported": self.macro_f1_supported, "supported_classes": self.supported_classes, "confusion_matrix": self.confusion_matrix, "misclassified_pages": self.misclassified_pages, "misclassified_count": self.misclassified_count,
             "model_name": None, "prompt_version": None, "rules_version": None, "run_report": None,
         }
 
 
-def evaluate(truth: DataFrame, predictions: DataFrame, mode: str = "rule-only", dataset_name: str = "", labels: tuple[str, ...] = LABELS) -> Evaluation:
-    """Checks alignment, then scores. Only label-sized tables and the misclassified pages come to the driver."""
+def evaluate(truth: DataFrame, predictions: DataFrame, mode: str = "rule-only", dataset_name: str = "", labels: tuple[str, ...] = LABELS, listed: int = LISTED) -> Evaluation:
+    """Checks alignment, then scores. Only label-sized tables and the first ``listed`` misclassified pages come to the driver; ``misclassified`` gives all of them as a table."""
     check_aligned(truth, predictions, labels)
     pairs = aligned(truth, predictions).cache()
     total = overall(pairs).first()
     metrics = [r.asDict() for r in class_metrics(pairs, labels).orderBy("nr").drop("nr").collect()]
     defined = [m["f1"] for m in metrics if m["support"] and m["f1"] is not None]
     cells = {(r.actual, r.predicted): r.n for r in confusion(pairs, labels).collect()}
-    wrong = misclassified(pairs).orderBy(*KEYS).collect()
+    wrong = misclassified(pairs).orderBy(*KEYS).limit(listed).collect()
+    n_wrong = sum(n for (a, p), n in cells.items() if a != p)
     several = len({r.package_id for r in wrong}) > 1
     name = lambda r: (r.package_id, r.page_number) if several else r.page_number
     pairs.unpersist()
     return Evaluation(
         mode, dataset_name, total.total_pages, total.accuracy, sum(defined) / len(defined) if defined else 0.0, metrics,
-        {a: {p: cells[a, p] for p in labels} for a in labels}, [name(r) for r in wrong], [(name(r), r.actual, r.predicted) for r in wrong],
+        {a: {p: cells[a, p] for p in labels} for a in labels}, n_wrong, [name(r) for r in wrong], [(name(r), r.actual, r.predicted) for r in wrong],
     )
 
 
@@ -148,11 +161,13 @@ def report_text(e: Evaluation, expand: bool = True) -> str:
         lines += [f"Note: {', '.join(unused)} has support 0: no true page, so recall and F1 stay N/A and don't enter macro_f1_supported.", ""]
     lines.append("confusion matrix (rows=actual, cols=predicted):")
     lines += _table(["actual\\predicted", *labels], [[a, *(str(e.confusion_matrix[a][p]) for p in labels)] for a in labels])
-    lines += ["", f"misclassified pages ({len(e.misclassified_pages)}):"]
+    lines += ["", f"misclassified pages ({e.misclassified_count}):"]
     if not e.misclassified_pages:
         lines.append("  none")
     elif expand:
         lines += _table(["page", "actual", "predicted"], [[str(p), a, b] for p, a, b in e.mistakes])
     else:
         lines.append("  " + ", ".join(map(str, e.misclassified_pages)))
+    if more := e.misclassified_count - len(e.misclassified_pages):
+        lines.append(f"  and {more} more")
     return "\n".join(lines)

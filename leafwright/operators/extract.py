@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.regexes import Translated
 from ..plans.rulepack import RulePack
 
 _MARKER = "struct<style:string,page:int,total:int>"
 
 
-def marker(text: Column, rules: RulePack, strict: bool = False) -> Column:
-    """``struct(style, page, total)`` of the first pattern, by priority, whose first hit keeps the limits.
+def _hits(text: Column, rules: RulePack) -> dict[str, Column]:
+    """What each marker and identifier pattern hits first, one scan of the text each."""
+    found = [(f"_marker{i}", m.pattern) for i, m in enumerate(rules.markers)] + [(f"_identifier{i}", x.pattern) for i, x in enumerate(rules.identifiers)]
+    return {name: F.regexp_substr(text, F.lit(pattern.pattern)) for name, pattern in found}
 
-    A page number of 0 is no marker; with ``strict`` it fails the query instead. Digits that aren't ASCII don't count.
-    """
+
+def _group(hit: str, text: Column, pattern: Translated, group: int) -> Column:
+    """A group of the first hit, null without one; read out of the hit, unless the pattern looks beyond it."""
+    column = F.col(hit)
+    return F.when(column.isNotNull(), F.regexp_extract(text if pattern.looks_around else column, pattern.pattern, group))
+
+
+def _marker(text: Column, rules: RulePack, strict: bool) -> Column:
     found = []
-    for m in rules.markers:
-        page = t.first_match(text, m.pattern, m.page).try_cast("int")
-        total = t.first_match(text, m.pattern, m.total).try_cast("int") if m.total else F.lit(None).cast("int")
+    for i, m in enumerate(rules.markers):
+        page = _group(f"_marker{i}", text, m.pattern, m.page).try_cast("int")
+        total = _group(f"_marker{i}", text, m.pattern, m.total).try_cast("int") if m.total else F.lit(None).cast("int")
         keeps = page.isNotNull()
         if m.total:
             keeps = keeps & total.isNotNull() & (total <= rules.max_total)
@@ -34,12 +41,16 @@ def marker(text: Column, rules: RulePack, strict: bool = False) -> Column:
     return F.when(hit["page"] < 1, zero).otherwise(hit)
 
 
-def identifiers(text: Column, rules: RulePack) -> Column:
-    """Map of identifier names to the first group of their first hits; names without a hit are absent."""
-    if not rules.identifiers:
-        return F.create_map().cast("map<string,string>")
-    pairs = reduce(lambda a, b: [*a, *b], ([F.lit(i.name), t.first_match(text, i.pattern, 1)] for i in rules.identifiers), [])
-    return F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
+def with_markers(rows: DataFrame, text_col: str, rules: RulePack, strict: bool = False) -> DataFrame:
+    """Adds ``marker``, ``struct(style, page, total)`` of the first pattern, by priority, whose first hit keeps the limits, and ``raw_identifiers``, a
+    map of identifier names to the first group of their first hits, from which names without a hit are absent.
+
+    A page number of 0 is no marker; with ``strict`` it fails the query instead. Digits that aren't ASCII don't count.
+    """
+    text, hits = F.col(text_col), _hits(F.col(text_col), rules)
+    pairs = [x for i, own in enumerate(rules.identifiers) for x in (F.lit(own.name), _group(f"_identifier{i}", text, own.pattern, 1))]
+    named = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    return rows.withColumns(hits).withColumns({"marker": _marker(text, rules, strict), "raw_identifiers": named}).drop(*hits)
 
 
 def extract_pages(raw: DataFrame, rules: RulePack, strict: bool = False) -> DataFrame:
@@ -49,8 +60,8 @@ def extract_pages(raw: DataFrame, rules: RulePack, strict: bool = False) -> Data
     """
     extra = {c: F.lit(0) for c in ("rotation", "image_count") if c not in raw.columns}
     pages = raw.withColumns(extra | {"text": F.coalesce("text", F.lit(""))})
-    pages = pages.withColumns({"_marker": marker(F.col("text"), rules, strict), "raw_identifiers": identifiers(F.col("text"), rules), "normalized_text_length": t.normalized_length("text")})
-    return pages.withColumns({"marker_style": F.col("_marker.style"), "marker_page": F.col("_marker.page"), "marker_total": F.col("_marker.total")}).drop("_marker")
+    pages = with_markers(pages, "text", rules, strict).withColumn("normalized_text_length", t.normalized_length("text"))
+    return pages.withColumns({"marker_style": F.col("marker.style"), "marker_page": F.col("marker.page"), "marker_total": F.col("marker.total")}).drop("marker")
 
 
 def summary(pages: DataFrame) -> DataFrame:

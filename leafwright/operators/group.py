@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,8 @@ def reconstruct(flagged: DataFrame) -> DataFrame:
         F.min_by("page_number", F.struct(-F.col("marker_page"), "page_number")).alias("last_page_at"),
         F.max("tier").alias("_tier"),
     )
-    triple = Window.partitionBy("package_id", "doc_type", F.coalesce("instance_id", F.lit("")), "marker_style")
+    docs = docs.repartition("package_id")  # which serves both windows; documents are few beside pages
+    triple = Window.partitionBy("package_id", "doc_type", "instance_id", "marker_style")
     observed = F.col("observed_logical_pages")
     twice = F.array_distinct(F.filter(observed, lambda p, i: (i > 0) & (F.get(observed, i - 1) == p)))
     expected = F.col("marker_total")
@@ -108,7 +111,8 @@ def orphans(flagged: DataFrame) -> DataFrame:
     return flagged.where("is_orphan").select("package_id", "page_number", "doc_type", reason.alias("reason"))
 
 
-def group_pages(results: DataFrame, rules: RulePack, order_col: str = "emit_order") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(results with instances and orphans, physical groups, documents)``."""
+def group_pages(results: DataFrame, rules: RulePack, order_col: str = "emit_order", keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(results with instances and orphans, physical groups, documents)``; ``keep`` may write the first, from which the others derive."""
     flagged = flag_orphans(assign_instances(results, rules, order_col))
+    flagged = keep(flagged) if keep else flagged
     return flagged, physical_groups(flagged), reconstruct(flagged)

@@ -17,16 +17,28 @@ PERSONAL = {"SSN-like": r"\b\d{3}-\d{2}-\d{4}\b", "email-like": r"\b[\w.+-]+@[\w
 TILES_PER_BAND = 40
 
 
-def run_counters(results: DataFrame, per_package: bool = True) -> DataFrame:
-    """One row per package, or one in all, with what became of its pages: one aggregate."""
+def _listed() -> dict[str, Column]:
+    """Which pages a report lists."""
+    return {"llm_target": F.col("targeted"), "empty_text": F.col("normalized_text_length") == 0, "orphan": F.col("is_orphan")}
+
+
+def _counts() -> list[Column]:
     source = lambda s: F.count_if(F.col("decision_source") == s)
+    return [
+        F.count("*").alias("total_pages"), source("RULE").alias("rule_resolved"), F.count_if("llm_called").alias("llm_called"), source("LLM").alias("llm_resolved"), source("RULE_FALLBACK").alias("rule_fallback_count"),
+        F.count_if(F.array_contains("warnings", "LLM_PARSE_FAILED")).alias("llm_parse_failures"), *(F.count_if(keep).alias(f"{name}_count") for name, keep in _listed().items()),
+    ]
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """One row in all with what became of the pages: counts alone, so nothing is gathered."""
+    return results.agg(*_counts())
+
+
+def run_counters(results: DataFrame) -> DataFrame:
+    """One row per package with what became of its pages, and the pages that its report lists: one aggregate."""
     pages = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("page_number"))))
-    grouped = results.groupBy("package_id") if per_package else results.groupBy()
-    return grouped.agg(
-        F.count("*").alias("total_pages"), source("RULE").alias("rule_resolved"), pages(F.col("targeted")).alias("llm_target_pages"), F.count_if("llm_called").alias("llm_called"), source("LLM").alias("llm_resolved"),
-        source("RULE_FALLBACK").alias("rule_fallback_count"), F.count_if(F.array_contains("warnings", "LLM_PARSE_FAILED")).alias("llm_parse_failures"),
-        pages(F.col("normalized_text_length") == 0).alias("empty_text_pages"), pages(F.col("is_orphan")).alias("orphan_pages"),
-    )
+    return results.groupBy("package_id").agg(*_counts(), *(pages(keep).alias(f"{name}_pages") for name, keep in _listed().items()))
 
 
 def page_rows(results: DataFrame) -> DataFrame:

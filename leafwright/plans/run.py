@@ -29,9 +29,11 @@ class RunResult:
     warnings: tuple[str, ...] = ()
 
     def report(self, source_name: str = "", package_id: str | None = None) -> dict[str, Any]:
-        """Counters of one package, or of all pages, as a dictionary; names are cut to the last part of a path."""
+        """Counters of one package, or of all pages, as a dictionary; names are cut to the last part of a path. Lists of pages are those of one package; of several only counts are given."""
         rows = self.page_results if package_id is None else self.page_results.where(F.col("package_id") == package_id)
-        counts = report.run_counters(rows, per_package=False).first().asDict()
+        counts = report.run_totals(rows).first().asDict()
+        if package_id is not None or rows.agg(F.min("package_id") == F.max("package_id")).first()[0]:
+            counts |= report.run_counters(rows).drop("package_id").first().asDict()
         calls = []
         if self.call_records is not None:
             own = self.call_records if package_id is None else self.call_records.where(F.col("package_id") == package_id)
@@ -74,6 +76,8 @@ def run(raw: DataFrame, rules: RulePack, mode: str = "rule-only", settings: dele
         plain = classified.drop("text")
         results = plain.where("not targeted").unionByName(delegate.resolved(plain.where("targeted"), answered))
         results = delegate.emit_order(results, routed=mode == "hybrid")
-    # Four outputs derive from these rows.
-    flagged = materialised(group.flag_orphans(group.assign_instances(results, rules)).drop("raw_identifiers"), "pages")
-    return RunResult(flagged, group.physical_groups(flagged), group.reconstruct(flagged), calls, mode, settings, rules.version, warnings)
+    # Four outputs derive from these rows; a row that breaks an invariant fails the job that would give it out.
+    flagged, groups, documents = group.group_pages(results, rules, keep=lambda rows: materialised(schema.guarded(rows.drop("raw_identifiers"), schema.page_invariants(labels)), "pages"))
+    return RunResult(
+        flagged, schema.guarded(groups, schema.group_invariants()), schema.guarded(documents, schema.document_invariants()), calls, mode, settings, rules.version, warnings
+    )

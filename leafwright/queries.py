@@ -57,8 +57,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir, "source", "text", "lang").select(F.col("source").alias("package_id"), F.row_number().over(order).alias("page_number"), "text", "lang", "doc_id")
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir, "text", "lang").withColumn("normalized_text_length", t.normalized_length("text"))
+def _classified(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "text", "lang", *more).withColumn("normalized_text_length", t.normalized_length("text"))
     return classify.classify(docs, rules())
 
 
@@ -97,7 +97,7 @@ def normalized_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_hash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _documents(spark, sf_dir, "text").select(F.lit("all").alias("package_id"), F.lit("x").alias("label"), F.col("doc_id").alias("source_page"), t.text_hash("text").alias("hash"))
-    return match.source_collisions(pages).select("hash", "n", t.joined(F.transform("pages", lambda p: p["source_page"])).alias("doc_ids"))
+    return match.source_collisions(pages).select("hash", "n", F.col("first.source_page").alias("first_page"), F.col("last.source_page").alias("last_page"))
 
 
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +134,8 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
-    macro = evaluate.macro_f1(evaluate.class_metrics(pairs, _LABELS))
-    return evaluate.overall(pairs).join(macro).select("total_pages", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1_supported", 9).alias("macro_f1_supported"))
+    macro = evaluate.macro_f1(evaluate.class_metrics(pairs, _LABELS)).scalar()
+    return evaluate.overall(pairs).select("total_pages", F.round("accuracy", 9).alias("accuracy"), F.round(macro, 9).alias("macro_f1_supported"))
 
 
 def misclassified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +188,8 @@ def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1)
-    pages = _table(spark, sf_dir, "pages").select(F.lit("web").alias("package_id"), F.col("page_id").cast("int").alias("page_number"), "url", F.when(lang.isin(*LANGS), lang).otherwise("OTHER").alias("doc_type"))
-    return pages.withColumn("raw_identifiers", extract.identifiers(F.col("url"), rules()))
+    pages = _table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("package_id"), F.col("page_id").cast("int").alias("page_number"), "url", F.when(lang.isin(*LANGS), lang).otherwise("OTHER").alias("doc_type"))
+    return extract.with_markers(pages, "url", rules())
 
 
 def url_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +205,8 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("l_linenumber").cast("string")
     key = F.col("l_orderkey")
     body = F.when(key % 4 == 0, F.concat(F.lit("Page "), number, F.lit(" of 7"))).when(key % 4 == 1, F.concat(number, F.lit(" OF 5 end"))).when(key % 4 == 2, F.concat(F.lit("page "), number, F.lit(" of 501"))).otherwise(F.lit("no marker"))
-    rows = _table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") >= 1).select("l_orderkey", "l_linenumber", extract.marker(body, rules()).alias("m"))
-    return rows.groupBy((key % 4).alias("kind"), "l_linenumber", F.col("m.style").alias("style"), F.col("m.page").alias("page"), F.col("m.total").alias("total")).agg(F.count("*").alias("n"))
+    rows = extract.with_markers(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", body.alias("body")), "body", rules())
+    return rows.groupBy((key % 4).alias("kind"), "l_linenumber", F.col("marker.style").alias("style"), F.col("marker.page").alias("page"), F.col("marker.total").alias("total")).agg(F.count("*").alias("n"))
 
 
 def masked_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,27 +241,64 @@ def delegated_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delegate.resolved(plain, answered).select("package_id", "page_number", "doc_type", "decision_source", t.truth_value("llm_failed").alias("llm_failed"), t.joined("warnings").alias("warnings"))
 
 
+def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as shuffled pages, and those with a label as the pages that they were taken from; a package per language."""
+    pages = match.hashed(_documents(spark, sf_dir, "text", "lang").withColumnRenamed("lang", "package_id"))
+    labelled = pages.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    sources = labelled.select("package_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("label"), F.col("doc_id").alias("source_page"), "hash")
+    return pages.select("package_id", F.col("doc_id").alias("page_number"), "hash"), sources
+
+
 def hash_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = match.hashed(_documents(spark, sf_dir, "text").withColumn("package_id", F.lit("all")))
-    shuffled = pages.where("doc_id % 2 = 0").select("package_id", F.col("doc_id").alias("page_number"), "hash")
-    sources = pages.where("doc_id % 2 = 1").select("package_id", F.lit("src").alias("label"), F.col("doc_id").alias("source_page"), "hash")
-    return match.matches(shuffled, sources).select("page_number", "label", "source_page")
+    return match.matches(*_hashed(spark, sf_dir))
 
 
 def hash_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = match.hashed(_documents(spark, sf_dir, "text").withColumn("package_id", F.lit("all")))
-    return match.unmatched(pages.where("doc_id % 2 = 0").select("package_id", F.col("doc_id").alias("page_number"), "hash"), pages.where("doc_id % 2 = 1").select("package_id", "hash")).select("page_number")
+    return match.unmatched(*_hashed(spark, sf_dir))
+
+
+def hash_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.source_collisions(_hashed(spark, sf_dir)[1])
+    return found.select("package_id", "hash", "n", F.col("first.source_page").alias("first_page"), F.col("last.source_page").alias("last_page"))
 
 
 def multiple_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hash_matches(spark, sf_dir).withColumn("package_id", F.lit("all"))
-    return match.multiple_claims(found).select("label", "source_page", "n", t.joined("page_numbers").alias("page_numbers"))
+    return match.multiple_claims(hash_matches(spark, sf_dir))
+
+
+def unequal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.unequal_counts(*_hashed(spark, sf_dir))
+
+
+def incomplete_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as packages, turns as pages: which of them lack a turn or hold one twice, of as many as their last turn says."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("package_id"), (F.col("turn") + 1).alias("page_number"), "text")
+    expected = turns.groupBy("package_id").agg(F.count("*").alias("n"))
+    kept = turns.where(F.length("text") >= 40)
+    return match.incomplete_numbers(kept, expected).select("package_id", "n")
+
+
+def truth_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = hash_matches(spark, sf_dir)
+    return match.label_distribution(matched.select(F.col("label").alias("doc_type")))
+
+
+def misaligned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as truth, all documents as predictions, copies of a text as pages of one number: every check fails for some."""
+    docs = _documents(spark, sf_dir, "lang").select(F.lit("all").alias("package_id"), F.floor(F.col("doc_id") / 3).cast("int").alias("page_number"), F.col("lang").alias("doc_type"), "doc_id")
+    truth = docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return evaluate.misaligned(truth, docs.where("doc_type != 'es'"), ("en", "fr", "es")).select("nr", "page_number")
 
 
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classified(spark, sf_dir).withColumn("package_id", F.lit("all")).withColumns({"page_number": F.col("doc_id"), "targeted": F.col("delegate"), "is_orphan": F.col("doc_id") % 10 == 0})
+    rows = _classified(spark, sf_dir, "source").withColumns({"package_id": F.col("source"), "page_number": F.col("doc_id"), "targeted": F.col("delegate"), "is_orphan": F.col("doc_id") % 10 == 0})
     counts = report.run_counters(rows)
-    return counts.select("total_pages", "rule_resolved", "llm_called", F.size("llm_target_pages").cast("long").alias("targets"), F.size("orphan_pages").cast("long").alias("orphans"), F.size("empty_text_pages").cast("long").alias("empty"))
+    return counts.select("package_id", "total_pages", "rule_resolved", "llm_called", "llm_target_count", "orphan_count", "empty_text_count", t.joined("llm_target_pages").alias("llm_target_pages"), t.joined("orphan_pages").alias("orphan_pages"))
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _classified(spark, sf_dir).withColumns({"page_number": F.col("doc_id"), "targeted": F.col("delegate"), "is_orphan": F.col("doc_id") % 10 == 0})
+    return report.run_totals(rows).select("total_pages", "rule_resolved", "llm_called", "llm_target_count", "orphan_count", "empty_text_count")
 
 
 def page_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,19 +325,23 @@ _PAIRS_SQL = f"{_RANKED_SQL}, pairs AS (SELECT doc_id, lang AS actual, label AS
 _METRICS_SQL = f"""{_PAIRS_SQL}, m AS (SELECT l AS doc_type, (SELECT count(*) FROM pairs WHERE actual = l) AS support, (SELECT count(*) FROM pairs WHERE predicted = l) AS predicted_count, (SELECT count(*) FROM pairs WHERE predicted = l AND actual = l) AS tp FROM labels),
  p AS (SELECT *, CASE WHEN predicted_count > 0 THEN tp::DOUBLE / predicted_count END AS precision, CASE WHEN support > 0 THEN tp::DOUBLE / support END AS recall FROM m),
  f AS (SELECT *, CASE WHEN precision IS NULL OR recall IS NULL THEN NULL WHEN precision = 0 AND recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM p)"""
-_HASHED_SQL = "WITH h AS (SELECT doc_id, sha256(regexp_replace(text, '\\s+', '', 'g')) AS hash FROM documents), m AS (SELECT a.doc_id AS page_number, 'src' AS label, b.doc_id AS source_page FROM h a JOIN h b ON a.hash = b.hash WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1)"
+_HASHED_SQL = """WITH h AS (SELECT doc_id, lang AS package_id, sha256(regexp_replace(text, '\\s+', '', 'g')) AS hash FROM documents), s AS (SELECT h.package_id, 'q' || CAST(quality AS VARCHAR) AS label, h.doc_id AS source_page, hash FROM h JOIN labels USING (doc_id)),
+ f AS (SELECT package_id, hash, count(*) AS candidates, min((label, source_page)) AS first FROM s GROUP BY 1, 2),
+ m AS (SELECT h.package_id, h.doc_id AS page_number, first[1] AS label, first[2] AS source_page, candidates FROM h JOIN f ON h.package_id = f.package_id AND h.hash = f.hash)"""
 _NUMBERED = lambda prefix, n: f"'{prefix}' || CASE WHEN length(CAST({n} AS VARCHAR)) < 3 THEN lpad(CAST({n} AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END"
 _RUNS_SQL = lambda source: f"""WITH p AS ({source}), f AS (SELECT *, CASE WHEN page_number = lag(page_number) OVER w + 1 AND doc_type = lag(doc_type) OVER w THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY package_id ORDER BY page_number)),
  r AS (SELECT *, sum(new) OVER (PARTITION BY package_id ORDER BY page_number) AS run FROM f),
  g AS (SELECT package_id, run, min(doc_type) AS doc_type, CAST(min(page_number) AS INTEGER) AS start_page, CAST(max(page_number) AS INTEGER) AS end_page, CAST(count(*) AS INTEGER) AS page_count, string_agg(CAST(page_number AS VARCHAR), ';' ORDER BY page_number) AS physical_pages FROM r GROUP BY package_id, run)"""
-_URLS_SQL = """WITH u AS (SELECT page_id, url, CASE WHEN regexp_extract(url, '://[^/]*/([a-z]+)/', 1) IN ('en','fr','de','es') THEN regexp_extract(url, '://[^/]*/([a-z]+)/', 1) ELSE 'OTHER' END AS doc_type,
+_URLS_SQL = """WITH u AS (SELECT page_id, url, regexp_extract(url, '://([^/]*)', 1) AS package_id, CASE WHEN regexp_extract(url, '://[^/]*/([a-z]+)/', 1) IN ('en','fr','de','es') THEN regexp_extract(url, '://[^/]*/([a-z]+)/', 1) ELSE 'OTHER' END AS doc_type,
   CASE WHEN regexp_matches(url, '://([a-z.]+)') THEN regexp_extract(url, '://([a-z.]+)', 1) END AS host, CASE WHEN regexp_matches(url, '/(\\d{2,6})') THEN regexp_extract(url, '/(\\d{2,6})', 1) END AS number FROM pages)"""
 _MASK_SQL = "sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+', '[EMAIL]', 'g'), '\\(?\\d{3}\\)?[-. ]\\d{3}[-.]\\d{4}', '[PHONE]', 'g'))"
 
+_COUNTERS_SQL = f"count(*) AS total_pages, count(*) AS rule_resolved, 0::BIGINT AS llm_called, count(*) FILTER (WHERE {_DELEGATE_SQL} <> '') AS llm_target_count, count(*) FILTER (WHERE doc_id % 10 = 0) AS orphan_count, count(*) FILTER (WHERE len = 0) AS empty_text_count"
+
 #: Each query with its SQL.
 REGISTERED: dict[str, tuple[Query, str | None]] = {
     "normalized_length": (normalized_length, "SELECT doc_id, CAST(length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) AS INTEGER) AS normalized_text_length FROM documents"),
-    "page_hash_copies": (page_hash_copies, "SELECT sha256(regexp_replace(text, '\\s+', '', 'g')) AS hash, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ';' ORDER BY doc_id) AS doc_ids FROM documents GROUP BY 1 HAVING count(*) > 1"),
+    "page_hash_copies": (page_hash_copies, "SELECT sha256(regexp_replace(text, '\\s+', '', 'g')) AS hash, count(*) AS n, min(doc_id) AS first_page, max(doc_id) AS last_page FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "classify_documents": (classify_documents, f"{_RANKED_SQL} SELECT doc_id, label, round(score, 9) AS score, round(margin, 9) AS margin, classes FROM scored"),
     "matched_signals": (matched_signals, "SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {_has(s)} THEN '{s}' END" for b in RULES["doc_types"].values() for s in (*b["strong"], *b["weak"])) + f") AS signals, CASE WHEN strong = 1 AND label = 'en' THEN 'True' ELSE 'False' END AS strong FROM ({_RANKED_SQL} SELECT scored.*, d.text FROM scored JOIN documents d USING (doc_id))"),
     "delegation": (delegation, f"{_RANKED_SQL} SELECT doc_id, {_DELEGATE_SQL} AS reasons, CASE WHEN {_DELEGATE_SQL} <> '' THEN 'True' ELSE 'False' END AS delegate FROM scored"),
@@ -323,11 +364,11 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
    concat_ws(';', CASE WHEN len(dup) > 0 THEN 'DUPLICATE_PAGE' END, CASE WHEN tier = 2 THEN 'AMBIGUOUS_ATTACHMENT' END, CASE WHEN totals > 1 THEN 'CONFLICTING_MARKER_TOTAL' END) AS issues, logical_to_physical FROM e"""),
     "orphan_pages": (orphan_pages, f"{_ORDER_PAGES_SQL} SELECT package_id, page_number, doc_type, CASE WHEN marker_page IS NULL THEN 'no marker_page' ELSE 'no instance_id, no marker style' END AS reason FROM pages WHERE marker_page IS NULL OR (instance_id IS NULL AND marker_style = 'NONE')"),
     "url_identifiers": (url_identifiers, f"{_URLS_SQL} SELECT page_id, host, number FROM u"),
-    "instance_ids": (instance_ids, f"""{_URLS_SQL}, k AS (SELECT page_id, doc_type, CASE WHEN doc_type = 'OTHER' OR (host IS NULL AND (number IS NULL OR doc_type NOT IN ('en','fr'))) THEN NULL ELSE coalesce(host, '-') || '|' || CASE WHEN doc_type IN ('en','fr') THEN coalesce(number, '-') ELSE '' END END AS key FROM u),
- f AS (SELECT *, min(page_id) OVER (PARTITION BY doc_type, key) AS first FROM k), n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_type ORDER BY CASE WHEN key IS NULL THEN NULL ELSE first END NULLS LAST) AS nr FROM f)
+    "instance_ids": (instance_ids, f"""{_URLS_SQL}, k AS (SELECT page_id, package_id, doc_type, CASE WHEN doc_type = 'OTHER' OR (host IS NULL AND (number IS NULL OR doc_type NOT IN ('en','fr'))) THEN NULL ELSE coalesce(host, '-') || '|' || CASE WHEN doc_type IN ('en','fr') THEN coalesce(number, '-') ELSE '' END END AS key FROM u),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY package_id, doc_type, key) AS first FROM k), n AS (SELECT *, dense_rank() OVER (PARTITION BY package_id, doc_type ORDER BY CASE WHEN key IS NULL THEN NULL ELSE first END NULLS LAST) AS nr FROM f)
  SELECT page_id, doc_type, CASE WHEN key IS NOT NULL THEN doc_type || '#' || CAST(nr AS VARCHAR) END AS instance_id FROM n"""),
     "markers": (markers, """SELECT l_orderkey % 4 AS kind, l_linenumber, CASE WHEN l_orderkey % 4 = 0 AND l_linenumber <= 7 THEN 'PAGE_N_OF_M' WHEN l_orderkey % 4 = 1 AND l_linenumber <= 5 THEN 'N_OF_M' ELSE 'NONE' END AS style,
- CASE WHEN (l_orderkey % 4 = 0 AND l_linenumber <= 7) OR (l_orderkey % 4 = 1 AND l_linenumber <= 5) THEN l_linenumber END AS page, CAST(CASE WHEN l_orderkey % 4 = 0 AND l_linenumber <= 7 THEN 7 WHEN l_orderkey % 4 = 1 AND l_linenumber <= 5 THEN 5 END AS INTEGER) AS total, count(*) AS n FROM lineitem WHERE l_linenumber >= 1 GROUP BY ALL"""),
+ CASE WHEN (l_orderkey % 4 = 0 AND l_linenumber <= 7) OR (l_orderkey % 4 = 1 AND l_linenumber <= 5) THEN l_linenumber END AS page, CAST(CASE WHEN l_orderkey % 4 = 0 AND l_linenumber <= 7 THEN 7 WHEN l_orderkey % 4 = 1 AND l_linenumber <= 5 THEN 5 END AS INTEGER) AS total, count(*) AS n FROM lineitem GROUP BY ALL"""),
     "masked_contacts": (masked_contacts, f"SELECT doc_id, {_MASK_SQL} AS masked_sha256 FROM documents"),
     "masked_natively": (masked_natively, f"SELECT doc_id, {_MASK_SQL} AS masked_sha256 FROM documents"),
     "excerpts": (excerpts, f"SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN {_LAST(chr(39) + '. ' + chr(39), 2)} > 150 THEN {_CUT('(' + _LAST(chr(39) + '. ' + chr(39), 2) + ') + 2')} WHEN {_LAST('chr(10)', 1)} > 150 THEN {_CUT('(' + _LAST('chr(10)', 1) + ') + 1')} WHEN {_LAST(chr(39) + ' ' + chr(39), 1)} > 0 THEN {_CUT(_LAST(chr(39) + ' ' + chr(39), 1))} ELSE {_WINDOW_SQL} END AS excerpt FROM documents"),
@@ -336,9 +377,20 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
  SELECT package_id, page_number, CASE WHEN ok THEN ['en','fr','de','es'][page_number % 4 + 1] ELSE 'OTHER' END AS doc_type, CASE WHEN ok THEN 'LLM' ELSE 'RULE_FALLBACK' END AS decision_source, CASE WHEN ok THEN 'False' ELSE 'True' END AS llm_failed,
  CASE WHEN ok THEN '' ELSE repeat('LLM_LABEL_INVALID;', CAST(bad AS BIGINT)) || 'LLM_COUNT_MISMATCH' END AS warnings FROM w"""),
     "hash_matches": (hash_matches, f"{_HASHED_SQL} SELECT * FROM m"),
-    "hash_unmatched": (hash_unmatched, f"{_HASHED_SQL} SELECT doc_id AS page_number FROM h WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT page_number FROM m)"),
-    "multiple_claims": (multiple_claims, f"{_HASHED_SQL} SELECT label, source_page, count(*) AS n, string_agg(CAST(page_number AS VARCHAR), ';' ORDER BY page_number) AS page_numbers FROM m GROUP BY ALL HAVING count(*) > 1"),
-    "run_counters": (run_counters, f"{_RANKED_SQL} SELECT count(*) AS total_pages, count(*) AS rule_resolved, 0::BIGINT AS llm_called, count(*) FILTER (WHERE {_DELEGATE_SQL} <> '') AS targets, count(*) FILTER (WHERE doc_id % 10 = 0) AS orphans, count(*) FILTER (WHERE len = 0) AS empty FROM scored"),
+    "hash_unmatched": (hash_unmatched, f"{_HASHED_SQL} SELECT h.package_id, doc_id AS page_number FROM h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.package_id = h.package_id AND s.hash = h.hash)"),
+    "hash_collisions": (hash_collisions, f"{_HASHED_SQL} SELECT package_id, hash, count(*) AS n, min_by(source_page, (label, source_page)) AS first_page, max_by(source_page, (label, source_page)) AS last_page FROM s GROUP BY package_id, hash HAVING count(*) > 1"),
+    "multiple_claims": (multiple_claims, f"{_HASHED_SQL} SELECT package_id, label, source_page, count(*) AS n, min(page_number) AS first_page, max(page_number) AS last_page FROM m GROUP BY package_id, label, source_page HAVING count(*) > 1"),
+    "unequal_counts": (unequal_counts, f"{_HASHED_SQL}, c AS (SELECT package_id, count(*) AS shuffled FROM h GROUP BY 1), d AS (SELECT package_id, count(*) AS source FROM s GROUP BY 1) SELECT package_id, coalesce(shuffled, 0) AS shuffled, coalesce(source, 0) AS source FROM c FULL JOIN d USING (package_id) WHERE coalesce(shuffled, 0) <> coalesce(source, 0)"),
+    "incomplete_numbers": (incomplete_numbers, """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS package_id, turn + 1 AS page_number, text FROM conversations), e AS (SELECT package_id, count(*) AS n FROM t GROUP BY 1)
+ SELECT package_id, n FROM e WHERE NOT (n = (SELECT count(*) FROM t WHERE t.package_id = e.package_id AND length(text) >= 40) AND n = (SELECT count(DISTINCT page_number) FROM t WHERE t.package_id = e.package_id AND length(text) >= 40)
+   AND (SELECT coalesce(min(page_number), 0) FROM t WHERE t.package_id = e.package_id AND length(text) >= 40) = 1 AND (SELECT coalesce(max(page_number), 0) FROM t WHERE t.package_id = e.package_id AND length(text) >= 40) = n)"""),
+    "truth_distribution": (truth_distribution, f"{_HASHED_SQL} SELECT label AS doc_type, count(*) AS n FROM m GROUP BY label"),
+    "misaligned_pages": (misaligned_pages, """WITH d AS (SELECT doc_id, doc_id // 3 AS page_number, lang AS doc_type FROM documents), t AS (SELECT d.* FROM d JOIN labels USING (doc_id)), p AS (SELECT * FROM d WHERE doc_type <> 'es'),
+ bad AS (SELECT 0 AS nr, page_number FROM t GROUP BY page_number HAVING count(*) > 1 UNION ALL SELECT 1, page_number FROM p GROUP BY page_number HAVING count(*) > 1 UNION ALL SELECT DISTINCT 2, page_number FROM t WHERE page_number NOT IN (SELECT page_number FROM p)
+  UNION ALL SELECT DISTINCT 3, page_number FROM p WHERE page_number NOT IN (SELECT page_number FROM t) UNION ALL SELECT DISTINCT 4, page_number FROM t WHERE doc_type NOT IN ('en', 'fr', 'es') UNION ALL SELECT DISTINCT 5, page_number FROM p WHERE doc_type NOT IN ('en', 'fr', 'es'))
+ SELECT CAST(nr AS INTEGER) AS nr, CAST(page_number AS INTEGER) AS page_number FROM bad"""),
+    "run_counters": (run_counters, f"{_RANKED_SQL} SELECT source AS package_id, {_COUNTERS_SQL}, coalesce(string_agg(CAST(doc_id AS VARCHAR), ';' ORDER BY doc_id) FILTER (WHERE {_DELEGATE_SQL} <> ''), '') AS llm_target_pages, coalesce(string_agg(CAST(doc_id AS VARCHAR), ';' ORDER BY doc_id) FILTER (WHERE doc_id % 10 = 0), '') AS orphan_pages FROM scored JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source"),
+    "run_totals": (run_totals, f"{_RANKED_SQL} SELECT {_COUNTERS_SQL} FROM scored"),
     "page_tiles": (page_tiles, f"""SELECT package_id, page_number, CAST((page_number - 1) // 40 AS INTEGER) AS band, CAST((page_number - 1) % 40 AS INTEGER) AS place, CASE WHEN doc_id % 9 = 0 THEN '#0072B2' ELSE '#999999' END AS predicted_colour,
  CASE WHEN doc_id % 6 = 0 THEN '#0072B2' ELSE '#999999' END AS actual_colour, CASE WHEN (doc_id % 9 = 0) <> (doc_id % 6 = 0) THEN 'True' ELSE 'False' END AS mismatch FROM ({_PAGES_SQL})"""),
     "heatmap": (heatmap, f"""{_PAIRS_SQL}, c AS (SELECT a.l AS actual, b.l AS predicted, (SELECT count(*) FROM pairs WHERE actual = a.l AND predicted = b.l) AS n FROM labels a, labels b)
@@ -347,9 +399,15 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
 }
 
 
+def _registered() -> dict[str, tuple[Query, str | None]]:
+    from . import run_queries
+
+    return REGISTERED | run_queries.REGISTERED
+
+
 def queries() -> dict[str, Query]:
-    return {name: query for name, (query, _) in REGISTERED.items()}
+    return {name: query for name, (query, _) in _registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTERED.items() if sql}
+    return {name: sql for name, (_, sql) in _registered().items() if sql}

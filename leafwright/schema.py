@@ -75,6 +75,8 @@ def document_invariants() -> dict[str, Column]:
         "no expected total, no judgement": c("expected_pages").isNotNull() | (c("completeness") == "UNKNOWN_EXTENT"),
         "complete exactly if nothing is missing": c("expected_pages").isNull() | ((c("completeness") == "COMPLETE") == (F.size("missing_logical_pages") == 0)),
         "duplicates are flagged": (F.size("duplicate_logical_pages") == 0) | F.array_contains("issues", "DUPLICATE_PAGE"),
+        "completeness and issues are known": c("completeness").isin(*COMPLETENESS) & (F.size(F.array_except("issues", F.array(*map(F.lit, ISSUES)))) == 0),
+        "evidence is short": F.forall("page_links", lambda x: F.forall(x["evidence"], lambda e: F.char_length(e) <= EVIDENCE_CHARS)),
     }
 
 

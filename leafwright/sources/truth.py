@@ -13,7 +13,7 @@ def load_ground_truth(spark: SparkSession, path: str, package_id: str = "package
 
     ``page_number`` and ``doc_type`` must be there, ``source_document`` and ``source_page`` may be; a file with ``package_id`` covers many packages.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     extra = {c: F.lit(None).cast("string") for c in TRUTH_COLUMNS[2:] if c not in raw.columns}
     if "package_id" not in raw.columns:
         extra["package_id"] = F.lit(package_id)
@@ -25,10 +25,10 @@ def load_ground_truth(spark: SparkSession, path: str, package_id: str = "package
     rows = rows.withColumn("source_page", F.col("_page").try_cast("int"))
     good = (F.col("page_number") >= 1) & F.col("doc_type").isin(*labels) & (F.col("_page").isNull() | (F.col("source_page") >= 1))
     bad = rows.where(~F.coalesce(good, F.lit(False)))
-    if found := bad.limit(1).collect():
-        # Only now, for the message, rows are numbered, on the driver and up to the first bad one.
-        for number, row in enumerate(rows.withColumn("_ok", F.coalesce(good, F.lit(False))).toLocalIterator(), 2):
-            if not row["_ok"]:
-                raise ValueError(f"Invalid ground truth row {number}: page_number={row['_raw']!r}, doc_type={row['doc_type']!r}")
-        raise ValueError(f"Invalid ground truth row: {found[0]}")
+    if not bad.isEmpty():
+        # Only now, for the message, rows are numbered: those before the first bad one are counted.
+        placed = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_ok", F.coalesce(good, F.lit(False)))
+        row = placed.where("not _ok").orderBy("_at").first()
+        number = placed.where(F.col("_at") < row["_at"]).count() + 2
+        raise ValueError(f"Invalid ground truth row {number}: page_number={row['_raw']!r}, doc_type={row['doc_type']!r}")
     return rows.select("package_id", "page_number", "doc_type", "source_document", "source_page")

@@ -131,6 +131,24 @@ def test_evaluation(spark):
     report.check_text(sinks.json_text(e.as_dict()))
 
 
+def test_mistakes_beyond_the_limit_are_counted(spark):
+    e = evaluate.evaluate(_labels(spark, ["URLA_1003"] * 9), _labels(spark, ["OTHER"] * 9), listed=4)
+    assert e.misclassified_count == 9 and e.misclassified_pages == [1, 2, 3, 4] and "(9):" in evaluate.report_text(e) and "and 5 more" in evaluate.report_text(e)
+
+
+def test_a_run_fails_on_broken_rows(spark):
+    bad = pages.from_rows(spark, [("p", 0, "page 0 of nothing")])
+    with pytest.raises(Exception, match="page_number is at least 1"):
+        run(bad, RULES)
+
+
+def test_reports_of_several_packages_hold_counts(spark):
+    two = run(pages.from_rows(spark, [*ROWS, ("q", 1, "short one")]), RULES)
+    whole, one = two.report(), two.report(package_id="q")
+    assert whole["total_pages"] == 6 and whole["llm_target_count"] == 4 and "llm_target_pages" not in whole
+    assert one["llm_target_pages"] == [1] and one["orphan_pages"] == [1]
+
+
 def test_all_undefined_and_empty(spark):
     e = evaluate.evaluate(_labels(spark, ["URLA_1003"]), _labels(spark, ["OTHER"]))
     assert e.macro_f1_supported == 0.0 and e.accuracy == 0.0
@@ -211,7 +229,11 @@ def test_command_line(spark, tmp_path, capsys):
     args = cli.parser().parse_args(["run", "--pages", str(tmp_path / "in.parquet"), "--out", str(tmp_path / "out"), "--truth", str(tmp_path / "t.csv")])
     args.function(spark, args)
     assert {p.name for p in (tmp_path / "out").iterdir()} == {"page_results.csv", "physical_groups.csv", "reconstructed_documents.csv", "run_report.json", "evaluation.json", "evaluation.txt"}
-    assert "accuracy: 1.0000" in capsys.readouterr().out
+    assert "accuracy 1.0000" in capsys.readouterr().out
+    for command in ("rules", "extract", "delegation"):
+        args = cli.parser().parse_args([command, "--pages", str(tmp_path / "in.parquet"), "--rows", "2"])
+        args.function(spark, args)
+        assert f"and {1 if command == 'delegation' else 3} more rows" in capsys.readouterr().out
     with pytest.raises(ValueError, match="more than once"):
         cli.one_path_per_label([("OTHER", "a"), ("OTHER", "b")])
     assert cli.labelled_path("OTHER=a=b") == ("OTHER", "a=b")
