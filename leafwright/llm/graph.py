@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from .common import BROADCAST_IDS, forget, scope, small, written
 #: Buckets up to this size are compared member by member at once; larger ones against their centre first.
 ALL_PAIRS = 12
 #: What stays apart in a large bucket is compared in blocks of about so many members against each other.
-BLOCK = 2000
+BLOCK = 10_000
 #: Samples that a sketch holds, two bits of each.
 SKETCH = 32
 _ODD_BITS = 0x5555555555555555
@@ -46,49 +47,74 @@ def _pairs(rows: DataFrame, most: int, all_pairs: int, name: str) -> tuple[DataF
     return written(two.unionByName(near).unionByName(star).groupBy("a", "b").agg(F.min("far").alias("far")), name + "-pairs"), many
 
 
-def _apart(many: DataFrame, united: DataFrame, most: int, name: str, block: int) -> DataFrame:
-    """Pairs in large buckets whose ends aren't connected in ``united`` yet and whose sketches are near, block against block."""
-    held = many.join(small(united), "id", "left").select("key", "id", "sketch", "m", F.coalesce("root", "id").alias("root"))
-    parts = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    apart = held.join(small(written(parts, name + "-parts"), BROADCAST_IDS), "key")
-    dealt = apart.withColumn("n", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = written(dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "root", "sketch"), name + "-dealt")
-    # All conditions belong to the join, so no row is made of a pair that doesn't meet them.
-    once = F.expr("x.key = y.key and x.low = y.low and x.high = y.high and x.id < y.id and x.root != y.root and (x.own != y.own or x.low = x.high)")
-    far = differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
-    met = dealt.alias("x").join(dealt.alias("y"), once & (far <= most)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.alias("far"))
-    return met.groupBy("a", "b").agg(F.min("far").alias("far"))
+class Detail(NamedTuple):
+    """What candidates are judged by, fetched once for some ids."""
+
+    #: ``(id, ...)``, from which ``judge`` estimates how far two ids are apart; None if sketches tell enough.
+    table: DataFrame | None
+    #: Takes two functions from the name of a column of ``table`` to the column of one end, and gives whether a pair may be similar, and its distance.
+    judge: Callable[[Callable[[str], Column], Callable[[str], Column]], tuple[Column, Column]] | None
+    #: Those of some pairs ``(a, b)`` that are similar.
+    verify: Callable[[DataFrame], DataFrame]
+
 
+def _judged(pairs: DataFrame, detail: Detail, name: str) -> DataFrame:
+    """The ``pairs (a, b, far)`` that may be similar, with the distances that ``detail`` estimates."""
+    if detail.table is None:
+        return pairs
+    more = [c for c in detail.table.columns if c != "id"]
+    side = lambda end: detail.table.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in more))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    may, far = detail.judge(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    return written(both.where(may).select("a", "b", far.alias("far")), name + "-near")
 
-#: ``(pairs (a, b, far)) -> (those of them that may be similar, verify)``; ``verify`` gives those of such pairs that are.
-Prepare = Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]]
+
+def _apart(many: DataFrame, united: DataFrame, most: int, prepare: Callable[[DataFrame], Detail], name: str, block: int) -> tuple[DataFrame, Detail]:
+    """Pairs ``(a, b)`` in large buckets whose ends aren't connected in ``united`` yet and that may be similar, and what they are judged by.
+
+    Of each bucket, the members outside its largest group meet all its members, block by block.
+    """
+    held = written(many.join(small(united), "id", "left").select("key", "id", "sketch", "m", F.coalesce("root", "id").alias("root")), name + "-held")
+    groups = held.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
+    apart = held.join(small(written(groups, name + "-groups"), BROADCAST_IDS), "key")
+    apart = written(apart.select("key", "id", "sketch", "root", (F.col("root") != F.col("main")).alias("minor"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), name + "-parts")
+    detail = prepare(apart.select("id").distinct())
+    more = []
+    if detail.table is not None:
+        more = [c for c in detail.table.columns if c != "id"]
+        apart = written(apart.join(detail.table, "id"), name + "-dealt")
+    x = apart.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = apart.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("y")
+    # All conditions belong to the join, so no row is made of a pair that doesn't meet them.
+    meet = F.expr("x.key = y.key and x.block = y.block and x.root != y.root and (not y.minor or x.id < y.id)") & (differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= most)
+    if more:
+        meet = meet & detail.judge(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))[0]
+    pairs = x.join(y, meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return written(pairs, name + "-apart"), detail
 
 
-def linked(rows: DataFrame, most: int, prepare: Prepare, name: str, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
+def linked(rows: DataFrame, most: int, prepare: Callable[[DataFrame], Detail], name: str, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
     """``(id, root)`` of all ids that verified pairs connect: pairs that share a bucket of ``rows (key, id, sketch)`` and whose sketches differ in ``most`` samples at most.
 
-    ``prepare`` fetches what pairs are verified by, once. First each id meets its nearest partner alone, then of each two groups so far the
+    ``prepare`` fetches what the ids of candidates are judged by. First each id meets its nearest partner alone, then of each two groups so far the
     nearest two members, then all pairs whose ends are still apart. In large buckets all that is apart then meets all others there, block
     by block, so no link in a bucket is lost. That is linear for copies, and grows with the square of a bucket
     whose ids aren't alike, by some nanoseconds for each pair of sketches; only near ones leave it.
     """
     with scope() as keep:
         pairs, many = _pairs(rows, most, all_pairs, name)
-        pairs, verify = prepare(pairs)
+        detail = prepare(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        pairs = _judged(pairs, detail, name)
         nearest = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far")).groupBy("b").agg(F.min_by("a", "far").alias("a"))
-        united = components(verify(written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name + "-first")))
+        united = components(detail.verify(written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name + "-first")))
         rest = _still_apart(pairs, united, name)
         # Of each two groups the nearest pair; it may fail where others don't, so these follow.
         one = rest.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(F.min(F.struct("far", "a", "b")).alias("n")).select("n.a", "n.b")
-        united = _joined(united, verify(written(one, name + "-second")))
+        united = _joined(united, detail.verify(written(one, name + "-second")))
         rest = _still_apart(rest.select("a", "b", "far"), united, name)
-        united = _joined(united, verify(rest.select("a", "b")))
-        apart = written(_apart(many, united, most, name, block), name + "-apart")
-        if not apart.isEmpty():
-            apart, verify = prepare(apart)
-            united = _joined(united, verify(apart.select("a", "b")))
-        return keep(united)
+        united = _joined(united, detail.verify(rest.select("a", "b")))
+        apart, detail = _apart(many, united, most, prepare, name, block)
+        return keep(_joined(united, detail.verify(apart)) if not apart.isEmpty() else united)
 
 
 def _still_apart(pairs: DataFrame, united: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, forget, scope, small, text_of, written
-from .graph import linked
+from .graph import Detail, linked
 
 SIMILARITY = 0.8
 #: Characters of a shingle when similarity is computed.
@@ -55,22 +55,20 @@ def shingles(line: str) -> Column:
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
-    """``(node, w0, w1, ...)``: the hashes of a line's runs of ``SHINGLE`` characters as a set of ``64 * WORDS`` bits; ``lines``: ``(node, line)``, no line twice."""
+    """``(id, w0, w1, ...)``: the hashes of a line's runs of ``SHINGLE`` characters as a set of ``64 * WORDS`` bits; ``lines``: ``(node, line)``, no line twice."""
     wide = lines.select("node", _wide("line").alias("wide"))
     spots = wide.select("node", "wide", F.explode(_places("wide", SHINGLE)).alias("at")).select("node", F.xxhash64(F.substring("wide", 4 * F.col("at") - 3, F.lit(4 * SHINGLE))).alias("h"))
     marked = spots.select("node", F.pmod(F.shiftrightunsigned("h", 32), F.lit(WORDS)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    return marked.groupBy("node").agg(*(F.coalesce(F.bit_or(F.when(F.col("w") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)))
+    return marked.groupBy(F.col("node").alias("id")).agg(*(F.coalesce(F.bit_or(F.when(F.col("w") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)))
 
 
-def _near(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` that may reach ``similarity``, by the sizes of their sets and of both together, as the bits that they set tell them; ``far``: their estimated distance in 1/1000."""
-    name = lambda side: [F.col("node").alias(side), *(F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS))]
-    both = pairs.join(bits.select(*name("a")), "a").join(bits.select(*name("b")), "b")
-    count = lambda word: sum((F.bit_count(word(i)) for i in range(WORDS)), F.lit(0))
+def _estimate(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> tuple[Column, Column]:
+    """Whether two sets of bits may stem from lines of ``similarity``, by the sizes of both sets and of them together, as the bits that are set tell them; and their distance in 1/1000."""
+    count = lambda word: sum((F.bit_count(word(f"w{i}")) for i in range(WORDS)), F.lit(0))
     size = lambda n: -F.log(1 - F.least(n, F.lit(FULL)) / (64.0 * WORDS))
-    counted = both.select("a", "b", count(lambda i: F.col(f"a{i}")).alias("m"), count(lambda i: F.col(f"b{i}")).alias("n"), count(lambda i: F.col(f"a{i}").bitwiseOR(F.col(f"b{i}"))).alias("u"))
-    alike = (size(F.col("m")) + size(F.col("n"))) / size(F.col("u")) - 1
-    return counted.where((F.col("u") >= FULL) | (alike >= similarity - SLACK)).select("a", "b", F.round(1000 * (1 - alike)).cast("int").alias("far"))
+    both = count(lambda w: x(w).bitwiseOR(y(w)))
+    alike = (size(count(x)) + size(count(y))) / size(both) - 1
+    return (both >= FULL) | (alike >= similarity - SLACK), F.round(1000 * (1 - alike)).cast("int")
 
 
 def _signed(lines: DataFrame, thin: bool) -> DataFrame:
@@ -127,10 +125,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("key"), "text")
     lines = base.select("id", "key", F.posexplode(_lines("text")).alias("nr", "line")).where(F.col("line").rlike(_WORD)).withColumn("node", F.xxhash64("line"))
 
-    def prepare(pairs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-ends")
+    def prepare(ids: DataFrame) -> Detail:
+        ends = written(ids.withColumnRenamed("id", "node"), "line-ends")
         texts = written(lines.select("node", "line").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-        near = written(_near(pairs, written(bitmaps(texts), "line-bits"), similarity), "line-near")
 
         def verify(some: DataFrame) -> DataFrame:
             compared = some.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -138,7 +135,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sets = compared.select("a", "b", F.explode(F.array(F.struct(shingles("x").alias("x"), shingles("y").alias("y")))).alias("s"))
             return written(sets.where(F.size(F.array_intersect("s.x", "s.y")) >= similarity * F.size(F.array_union("s.x", "s.y"))).select("a", "b"), "line-edges")
 
-        return near, verify
+        return Detail(written(bitmaps(texts), "line-bits"), lambda x, y: _estimate(x, y, similarity), verify)
 
     with scope() as keep:
         places = written(lines.select("id", "key", "nr", "node", _long().alias("long")), "line-places")

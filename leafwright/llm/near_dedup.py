@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, BROADCAST_ROWS, forget, release, scope, small, text_of, written
-from .graph import SKETCH, linked
+from .graph import SKETCH, Detail, linked
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -280,15 +280,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, siz
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
         release()
 
-    def prepare(pairs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    def prepare(ids: DataFrame) -> Detail:
+        ends = written(ids.withColumnRenamed("id", "node"), "ends")
         sets = written(table.select("node", "shingles", "times").join(small(ends, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
         def verify(some: DataFrame) -> DataFrame:
             compared = some.join(sets.toDF("a", "xa", "ta"), "a").join(sets.toDF("b", "xb", "tb"), "b")
             return written(compared.mapInArrow(similar, "a long, b long"), "edges")
 
-        return pairs, verify
+        return Detail(None, None, verify)
 
     united = linked(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "sketch"), MOST_DIFFERING, prepare, "buckets")
     members = table.select("doc_id", "node").join(small(united).withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -65,7 +65,7 @@ def test_buckets_of_every_size_keep_their_links(spark, block, all_pairs):
         seen.update(got)
         return spark.createDataFrame(sorted(got & alike), "a long, b long")
 
-    got = {x.id: x.root for x in graph.linked(rows, 0, lambda pairs: (pairs, verify), "t", all_pairs, block).collect()}
+    got = {x.id: x.root for x in graph.linked(rows, 0, lambda ids: graph.Detail(None, None, verify), "t", all_pairs, block).collect()}
     assert {k: v for k, v in got.items() if k != v} == {3: 0, 11: 10, 21: 20, 41: 40}
     assert all(near[a] == near[b] for a, b in seen)
 
