@@ -20,9 +20,9 @@ SIGNED = 10
 BANDS, ROWS = 10, 2
 #: Samples of which a sketch holds two bits each; bands use the first ones. At the limit 8.7 of 32 differ, give or take 2.5; 22 in lines alike by chance.
 SAMPLES, MOST_DIFFERING = 32, 16
-#: Before a pair's shingles are compared exactly, its likeness is estimated from sets of 64 * WORDS bits, to 0.03; it is dropped only if that
-#: is SLACK below the limit. Sets that fill FULL bits tell nothing.
-WORDS, SLACK, FULL = 16, 0.1, 960
+#: Before a pair's shingles are compared exactly, its likeness is estimated from sets of 64 * WORDS bits, to 0.015 (0.025 where they are nearly
+#: full); it is dropped only if that is SLACK below the limit. Sets that fill FULL bits tell nothing.
+WORDS, SLACK, FULL = 16, 0.07, 960
 #: Signatures use each fourth shingle by its hash; lines of fewer characters, or with fewer different shingles of that kind, get one from all shingles besides.
 THIN, SHORT, FEW = 4, 112, 12
 
