@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import scope, small, written
 
 #: Distinct vectors that codebooks are fitted on at most: those with the smallest hashes.
 SAMPLE = 8192
-BOOKS, WORDS, BEAM = 8, 256, 8
+BOOKS, WORDS, BEAM = 24, 256, 4
 #: Classes of equal vectors ranked again for each query, from each block of codes and in all.
-RERANK = 150
+RERANK = 300
 #: Vectors in a block of codes, queries in a block of queries.
 BLOCK, QUERIES = 16_384, 2_048
 
@@ -99,50 +99,51 @@ def search(
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == dims["n"])
 
-    # Row numbers up to a limit are cut before the shuffle too, so a common vector sends k + 1 ids from each task at most.
-    first = Window.partitionBy("class").orderBy("id")
-    keyed = rows.select("id", F.sha2(F.array_join(F.transform("v", lambda x: F.hex(F.xxhash64(x))), ""), 256).alias("class"), "v")
-    members = keyed.withColumn("nr", F.dense_rank().over(first)).where(F.col("nr") <= k + 1).dropDuplicates(["class", "id"])
-    members = written(members, "members")
-    classes = members.where("nr = 1").select("class", "v")
-    picked = classes.orderBy("class").limit(sample).select("v").toPandas()
-    model = fit(_unit(picked["v"]), books)
-
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 512):
-                part = pdf.iloc[a : a + 512]
-                codes, norms = model.encode(_unit(part["v"]), beam)
-                yield pd.DataFrame({"class": part["class"], "code": [c.tobytes() for c in codes], "norm": norms})
-
-    codes = written(classes.mapInPandas(code, "class string, code binary, norm double"), "codes")
-    queries = keyed.where(F.col("id") % every == 0).dropDuplicates(["class", "id"])
-    asked = written(queries.groupBy("class").agg(F.first("v").alias("v")).withColumn("part", F.lit(0)), "queries")  # equal queries are scored once
-    n_codes, n_asked = codes.count(), asked.count()
-    code_blocks, query_blocks = -(-n_codes // BLOCK), max(1, -(-n_asked // QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
-    left = asked.select(block(query_blocks).alias("q"), F.col("class").alias("class"), "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("norm"))
-    left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(0, code_blocks - 1)))))
-    right = codes.select(block(max(1, code_blocks)).alias("c"), "class", F.lit(None).cast("array<double>").alias("v"), "code", "norm")
-    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, own = pdf[pdf["code"].isna()], pdf[pdf["code"].notna()].sort_values("class")
-        if ask.empty or own.empty:
-            return pd.DataFrame({"query": [], "class": [], "near": []})
-        book = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-        names, norms, out = own["class"].to_numpy(), own["norm"].to_numpy(), []
-        for a in range(0, len(ask), 256):
-            part = ask.iloc[a : a + 256]
-            s = model.scores(_unit(part["v"]), book, norms)
-            keep = min(rerank, s.shape[1])
-            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            out.append(pd.DataFrame({"query": np.repeat(part["class"].to_numpy(), keep), "class": names[top.ravel()], "near": np.take_along_axis(s, top, 1).ravel().astype(float)}))
-        return pd.concat(out)
-
-    scored = left.select("q", "c", "class", "v", "code", "norm").unionByName(right).groupBy("q", "c").applyInPandas(score, "query string, class string, near double")
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "class")
-    near = written(scored.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= rerank).select("query", "class"), "near")
+    with scope() as keep:
+        # Row numbers up to a limit are cut before the shuffle too, so a common vector sends k + 1 ids from each task at most.
+        first = Window.partitionBy("class").orderBy("id")
+        keyed = rows.select("id", F.sha2(F.array_join(F.transform("v", lambda x: F.hex(F.xxhash64(x))), ""), 256).alias("class"), "v")
+        members = keyed.withColumn("nr", F.dense_rank().over(first)).where(F.col("nr") <= k + 1).dropDuplicates(["class", "id"])
+        members = keep(written(members, "members"))
+        classes = members.where("nr = 1").select("class", "v")
+        picked = classes.orderBy("class").limit(sample).select("v").toPandas()
+        model = fit(_unit(picked["v"]), books)
+
+        def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for a in range(0, len(pdf), 512):
+                    part = pdf.iloc[a : a + 512]
+                    codes, norms = model.encode(_unit(part["v"]), beam)
+                    yield pd.DataFrame({"class": part["class"], "code": [c.tobytes() for c in codes], "norm": norms})
+
+        codes = written(classes.mapInPandas(code, "class string, code binary, norm double"), "codes")
+        queries = keyed.where(F.col("id") % every == 0).dropDuplicates(["class", "id"])
+        asked = keep(written(queries.groupBy("class").agg(F.first("v").alias("v")).withColumn("part", F.lit(0)), "queries"))  # equal queries are scored once
+        n_codes, n_asked = codes.count(), asked.count()
+        code_blocks, query_blocks = -(-n_codes // BLOCK), max(1, -(-n_asked // QUERIES))
+        block = lambda n: F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
+        left = asked.select(block(query_blocks).alias("q"), F.col("class").alias("class"), "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("norm"))
+        left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(0, code_blocks - 1)))))
+        right = codes.select(block(max(1, code_blocks)).alias("c"), "class", F.lit(None).cast("array<double>").alias("v"), "code", "norm")
+        right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+
+        def score(pdf: pd.DataFrame) -> pd.DataFrame:
+            ask, own = pdf[pdf["code"].isna()], pdf[pdf["code"].notna()].sort_values("class")
+            if ask.empty or own.empty:
+                return pd.DataFrame({"query": [], "class": [], "near": []})
+            book = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
+            names, norms, out = own["class"].to_numpy(), own["norm"].to_numpy(), []
+            for a in range(0, len(ask), 256):
+                part = ask.iloc[a : a + 256]
+                s = model.scores(_unit(part["v"]), book, norms)
+                keep = min(rerank, s.shape[1])
+                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                out.append(pd.DataFrame({"query": np.repeat(part["class"].to_numpy(), keep), "class": names[top.ravel()], "near": np.take_along_axis(s, top, 1).ravel().astype(float)}))
+            return pd.concat(out)
+
+        scored = left.select("q", "c", "class", "v", "code", "norm").unionByName(right).groupBy("q", "c").applyInPandas(score, "query string, class string, near double")
+        best = Window.partitionBy("query").orderBy(F.desc("near"), "class")
+        near = keep(written(scored.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= rerank).select("query", "class"), "near"))
 
     one = asked.select(F.col("class").alias("query"), F.col("v").alias("a"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -35,6 +35,25 @@ def test_recall_scores_and_common_vectors(spark):
         assert all(abs(s - scores[i]) < 1e-12 for i, s in near if i in scores)
 
 
+def test_recall_where_few_are_ranked_again(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    got = {}
+    for y in ann.search(df, every=100, rerank=50).collect():  # 0.8 % of the classes
+        got.setdefault(y.query_id, set()).add(y.vec_id)
+    hits = sum(len(got[q] & set([i for i in np.argsort(-(unit @ unit[q]), kind="stable") if i != q][:5])) for q in range(0, 6000, 100))
+    assert hits >= 0.9 * 5 * 60
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    # Different vectors of exactly one cosine: multiples of each other, and mirrored ones.
+    rows = [(0, [1.0, 0.0]), (7, [3.0, 4.0]), (5, [6.0, 8.0]), (3, [3.0, -4.0]), (9, [0.0, 1.0]), (11, [-1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "c") for i, v in rows], SCHEMA)
+    assert [(y.rank, y.vec_id) for y in ann.search(df, every=100).orderBy("rank").collect()] == [(1, 3), (2, 5), (3, 7), (4, 9), (5, 11)]
+
+
 def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, "c"), (1, [1.0, 0.1], 1, "c"), (0, [1.0, 0.0], 1, "c")], SCHEMA)
     assert [(y.query_id, y.rank, y.vec_id) for y in ann.search(df).collect()] == [(0, 1, 1)]
