@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 _local = threading.local()
 _lock = threading.Lock()
 _own_folder: list[str] = []
-#: Bounds of an Arrow batch while a table is written: whole texts and sets of hashes are large rows.
-_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+#: What holds while a table is written: small Arrow batches, for whole texts and sets of hashes are large rows; and shuffle files go when the write ends.
+#: The latter must not hold for other actions: iterators that fetch partitions one by one still need theirs.
+_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 _writing: dict[int, list] = {}
 
 
@@ -33,13 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Small Arrow batches while any thread of the session writes; the last one out restores the settings."""
+def _while_writing(spark: SparkSession) -> Iterator[None]:
+    """The settings above while any thread of the session writes; the last one out restores what was there."""
     with _lock:
         held = _writing.setdefault(id(spark), [0, {}])
         if held[0] == 0:
-            held[1] = {key: spark.conf.get(key, None) for key in _ARROW}
-            for key, value in _ARROW.items():
+            held[1] = {key: spark.conf.get(key, None) for key in _SETTINGS}
+            for key, value in _SETTINGS.items():
                 spark.conf.set(key, value)
         held[0] += 1
     try:
@@ -64,8 +67,7 @@ def materialised(df: DataFrame, name: str, compression: str = "snappy") -> DataF
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     if getattr(_local, "scopes", None):
         _local.scopes[-1][path] = spark
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    with _small_batches(spark):
+    with _while_writing(spark):
         df.write.option("compression", compression).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_path = path

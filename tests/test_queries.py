@@ -53,6 +53,17 @@ def test_tables_go_with_their_scope(spark):
     assert not os.path.exists(lost._written_path.removeprefix("file://"))
 
 
+def test_settings_hold_only_while_a_table_is_written(spark):
+    keys = list(materialise._SETTINGS)
+    before = [spark.conf.get(k, None) for k in keys]
+    materialise.materialised(spark.range(3).groupBy("id").count(), "probe")
+    assert [spark.conf.get(k, None) for k in keys] == before
+    rows = spark.range(1000).repartition(20, "id").groupBy("id").count().toLocalIterator()
+    first = next(rows)
+    materialise.forget(materialise.materialised(spark.range(3).groupBy("id").count(), "probe"))
+    assert len({first.id, *(r.id for r in rows)}) == 1000
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, key, default=None):
