@@ -102,7 +102,7 @@ def test_rare_sources_are_not_cut_to_crumbs(spark):
 def test_windows_meet_given_targets(spark):
     rows = [(i, "word " * 250, "big" if i % 10 else "small", "x", 1) for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = packing.pack(df, group_tokens=16_384, targets={"small": 0.4}, quantum=1024).toPandas()
+    got = packing.pack(df, group_tokens=16_384, targets={"small": 0.4}, quantum=128).toPandas()
     ordered = got.sort_values(["sequence_id", "offset"])
     assert (ordered.sequence_id * 1024 + ordered.offset == ordered.length.cumsum() - ordered.length).all()
     total = {s: int(x) for s, x in got.groupby("source").length.sum().items()}
