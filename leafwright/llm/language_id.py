@@ -22,6 +22,8 @@ TRAIN_DOCS = 600
 UNDETERMINED = "und"
 #: Letter classes of the trigram table: 0 bounds words, the last one stands for all rare letters.
 CLASSES = 64
+#: Words whose likelihoods a task keeps.
+KNOWN = 300_000
 
 
 @dataclass
@@ -137,15 +139,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 class Predictor:
-    """Predicts texts of one task; words are weighed once while among the last million."""
+    """Predicts texts of one task; words are weighed once while among the last ``KNOWN``."""
 
-    def __init__(self, model: Model, words_a_time: int = 400_000) -> None:
+    def __init__(self, model: Model, words_a_time: int = 200_000) -> None:
         self.model, self.words_a_time = model, words_a_time
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.langs)), np.float32)
 
     def _settle(self, pending: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
             self.rows = self.rows[:0]
         new = list(set().union(*pending).difference(self.known))
@@ -187,6 +189,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             langs, scores, sizes = predictor.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(sizes)], names=["id", "lang_pred", "score", "n_langs"])
+        del predictor
         release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -204,6 +207,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float
         for batch in batches:
             langs, scores, _ = predictor.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores)], pa.bool_()))
+        del predictor
         release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -80,7 +80,7 @@ def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff([*at, len(x)]).astype(np.uint32)
 
 
-def _chunks(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def _chunks(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about ``size`` characters, with the number of the first."""
     at = n = 0
     for i, t in enumerate(texts):
@@ -154,8 +154,12 @@ def common_shingles(table: DataFrame, least: float, documents: int) -> DataFrame
         held, size, docs = [], 0, 0
 
         def passing() -> pa.RecordBatch:
-            x, n = _counted(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(x[n > share * docs].view(np.int64))], names=["hash"])
+            x = np.concatenate(held)
+            held.clear()
+            x.sort()
+            more = int(share * docs)  # what stands again so many places on occurs more often than that
+            first = x[: max(0, len(x) - more)]
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(first[first == x[more:]]).view(np.int64))], names=["hash"])
 
         for batch in batches:
             for x, _ in _blob_rows(batch, "shingles", "times"):
@@ -163,7 +167,7 @@ def common_shingles(table: DataFrame, least: float, documents: int) -> DataFrame
                 size, docs = size + len(x), docs + 1
                 if size >= SEGMENT:
                     yield passing()
-                    held, size, docs = [], 0, 0
+                    size = docs = 0
         if held:
             yield passing()
         release()

@@ -35,6 +35,8 @@ SAMPLE_TEXTS, PLANTED = 300, 2000
 #: Tokens on each side of a planted or found secret that are learned from.
 CONTEXT = 10
 OUT, BEGIN, INSIDE = 0, 1, 2
+#: Tokens whose shapes a task keeps.
+KNOWN = 300_000
 #: Characters of the shortest span that the field may add.
 LEAST_CHARS = 12
 
@@ -269,8 +271,9 @@ def scan_texts(texts: list[str], field: Field, known: dict[str, int], kinds: dic
     """(start, kind, end) of all spans in each text: base ones, and the field's where they reach beyond these."""
     found = [base_spans(t) for t in texts]
     step = field.step
-    # The most that a tag other than outside can gain through its two steps; where the scores differ by more, Viterbi says outside.
-    slack = max(step[a, y] + step[y, b] - step[a, OUT] - step[OUT, b] for a in range(3) for b in range(3) for y in (BEGIN, INSIDE))
+    # What a run of tags other than outside can gain at most through its steps: at both ends together, and from each token to the next.
+    ends = max(step[OUT, y] + step[z, OUT] for y in (BEGIN, INSIDE) for z in (BEGIN, INSIDE)) - step[OUT, OUT]
+    inner = max(0.0, step[1:, 1:].max() - step[OUT, OUT])
     for i, text in enumerate(texts):
         tokens = TOKEN.findall(text)
         if not tokens:
@@ -288,7 +291,10 @@ def scan_texts(texts: list[str], field: Field, known: dict[str, int], kinds: dic
         scores[1:] += table[codes[:-1], 1]
         scores[2:] += table[codes[:-2], 2]
         scores[:-1] += table[codes[1:], 3]
-        doubt = np.flatnonzero(scores[:, 1:].max(axis=1) - scores[:, OUT] > -slack)
+        # Where no run that holds a token can gain anything, by the best sums of gains up to it and from it on, Viterbi says outside.
+        sums = np.cumsum(scores[:, 1:].max(axis=1) - scores[:, OUT] + inner)
+        before = np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]]))
+        doubt = np.flatnonzero(np.maximum.accumulate(sums[::-1])[::-1] - before + ends - inner > -1e-6)
         if not len(doubt):
             continue
         cut = np.flatnonzero(np.diff(doubt) > 1)
@@ -337,7 +343,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     Returns ``(id, n_assign, n_access, n_hex, spans)``; spans are by start, then kind in the order of ``KINDS``, in code points
     with the end exclusive. Null and empty texts have none. One row out for each row in; ids may repeat or be null, other columns aren't read. No
-    shuffle; a task keeps the shapes of at most a million tokens.
+    shuffle; a task keeps the shapes of about KNOWN tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +352,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         roles: list[np.ndarray] = []
         kind_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
         for batch in batches:
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
             spans = scan_texts(batch.column(1).to_pylist(), field, known, kinds, roles)
             counts = [pa.array([sum(k == kind for _, k, _ in s) for s in spans], pa.int64()) for kind in range(3)]
@@ -385,7 +391,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
         kinds: dict[tuple, int] = {}
         roles: list[np.ndarray] = []
         for batch in batches:
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
             k = batch.schema.get_field_index(text_col)
             texts = batch.column(k).to_pylist()

@@ -360,7 +360,8 @@ def test_verdicts_agree_with_numpy(spark):
     got = quality.judge(df)
     assert got.count() == len(rows)
     rows = {x.doc_id: x for x in got.where("doc_id < 900").collect()}
-    vectors = quality.statistics(df.where("doc_id < 900 or doc_id = 901")).where(~quality.base_failed()).select("doc_id", *quality.vector()).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    stats = quality._fitted(df, "doc_id", "text", "lang", "source", quality.LEAST_CELL)[0]
+    vectors = stats.where("not base_failed and (doc_id < 900 or doc_id = 901)").select("doc_id", *quality.DIMS).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     want, kept = _numpy_mcd(np.array([tuple(v)[1:] for v in vectors]))
     far = 0
     for v, d, k in zip(vectors, want, kept):
