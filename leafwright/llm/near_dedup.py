@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, BROADCAST_ROWS, forget, release, scope, small, text_of, written
-from .graph import SKETCH, Detail, linked
+from .graph import SKETCH, Detail, differing, linked
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -21,7 +21,10 @@ COMMON = 4 * BROADCAST_ROWS
 #: A pair whose sketches differ in more of ``SKETCH`` samples isn't verified; at the limit of similarity 4.8 differ, give or take 2.
 MOST_DIFFERING = 13
 #: Shingles that a task holds at a time while it names common ones, and documents that such a task should see at least.
-SEGMENT, LEAST_DOCS = 1 << 21, 8192
+SEGMENT, LEAST_DOCS = 1 << 22, 8192
+#: Candidates get longer sketches, of 64-bit words of 32 samples; at the limit of similarity 38 of 256 samples differ, give or take 6, and a pair in which
+#: more than FARTHEST do isn't verified.
+WORDS, FARTHEST = 8, 62
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
@@ -98,9 +101,10 @@ _RATE = _DRAW.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
 _LOGC = np.log(_DRAW.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
 _SHIFT = _DRAW.random(1 << 16).astype(np.float32)
 _KEYS = _DRAW.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MORE = _DRAW.integers(1, 2**63, WORDS * SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def samples(found: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+def samples(found: list[np.ndarray], weights: list[np.ndarray], keys: np.ndarray = _KEYS) -> np.ndarray:
     """(text, sample) of texts with at least one shingle; two texts agree on a sample with the probability of their weighted Jaccard similarity.
 
     Improved consistent weighted sampling: for each shingle of weight w a rate r, an offset c and a shift b
@@ -110,9 +114,9 @@ def samples(found: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
     hashes, logs = np.concatenate(found), np.log(np.concatenate(weights)).astype(np.float32)
     sizes = np.array([len(f) for f in found])
     starts = np.cumsum(sizes) - sizes
-    out = np.empty((len(found), len(_KEYS)), np.float32)
+    out = np.empty((len(found), len(keys)), np.float32)
     low = np.uint64(0xFFFF)
-    for k, key in enumerate(_KEYS):
+    for k, key in enumerate(keys):
         m = (hashes * key) ^ (hashes >> np.uint64(29))
         m = m * _M2
         rate = _RATE[((m >> np.uint64(16)) & low).view(np.int64)]
@@ -122,6 +126,12 @@ def samples(found: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sketches(drawn: np.ndarray) -> np.ndarray:
+    """(text, word): two bits of each sample, ``SKETCH`` samples a word."""
+    bits = (_mix(drawn.view(np.uint32).astype(np.uint64) * _M2) & np.uint64(3)).reshape(len(drawn), -1, SKETCH) << (2 * np.arange(SKETCH)).astype(np.uint64)
+    return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+
+
 def _weights(hashes: np.ndarray, times: np.ndarray, common: np.ndarray, idf: np.ndarray, usual: float) -> np.ndarray:
     """TF-IDF weights: ``idf`` for the shingles in ``common`` (ascending), ``usual`` for all others."""
     w = np.full(len(hashes), usual)
@@ -258,15 +268,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, siz
                 while b < len(found) and n < 120_000:
                     n += len(found[b])
                     b += 1
-                s = samples(found[a:b], weights[a:b]).view(np.uint32).astype(np.uint64)
+                drawn = samples(found[a:b], weights[a:b])
+                s = drawn.view(np.uint32).astype(np.uint64)
                 keys = np.zeros((b - a, BANDS), np.uint64)
                 for band in range(BANDS):
                     key = np.full(b - a, band + 1, np.uint64)
                     for r in range(ROWS):
                         key = _mix(key * _M1 + s[:, band * ROWS + r])
                     keys[:, band] = key
-                bits = (_mix(s[:, :SKETCH] * _M2) & np.uint64(3)) << (2 * np.arange(SKETCH)).astype(np.uint64)
-                sketch = np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+                sketch = _sketches(np.ascontiguousarray(drawn[:, :SKETCH]))[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b], pa.int64()), pa.array(sketch), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["node", "sketch", "keys"])
                 a = b
         release()
@@ -292,7 +302,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, siz
             compared = some.join(sets.toDF("a", "xa", "ta"), "a").join(sets.toDF("b", "xb", "tb"), "b")
             return written(compared.mapInArrow(similar, "a long, b long"), "edges")
 
-        return Detail(None, None, verify)
+        def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = np.array([_sketches(samples([x], [_weights(x, n, *weigh.value)], _MORE))[0] for x, n in _blob_rows(batch, "shingles", "times")]).reshape(-1, WORDS)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(words[:, i], pa.int64()) for i in range(WORDS))], names=["id", *(f"w{i}" for i in range(WORDS))])
+            release()
+
+        def judge(x: Callable[[str], Column], y: Callable[[str], Column]) -> tuple[Column, Column]:
+            far = sum((differing(x(f"w{i}").bitwiseXOR(y(f"w{i}"))) for i in range(WORDS)), F.lit(0))
+            return far <= FARTHEST, far
+
+        return Detail(written(sets.mapInArrow(longer, "id long, " + ", ".join(f"w{i} long" for i in range(WORDS))), "longer"), judge, verify)
 
     united = linked(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "sketch"), MOST_DIFFERING, prepare, "buckets")
     members = table.select("doc_id", "node").join(small(united).withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
