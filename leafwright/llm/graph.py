@@ -104,10 +104,10 @@ def linked(rows: DataFrame, most: int, prepare: Callable[[DataFrame], Detail], n
     with scope() as keep:
         pairs, many = _pairs(rows, most, all_pairs, name)
         detail = prepare(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        pairs = _judged(pairs, detail, name)
         nearest = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far")).groupBy("b").agg(F.min_by("a", "far").alias("a"))
-        united = components(detail.verify(written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name + "-first")))
-        rest = _still_apart(pairs, united, name)
+        first = written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("far")).distinct(), name + "-first")
+        united = components(detail.verify(_judged(first, detail, name).select("a", "b")))
+        rest = _still_apart(_judged(_still_apart(pairs, united, name).select("a", "b", "far"), detail, name), united, name)
         # Of each two groups the nearest pair; it may fail where others don't, so these follow.
         one = rest.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(F.min(F.struct("far", "a", "b")).alias("n")).select("n.a", "n.b")
         united = _joined(united, detail.verify(written(one, name + "-second")))
