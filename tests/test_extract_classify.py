@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from leafwright.operators import classify, extract
 from leafwright.plans.rulepack import check_strong_signals, compile_rules, load_rules, read_rules
@@ -16,7 +15,7 @@ MINI = {
 
 def _markers(spark, texts, **kw):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
-    return [tuple(r.m) for r in df.select("i", extract.marker(F.col("x"), RULES, **kw).alias("m")).orderBy("i").collect()]
+    return [tuple(r.marker) for r in extract.with_markers(df, "x", RULES, **kw).orderBy("i").collect()]
 
 
 def test_markers(spark):
@@ -35,7 +34,7 @@ def test_page_zero_fails_when_strict(spark):
 
 def test_identifiers_keep_case_and_first_hits(spark):
     df = spark.createDataFrame([("Loan Number: 123456 Loan Number: 999999 PRELIM NO. 12-3456",), ("loan number 123456",), ("Freddie  Mac Form 65",)], "x string")
-    got = [r[0] for r in df.select(extract.identifiers(F.col("x"), RULES)).collect()]
+    got = [r.raw_identifiers for r in extract.with_markers(df, "x", RULES).collect()]
     assert got == [{"loan_number": "123456", "prelim_number": "12-3456"}, {}, {"form_family": "Freddie  Mac Form 65"}]
 
 
