@@ -68,7 +68,8 @@ def materialised(df: DataFrame, name: str, compression: str = "snappy") -> DataF
     if getattr(_local, "scopes", None):
         _local.scopes[-1][path] = spark
     with _while_writing(spark):
-        df.write.option("compression", compression).parquet(path)
+        # No marker file: it would be one more file operation of the driver for each table, and nobody looks for it.
+        df.write.option("compression", compression).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_path = path
     return table
