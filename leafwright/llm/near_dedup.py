@@ -150,6 +150,12 @@ def _blob_rows(batch: pa.RecordBatch, name: str, times: str) -> Iterator[tuple[n
         yield x, np.ones(len(x), np.uint32) if raw is None else np.frombuffer(raw, "<u4")
 
 
+def _collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of ``df``, which are of type long, as arrays: Arrow buffers all the way to the driver, 8 bytes a value, never a row object."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in df.columns}
+
+
 def common_shingles(table: DataFrame, least: float, documents: int) -> DataFrame:
     """``(hash, n)``: exact counts of the shingles that more than ``least`` of ``documents`` documents hold, however rows are dealt to tasks.
 
@@ -188,7 +194,7 @@ def common_shingles(table: DataFrame, least: float, documents: int) -> DataFrame
         exploded = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["hash"]) for b in batches for x, _ in _blob_rows(b, "shingles", "times")), "hash long")
         counts = exploded.join(names, "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("n"))
     else:
-        listed = table.sparkSession.sparkContext.broadcast(np.sort(names.toPandas()["hash"].to_numpy(np.int64).view(np.uint64)))
+        listed = table.sparkSession.sparkContext.broadcast(np.sort(_collected(names)["hash"].view(np.uint64)))
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = listed.value
@@ -250,9 +256,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, siz
     documents = max(1, documents)
     least = max(documents / RARE, total / COMMON)
     common = common_shingles(table, least, documents)
-    known = common.toPandas().sort_values("hash", key=lambda h: h.to_numpy(np.int64).view(np.uint64))  # COMMON rows at most
+    known = _collected(common)  # COMMON rows at most
+    order = np.argsort(known["hash"].view(np.uint64))
     usual = 1.0 + float(np.log(documents / max(1.0, least)))
-    weigh = table.sparkSession.sparkContext.broadcast((known["hash"].to_numpy(np.int64).view(np.uint64), 1.0 + np.log(documents / np.maximum(known["n"].to_numpy(float), 1.0)), usual))
+    weigh = table.sparkSession.sparkContext.broadcast((known["hash"][order].view(np.uint64), 1.0 + np.log(documents / np.maximum(known["n"][order].astype(float), 1.0)), usual))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -607,3 +608,15 @@ def test_stages_keep_clean_documents_and_columns(spark):
     pieces = p.packed(spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == docs.count()
     assert docs.where(F.char_length("text") != F.col("n_chars")).count() == 0
+
+
+def test_hashes_reach_the_driver_as_arrays(spark):
+    x = np.unique(np.random.default_rng(5).integers(1, 2**63, 200_000, np.uint64))
+    table = spark.createDataFrame([(bytearray(x.tobytes()), None)], "shingles binary, times binary")
+    tracemalloc.start()
+    try:
+        counts = near_dedup.common_shingles(table, 0.5, 1)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20  # 8 bytes each, a few times; a row object takes hundreds
+    finally:
+        tracemalloc.stop()
+    assert counts.count() == len(x) and counts.agg(F.sum("n")).first()[0] == len(x)
