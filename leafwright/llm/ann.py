@@ -69,6 +69,23 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, turns: int = 12,
     return Codebooks(np.stack(out).astype(np.float32))
 
 
+def rounds(blocks: int) -> list[range]:
+    """Numbers of blocks, each in one round: 1, 1, 2, 4, 8, ... blocks, so each round doubles what was searched before."""
+    out, at = [range(min(1, blocks))], 1
+    while at < blocks:
+        out.append(range(at, min(2 * at, blocks)))
+        at *= 2
+    return out
+
+
+def leading(scores: np.ndarray, floors: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``rerank`` best scores of each row, without those below its floor: others have ``rerank`` better ones already (NaN: no floor)."""
+    keep = min(rerank, scores.shape[1])
+    top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+    at, place = np.nonzero(~(np.take_along_axis(scores, top, 1) < floors[:, None]))
+    return at, top[at, place]
+
+
 def _unit(rows: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in rows])
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -82,7 +99,9 @@ def search(
 
     Equal vectors form a class that is coded once and answers with its ``k + 1`` smallest ids, which is all
     that ``k`` neighbours other than the query itself can need, so that a vector that a third of the rows share costs no more than
-    another one. Codes travel in blocks against blocks of queries; every code is scored for every query.
+    another one. Codes travel in blocks against blocks of queries; every code is scored for every query. Blocks are searched in
+    rounds that double, and a round gives out only what reaches the worst of a query's ``rerank`` best so far: some ``rerank`` rows a query and round,
+    with the same classes at the end as if each block gave out its ``rerank`` best.
     Candidates (``rerank`` classes a query) are scored again from the original vectors in double precision.
 
     Returns ``(query_id, rank, vec_id, score)``, nearest first, ties to the smaller id; a query with fewer candidates returns
@@ -122,10 +141,8 @@ def search(
         n_codes, n_asked = codes.count(), asked.count()
         code_blocks, query_blocks = -(-n_codes // BLOCK), max(1, -(-n_asked // QUERIES))
         block = lambda n: F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
-        left = asked.select(block(query_blocks).alias("q"), F.col("class").alias("class"), "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("norm"))
-        left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(0, code_blocks - 1)))))
-        right = codes.select(block(max(1, code_blocks)).alias("c"), "class", F.lit(None).cast("array<double>").alias("v"), "code", "norm")
-        right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        left = asked.select(block(query_blocks).alias("q"), "class", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("norm"))
+        right = codes.select(block(max(1, code_blocks)).alias("c"), "class", F.lit(None).cast("array<double>").alias("v"), "code", "norm", F.lit(None).cast("double").alias("floor"))
 
         def score(pdf: pd.DataFrame) -> pd.DataFrame:
             ask, own = pdf[pdf["code"].isna()], pdf[pdf["code"].notna()].sort_values("class")
@@ -136,14 +153,24 @@ def search(
             for a in range(0, len(ask), 256):
                 part = ask.iloc[a : a + 256]
                 s = model.scores(_unit(part["v"]), book, norms)
-                keep = min(rerank, s.shape[1])
-                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                out.append(pd.DataFrame({"query": np.repeat(part["class"].to_numpy(), keep), "class": names[top.ravel()], "near": np.take_along_axis(s, top, 1).ravel().astype(float)}))
+                at, to = leading(s, part["floor"].to_numpy(np.float64), rerank)
+                out.append(pd.DataFrame({"query": part["class"].to_numpy()[at], "class": names[to], "near": s[at, to].astype(float)}))
             return pd.concat(out)
 
-        scored = left.select("q", "c", "class", "v", "code", "norm").unionByName(right).groupBy("q", "c").applyInPandas(score, "query string, class string, near double")
         best = Window.partitionBy("query").orderBy(F.desc("near"), "class")
-        near = keep(written(scored.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= rerank).select("query", "class"), "near"))
+        near = None
+        for some in rounds(code_blocks):
+            wanted = left.withColumn("floor", F.lit(None).cast("double"))
+            if near is not None:
+                floors = near.groupBy("query").agg(F.count("*").alias("n"), F.min("near").alias("floor")).where(F.col("n") >= rerank).select(F.col("query").alias("class"), "floor")
+                wanted = left.join(small(written(floors, "floors")), "class", "left").select(*left.columns, "floor")
+            wanted = wanted.withColumn("c", F.explode(F.array(*map(F.lit, some)).cast("array<int>")))
+            held = right.where(F.col("c").isin(*some)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+            columns = ("q", "c", "class", "v", "code", "norm", "floor")
+            scored = wanted.select(*columns).unionByName(held.select(*columns)).groupBy("q", "c").applyInPandas(score, "query string, class string, near double")
+            found = scored if near is None else near.unionByName(scored)
+            near = written(found.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= rerank).select("query", "class", "near"), "near")
+        near = keep(near).select("query", "class")
 
     one = asked.select(F.col("class").alias("query"), F.col("v").alias("a"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

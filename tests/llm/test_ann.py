@@ -58,3 +58,21 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, "c"), (1, [1.0, 0.1], 1, "c"), (0, [1.0, 0.0], 1, "c")], SCHEMA)
     assert [(y.query_id, y.rank, y.vec_id) for y in ann.search(df).collect()] == [(0, 1, 1)]
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_rounds_give_out_what_may_be_among_the_best(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    s, given, best = r.normal(size=(20, 64 * 500)).astype(np.float32), 0, [np.empty(0, np.float32)] * 20
+    for some in ann.rounds(64):
+        floors = np.array([x.min() if len(x) == 50 else np.nan for x in best])
+        found = [x for b in some for at, to in [ann.leading(s[:, 500 * b : 500 * b + 500], floors, 50)] for x in zip(at, s[at, 500 * b + to])]
+        given += len(found)
+        best = [np.sort(np.concatenate([x, [v for at, v in found if at == q]]).astype(np.float32))[-50:] for q, x in enumerate(best)]
+    assert np.array_equal(best, np.sort(s, 1)[:, -50:])
+    assert given <= 20 * 50 * 8 * 1.2  # one share for each of seven rounds, not of 64 blocks
+    assert [list(x) for x in ann.rounds(6)] == [[0], [1], [2, 3], [4, 5]]
+    x = r.normal(size=(1000, 16))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    whole = sorted(map(tuple, ann.search(df, rerank=40, books=4).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 150)
+    assert sorted(map(tuple, ann.search(df, rerank=40, books=4).collect())) == whole
