@@ -72,23 +72,23 @@ def _judged(pairs: DataFrame, detail: Detail, name: str) -> DataFrame:
 def _apart(many: DataFrame, united: DataFrame, most: int, prepare: Callable[[DataFrame], Detail], name: str, block: int) -> tuple[DataFrame, Detail]:
     """Pairs ``(a, b)`` in large buckets whose ends aren't connected in ``united`` yet and that may be similar, and what they are judged by.
 
-    Of each bucket, the members outside its largest group meet all its members, block by block.
+    Of each bucket, the members outside its largest group meet all its members, block by block. Members that meet in several buckets are compared in
+    the first of them: by ids and sketches, for a second kind of sketch may tell otherwise.
     """
     held = written(many.join(small(united), "id", "left").select("key", "id", "sketch", "m", F.coalesce("root", "id").alias("root")), name + "-held")
     groups = held.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
     apart = held.join(small(written(groups, name + "-groups"), BROADCAST_IDS), "key")
     apart = written(apart.select("key", "id", "sketch", "root", (F.col("root") != F.col("main")).alias("minor"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), name + "-parts")
     detail = prepare(apart.select("id").distinct())
-    more = []
-    if detail.table is not None:
-        more = [c for c in detail.table.columns if c != "id"]
-        apart = written(apart.join(detail.table, "id"), name + "-dealt")
+    dealt = apart.join(apart.groupBy("id", "sketch").agg(F.collect_set("key").alias("keys")), ["id", "sketch"])
+    apart = written(dealt if detail.table is None else dealt.join(detail.table, "id"), name + "-dealt")
     x = apart.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
     y = apart.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("y")
     # All conditions belong to the join, so no row is made of a pair that doesn't meet them.
     meet = F.expr("x.key = y.key and x.block = y.block and x.root != y.root and (not y.minor or x.id < y.id)") & (differing(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= most)
-    if more:
+    if detail.table is not None:
         meet = meet & detail.judge(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))[0]
+    meet = meet & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     pairs = x.join(y, meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     return written(pairs, name + "-apart"), detail
 

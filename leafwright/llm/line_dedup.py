@@ -49,9 +49,17 @@ def _places(wide: str | Column, size: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length(wide) / 4).cast("int") - (size - 1)))
 
 
-def shingles(line: str) -> Column:
-    """All runs of ``SHINGLE`` characters of a line; the whole line if it is shorter."""
-    return F.when(F.char_length(line) >= SHINGLE, F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)).otherwise(F.array(line))
+def shingles(line: str | Column) -> Column:
+    """The distinct 64-bit hashes of all runs of ``SHINGLE`` characters of a line; that of the whole line if it is shorter."""
+    runs = lambda wide: F.transform(_places(wide, SHINGLE), lambda at: F.xxhash64(F.substring(wide, 4 * at - 3, F.lit(4 * SHINGLE))))
+    return F.get(F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(runs(wide))), 0)  # the lambda's name stands for the bytes, made once
+
+
+def alike(x: str | Column, y: str | Column, similarity: float) -> Column:
+    """Whether the Jaccard similarity of two lines' shingles reaches ``similarity``."""
+    sets = F.array(F.struct(shingles(x).alias("x"), shingles(y).alias("y")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("sum")))
+    return F.exists(sizes, lambda n: n["both"] >= similarity * (n["sum"] - n["both"]))
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
@@ -131,9 +139,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def verify(some: DataFrame) -> DataFrame:
             compared = some.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-            # Exploded as one row, so that the condition can't be moved below and cut the shingles several times.
-            sets = compared.select("a", "b", F.explode(F.array(F.struct(shingles("x").alias("x"), shingles("y").alias("y")))).alias("s"))
-            return written(sets.where(F.size(F.array_intersect("s.x", "s.y")) >= similarity * F.size(F.array_union("s.x", "s.y"))).select("a", "b"), "line-edges")
+            return written(compared.where(alike("x", "y", similarity)).select("a", "b"), "line-edges")
 
         return Detail(written(bitmaps(texts), "line-bits"), lambda x, y: _estimate(x, y, similarity), verify)
 

@@ -620,3 +620,25 @@ def test_hashes_reach_the_driver_as_arrays(spark):
     finally:
         tracemalloc.stop()
     assert counts.count() == len(x) and counts.agg(F.sum("n")).first()[0] == len(x)
+
+
+def test_apart_members_of_several_buckets_meet_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, i, 0) for k in range(5) for i in range(40)], "key long, id long, sketch long")
+    made = []
+    monkeypatch.setattr(type(rows), "distinct", lambda df: (made.append(df.count()) if set(df.columns) == {"a", "b"} else None) or df.dropDuplicates())
+    with graph.scope():
+        united = graph.components(spark.createDataFrame([(0, 1)], "a long, b long"))
+        made.clear()
+        pairs, _ = graph._apart(rows.withColumn("m", F.lit(40).cast("long")), united, 13, lambda ids: graph.Detail(None, None, None), "tens", 16)
+        got = sorted(map(tuple, pairs.collect()))
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if (a, b) != (0, 1)]
+    assert made == [len(got)]  # the join itself makes no pair twice
+
+
+def test_hashed_shingles_tell_what_runs_tell(spark):
+    r = random.Random(4)
+    lines = ["", "a", "ab\u00e9", "abcd", "abcde", "aaaaaaaaaa", "\U0001f600bcdefg\u00e9", *("".join(r.choice("ab\u00e9 \U0001f600") for _ in range(r.randrange(60))) for _ in range(30))]
+    cut = lambda x: {x[i : i + 5] for i in range(len(x) - 4)} if len(x) >= 5 else {x}
+    df = spark.createDataFrame([(x, y) for x in lines for y in lines], "x string, y string")
+    got = df.select("x", "y", F.size(line_dedup.shingles("x")).alias("n"), line_dedup.alike("x", "y", 0.3).alias("alike")).collect()
+    assert all(g.n == len(cut(g.x)) and g.alike == (len(cut(g.x) & cut(g.y)) >= 0.3 * len(cut(g.x) | cut(g.y))) for g in got)
