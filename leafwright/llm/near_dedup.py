@@ -22,6 +22,8 @@ COMMON = 4 * BROADCAST_ROWS
 MOST_DIFFERING = 13
 #: Shingles that a task holds at a time while it names common ones, and documents that such a task should see at least.
 SEGMENT, LEAST_DOCS = 1 << 22, 8192
+#: Part of a common shingle's share of documents that names it in a segment.
+NAMED = 0.75
 #: Candidates get longer sketches, of 64-bit words of 32 samples; at the limit of similarity 38 of 256 samples differ, give or take 6, and a pair in which
 #: more than FARTHEST do isn't verified.
 WORDS, FARTHEST = 8, 62
@@ -159,12 +161,13 @@ def _collected(df: DataFrame) -> dict[str, np.ndarray]:
 def common_shingles(table: DataFrame, least: float, documents: int) -> DataFrame:
     """``(hash, n)``: exact counts of the shingles that more than ``least`` of ``documents`` documents hold, however rows are dealt to tasks.
 
-    Such a shingle must pass its share, ``least / documents`` of the documents, in at least one part of any division of the
-    rows, so tasks name what passes in their segments, and a second pass counts the named ones everywhere. Tasks are merged
-    until they see ``LEAST_DOCS`` documents on average, for in a part of few documents everything passes.
+    Tasks name, with its count there, what passes ``NAMED`` of its share, ``least / documents`` of the documents, in a segment. What a segment doesn't
+    name has no more than that there, so its counts elsewhere and as much for each other segment bound a shingle; those whose bound passes ``least`` are
+    counted everywhere in a second pass. Each of them stands in more than ``least * (1 - NAMED)`` documents, so more tasks don't make more of them.
+    Tasks are merged until they see ``LEAST_DOCS`` documents on average, for in a part of few documents everything passes.
     """
     rows = table.select("shingles", "times")
-    share = least / documents
+    passed = NAMED * least / documents
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, docs = [], 0, 0
@@ -173,9 +176,11 @@ def common_shingles(table: DataFrame, least: float, documents: int) -> DataFrame
             x = np.concatenate(held)
             held.clear()
             x.sort()
-            more = int(share * docs)  # what stands again so many places on occurs more often than that
+            more = int(passed * docs)  # what stands again so many places on occurs more often than that
             first = x[: max(0, len(x) - more)]
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(first[first == x[more:]]).view(np.int64))], names=["hash"])
+            names = np.unique(first[first == x[more:]])
+            times = np.searchsorted(x, names, "right") - np.searchsorted(x, names)
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times, pa.int64()), pa.array(np.full(len(names), docs, np.int64))], names=["hash", "n", "docs"])
 
         for batch in batches:
             for x, _ in _blob_rows(batch, "shingles", "times"):
@@ -189,7 +194,9 @@ def common_shingles(table: DataFrame, least: float, documents: int) -> DataFrame
         release()
 
     merged = rows.coalesce(max(1, documents // LEAST_DOCS))
-    names = written(merged.mapInArrow(named, "hash long").distinct(), "named")
+    parts = merged.mapInArrow(named, "hash long, n long, docs long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Rounded in favour of a name; the second pass decides.
+    names = written(parts.where(F.col("n") + passed * (documents - F.col("docs")) > least * (1 - 1e-9)).select("hash"), "named")
     if names.count() > COMMON:  # documents of very many words
         exploded = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["hash"]) for b in batches for x, _ in _blob_rows(b, "shingles", "times")), "hash long")
         counts = exploded.join(names, "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("n"))

@@ -622,6 +622,19 @@ def test_hashes_reach_the_driver_as_arrays(spark):
     assert counts.count() == len(x) and counts.agg(F.sum("n")).first()[0] == len(x)
 
 
+def test_more_segments_do_not_name_more_shingles(spark, monkeypatch):
+    # Each part of 100 documents holds a shingle of its own in eight of them; one shingle is in six of each part, another in three of each.
+    monkeypatch.setattr(near_dedup, "LEAST_DOCS", 100)
+    rows = [[7] * (i % 100 < 6) + [8] * (i % 100 < 3) + [100 + i // 100] * (i % 100 < 8) for i in range(2000)]
+    table = spark.createDataFrame([(bytearray(np.array(sorted(x), "<u8").tobytes()), None) for x in rows], "shingles binary, times binary").coalesce(1).repartitionByRange(20, F.monotonically_increasing_id())
+    names, written = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: names.append((name, out := written(df, name), out.count())) or out)
+    with graph.scope():
+        counts = {x["hash"]: x["n"] for x in near_dedup.common_shingles(table, 100, 2000).collect()}
+    assert counts == {7: 120}
+    assert names[0][0] == "named" and names[0][2] <= 2  # not one more for each part
+
+
 def test_apart_members_of_several_buckets_meet_once(spark, monkeypatch):
     rows = spark.createDataFrame([(k, i, 0) for k in range(5) for i in range(40)], "key long, id long, sketch long")
     made = []
