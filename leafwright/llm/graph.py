@@ -56,6 +56,10 @@ class Detail(NamedTuple):
     judge: Callable[[Callable[[str], Column], Callable[[str], Column]], tuple[Column, Column]] | None
     #: Those of some pairs ``(a, b)`` that are similar.
     verify: Callable[[DataFrame], DataFrame]
+    #: Gives ``(id, ...)``, by which ``reach`` bounds the likeness of two ids from above; None if there is no such bound.
+    whole: Callable[[], DataFrame] | None = None
+    #: Takes two functions as ``judge`` does, for columns of ``whole``, and gives whether the bound lets a pair be similar: never false for one that is.
+    reach: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None
 
 
 def _judged(pairs: DataFrame, detail: Detail, name: str) -> DataFrame:
@@ -72,7 +76,8 @@ def _judged(pairs: DataFrame, detail: Detail, name: str) -> DataFrame:
 def _apart(many: DataFrame, united: DataFrame, most: int, prepare: Callable[[DataFrame], Detail], name: str, block: int) -> tuple[DataFrame, Detail]:
     """Pairs ``(a, b)`` in large buckets whose ends aren't connected in ``united`` yet and that may be similar, and what they are judged by.
 
-    Of each bucket, the members outside its largest group meet all its members, block by block. Members that meet in several buckets are compared in
+    Of each bucket, the members outside its largest group meet all its members, block by block, and are judged to the end there: where hundreds of copies lie
+    just beyond the limit, nearly all of their pairs are near by sketches, and few are similar. Members that meet in several buckets are compared in
     the first of them: by ids and sketches, for a second kind of sketch may tell otherwise.
     """
     held = written(many.join(small(united), "id", "left").select("key", "id", "sketch", "m", F.coalesce("root", "id").alias("root")), name + "-held")
@@ -81,7 +86,8 @@ def _apart(many: DataFrame, united: DataFrame, most: int, prepare: Callable[[Dat
     apart = written(apart.select("key", "id", "sketch", "root", (F.col("root") != F.col("main")).alias("minor"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), name + "-parts")
     detail = prepare(apart.select("id").distinct())
     dealt = apart.join(apart.groupBy("id", "sketch").agg(F.collect_set("key").alias("keys")), ["id", "sketch"])
-    apart = written(dealt if detail.table is None else dealt.join(detail.table, "id"), name + "-dealt")
+    dealt = dealt if detail.table is None else dealt.join(detail.table, "id")
+    apart = written(dealt if detail.whole is None else dealt.join(detail.whole(), "id"), name + "-dealt")
     x = apart.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
     y = apart.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("y")
     # All conditions belong to the join, so no row is made of a pair that doesn't meet them.
@@ -89,6 +95,8 @@ def _apart(many: DataFrame, united: DataFrame, most: int, prepare: Callable[[Dat
     if detail.table is not None:
         meet = meet & detail.judge(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))[0]
     meet = meet & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+    if detail.whole is not None:  # last, for it costs most
+        meet = meet & detail.reach(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     pairs = x.join(y, meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     return written(pairs, name + "-apart"), detail
 
@@ -99,7 +107,7 @@ def linked(rows: DataFrame, most: int, prepare: Callable[[DataFrame], Detail], n
     ``prepare`` fetches what the ids of candidates are judged by. First each id meets its nearest partner alone, then of each two groups so far the
     nearest two members, then all pairs whose ends are still apart. In large buckets all that is apart then meets all others there, block
     by block, so no link in a bucket is lost. That is linear for copies, and grows with the square of a bucket
-    whose ids aren't alike, by some nanoseconds for each pair of sketches; only near ones leave it.
+    whose ids aren't alike, by some nanoseconds for each pair of sketches; what is near by them is bounded by whole sets, and only what that lets pass leaves it.
     """
     with scope() as keep:
         pairs, many = _pairs(rows, most, all_pairs, name)

@@ -62,6 +62,21 @@ def alike(x: str | Column, y: str | Column, similarity: float) -> Column:
     return F.exists(sizes, lambda n: n["both"] >= similarity * (n["sum"] - n["both"]))
 
 
+def codes(lines: DataFrame) -> DataFrame:
+    """``(id, codes, total, lost)``: 16 bits of the hash of each different run of ``SHINGLE`` characters, how many runs there are, and how many of them share their code with another."""
+    sets = lines.select(F.col("node").alias("id"), shingles("line").alias("all"))
+    short = F.array_distinct(F.transform("all", lambda h: (h.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")))
+    return sets.select("id", short.alias("codes"), F.size("all").alias("total")).withColumn("lost", F.col("total") - F.size("codes"))
+
+
+def _reach(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
+    """Whether lines can have ``similarity``: runs that both hold have a code that both hold, so these and the fewer of those lost are the most that they can share."""
+    both = F.size(x("codes")) + F.size(y("codes")) - F.size(F.array_union(x("codes"), y("codes")))  # in half the time of an intersection
+    most = both + F.least(x("lost"), y("lost"))
+    # A lambda keeps a join's condition out of the stage's one method, which would be too long to be compiled to machine code.
+    return F.exists(F.array(most), lambda n: n >= similarity / (1 + similarity) * (1 - 1e-9) * (x("total") + y("total")))
+
+
 def bitmaps(lines: DataFrame) -> DataFrame:
     """``(id, w0, w1, ...)``: the hashes of a line's runs of ``SHINGLE`` characters as a set of ``64 * WORDS`` bits; ``lines``: ``(node, line)``, no line twice."""
     wide = lines.select("node", _wide("line").alias("wide"))
@@ -141,7 +156,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             compared = some.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
             return written(compared.where(alike("x", "y", similarity)).select("a", "b"), "line-edges")
 
-        return Detail(written(bitmaps(texts), "line-bits"), lambda x, y: _estimate(x, y, similarity), verify)
+        return Detail(written(bitmaps(texts), "line-bits"), lambda x, y: _estimate(x, y, similarity), verify, lambda: codes(texts), lambda x, y: _reach(x, y, similarity))
 
     with scope() as keep:
         places = written(lines.select("id", "key", "nr", "node", _long().alias("long")), "line-places")

@@ -655,3 +655,22 @@ def test_hashed_shingles_tell_what_runs_tell(spark):
     df = spark.createDataFrame([(x, y) for x in lines for y in lines], "x string, y string")
     got = df.select("x", "y", F.size(line_dedup.shingles("x")).alias("n"), line_dedup.alike("x", "y", 0.3).alias("alike")).collect()
     assert all(g.n == len(cut(g.x)) and g.alike == (len(cut(g.x) & cut(g.y)) >= 0.3 * len(cut(g.x) | cut(g.y))) for g in got)
+
+
+def _sides(table):
+    """All pairs of the rows of ``table``, and what gives the columns of their ends."""
+    return table.alias("x").crossJoin(table.alias("y")), lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
+
+
+def test_codes_of_lines_bound_their_likeness(spark):
+    r, lines = random.Random(6), ["", "abcd", "aaaaaaaaaaaa"]
+    base = "".join(r.choice("abcdefghij ") for _ in range(500))
+    for k in range(60):
+        lines.append("".join(r.choice("xyz") if r.random() < k / 2000 else c for c in base)[: r.randrange(400, 500)])
+    lines.append("".join(chr(0x4E00 + r.randrange(20000)) for _ in range(60_000)))  # so many runs that codes collide
+    df = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    pairs, x, y = _sides(line_dedup.codes(df).join(df.withColumnRenamed("node", "id"), "id"))
+    pairs = pairs.where("x.id < y.id or x.id = y.id and x.id < 5").select(line_dedup.alike("x.line", "y.line", 0.8).alias("alike"), line_dedup._reach(x, y, 0.8).alias("may"))
+    got = Counter(map(tuple, pairs.collect()))
+    assert not got[True, False] and got[True, True] > 50 and got[False, False] > 50 and got[False, True] <= 5
+    assert line_dedup.codes(df).where("lost > 1000").count() == 1
