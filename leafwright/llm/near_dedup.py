@@ -144,6 +144,23 @@ def _weights(hashes: np.ndarray, times: np.ndarray, common: np.ndarray, idf: np.
     return w * times
 
 
+def _codes(x: np.ndarray, n: np.ndarray, weights: np.ndarray, usual: float) -> tuple[np.ndarray, int, float, float]:
+    """A code of each different place of each shingle, its ``weights`` (``usual`` at most) in the last 16 bits, rounded up; their sum; the exact sum of all weights in these units; and what is lost where codes agree."""
+    unit = 0xFFFF / usual
+    size = np.minimum(np.ceil(weights * unit), 0xFFFF).astype(np.uint64)
+    at = np.repeat(np.arange(len(x)), n)
+    place = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+    codes = np.unique((_mix(x[at] + place * _M1) & ~np.uint64(0xFFFF)) | size[at])
+    held = int((codes & np.uint64(0xFFFF)).sum())
+    return codes, held, float((weights * n).sum() * unit), float(int(size[at].sum()) - held)
+
+
+def _reach(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
+    """Whether texts can have ``similarity``: no more weight can be in both than that of the codes in both, and what the one with less has lost."""
+    both = F.aggregate(F.array_except(x("codes"), y("codes")), x("held"), lambda left, code: left - code.bitwiseAND(F.lit(0xFFFF)))
+    return both + F.least(x("lost"), y("lost")) >= similarity / (1 + similarity) * (1 - 1e-9) * (x("total") + y("total"))
+
+
 def _blob_rows(batch: pa.RecordBatch, name: str, times: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Shingles and counts; absent counts are ones."""
     for blob, t in zip(batch.column(name), batch.column(times)):
@@ -322,11 +339,22 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, siz
                 yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(words[:, i], pa.int64()) for i in range(WORDS))], names=["id", *(f"w{i}" for i in range(WORDS))])
             release()
 
+        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 64):
+                    some = batch.slice(at, 64)
+                    own = [_codes(x, n, _weights(x, np.ones(len(x)), *weigh.value), usual) for x, n in _blob_rows(some, "shingles", "times")]
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("node"), pa.array([o[0].view(np.int64) for o in own], pa.list_(pa.int64())), *(pa.array([o[i] for o in own]) for i in (1, 2, 3))],
+                        names=["id", "codes", "held", "total", "lost"],
+                    )
+            release()
+
         def judge(x: Callable[[str], Column], y: Callable[[str], Column]) -> tuple[Column, Column]:
             far = sum((differing(x(f"w{i}").bitwiseXOR(y(f"w{i}"))) for i in range(WORDS)), F.lit(0))
             return far <= FARTHEST, far
 
-        return Detail(written(sets.mapInArrow(longer, "id long, " + ", ".join(f"w{i} long" for i in range(WORDS))), "longer"), judge, verify)
+        return Detail(written(sets.mapInArrow(longer, "id long, " + ", ".join(f"w{i} long" for i in range(WORDS))), "longer"), judge, verify, lambda: sets.mapInArrow(coded, "id long, codes array<long>, held long, total double, lost double"), lambda x, y: _reach(x, y, similarity))
 
     united = linked(signed.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "sketch"), MOST_DIFFERING, prepare, "buckets")
     members = table.select("doc_id", "node").join(small(united).withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

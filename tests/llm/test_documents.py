@@ -674,3 +674,50 @@ def test_codes_of_lines_bound_their_likeness(spark):
     got = Counter(map(tuple, pairs.collect()))
     assert not got[True, False] and got[True, True] > 50 and got[False, False] > 50 and got[False, True] <= 5
     assert line_dedup.codes(df).where("lost > 1000").count() == 1
+
+
+def test_codes_of_documents_bound_their_likeness(spark):
+    r = np.random.default_rng(8)
+    rows, usual = [], 7.9
+    weight = np.where(r.random(5000) < 0.5, usual, r.uniform(1, usual, 5000))
+    for k in range(60):
+        x = np.unique(np.concatenate([np.arange(300)[r.random(300) > k / 400], r.integers(300, 5000, k // 3)])).astype(np.uint64)
+        rows.append((x, r.integers(1, 4, len(x)) if k % 3 == 0 else np.ones(len(x), int)))
+    got = [near_dedup._codes(x, n, weight[x], usual) for x, n in rows]
+    table = spark.createDataFrame([(i, c.view(np.int64).tolist(), h, t, lost) for i, (c, h, t, lost) in enumerate(got)], "id long, codes array<long>, held long, total double, lost double")
+    pairs, x, y = _sides(table)
+    may = {(a, b): m for a, b, m in pairs.select("x.id", "y.id", near_dedup._reach(x, y, 0.8)).collect()}
+    seen = Counter()
+    for (a, b), m in may.items():
+        (x, n), (y, k) = rows[a], rows[b]
+        _, i, j = np.intersect1d(x, y, return_indices=True)
+        both = (np.minimum(n[i], k[j]) * weight[x[i]]).sum()
+        likeness = both / ((n * weight[x]).sum() + (k * weight[y]).sum() - both)
+        assert m or likeness < 0.8
+        assert not m or likeness > 0.799
+        seen[m] += 1
+    assert seen[True] > 300 and seen[False] > 300
+
+
+def test_only_links_leave_a_bucket_of_ids_near_the_limit(spark, monkeypatch):
+    # Copies of a text, each edited in its own way: some within the limit, and more of them just beyond it, to the text and to each other.
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    edited = lambda rate: " ".join(f"e{r.randrange(10**6)}" if r.random() < rate else w for w in words)
+    texts = [" ".join(words), *(edited(0.012) for _ in range(60)), *(edited(0.025) for _ in range(100))]
+    asked, made, linked = [], [], near_dedup.linked
+
+    def watched(rows, most, prepare, *more):
+        def counted(ids):
+            detail = prepare(ids)
+            return detail._replace(verify=lambda some: asked.append(some.count()) or made.append((out := detail.verify(some)).count()) or out)
+
+        return linked(rows, most, counted, *more)
+
+    monkeypatch.setattr(near_dedup, "linked", watched)
+    classes = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(_docs(spark, enumerate(texts))).collect()}
+    sets = _shingle_weights(texts)
+    for i in range(len(texts)):  # bands miss few pairs: what is similar to the first text is in its class
+        both = sum(min(sets[0][k], sets[i][k]) for k in sets[0].keys() & sets[i].keys())
+        assert both < 0.8 * (sum(sets[0].values()) + sum(sets[i].values()) - both) or classes[i] == 0
+    assert len(asked) >= 3 and sum(asked[3:]) <= 1.1 * sum(made[3:]) + 2  # the three rounds before are of nearest partners
