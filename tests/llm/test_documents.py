@@ -409,6 +409,16 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_listed_rules_have_the_verdicts_of_the_contract(spark):
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {r.name: r.action for r in url_filter.RULES if r.listed} == rules
+    urls = ["x://a.com/en/1", "x://b.example.com/en/77", "x://net/de/", "x://a.net/de/8", "x://example.net/de/7", "x://a.example.net/de/8a", "x://org/es/", "x://a.net/de/?utm_source=b"]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    verdicts = {x.page_id: (x.rule, x.verdict, x.pattern) for x in got}
+    names = ["com/en/", "example.com/en/7", "net/de/", "net/de/", "net/de/", "example.net/de/8", "org/es/", "net/de/"]
+    assert verdicts == {i: (name, rules[name], None) for i, name in enumerate(names)}
+
+
 def test_literals_come_from_the_pattern():
     tokens = url_filter.required_tokens
     assert tokens(r"/wp-login\.php(?:[?#]|$)") == ("wp", "login", "php") and tokens(r"[?&]add-to-cart=\d+") == ("add", "to", "cart")
