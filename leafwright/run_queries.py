@@ -191,9 +191,13 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("package_id", F.explode("page_links").alias("link")).select("package_id", "link.physical_page", "link.logical_page", t.joined("link.evidence").alias("evidence"))
 
 
+#: Markers of whole numbers: the patterns of the pack take "001 of 90" out of "1001 of 90".
+WHOLE = RULES | {"markers": [m | {"regex": m["regex"].replace("(?P<page>", r"(?<!\d)(?P<page>") + r"(?!\d)"} for m in RULES["markers"]]}
+
+
 def page_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _pages(spark, sf_dir).select("package_id", "page_number", F.concat(F.col("page_number").cast("string"), F.lit(" of 90 mailto://"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(" ")).alias("text"))
-    rows = extract.summary(extract.extract_pages(raw, rules()))
+    rows = extract.summary(extract.extract_pages(raw, compile_rules(WHOLE)))
     return rows.select("package_id", "page_number", "normalized_text_length", "rotation", "image_count", "marker_style", "marker_page", "marker_total", t.joined("identifier_names").alias("identifier_names"))
 
 

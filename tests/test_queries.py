@@ -35,6 +35,22 @@ def test_queries_agree_with_their_sql(spark, tables, name):
     assert sorted(map(_plain, found.select(*columns).collect()), key=repr) == sorted(map(_plain, want), key=repr)
 
 
+def _agrees(spark, folder, name, *used):
+    """The query and its SQL over tables written to ``folder``."""
+    connection = duckdb.connect()
+    for table in used:
+        connection.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    found, sql = queries.queries()[name](spark, str(folder)), queries.oracle_sql()[name]
+    columns = sorted(found.columns)
+    want = connection.sql(f"select {', '.join(columns)} from ({sql})").fetchall()
+    assert sorted(map(_plain, found.select(*columns).collect()), key=repr) == sorted(map(_plain, want), key=repr)
+
+
+def test_page_numbers_of_four_digits_are_no_markers(spark, tmp_path):
+    spark.range(2105).selectExpr("id AS doc_id", "'a' AS text", "'en' AS lang", "'src' AS source", "1L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    _agrees(spark, tmp_path, "page_listing", "documents")
+
+
 def test_tables_go_with_their_scope(spark):
     folder = materialise.shared_dir(spark)
     with materialise.scope() as outer:
