@@ -8,6 +8,7 @@ import os
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 from typing import Annotated, Any
 
 import pandas as pd
@@ -71,10 +72,21 @@ def system_prompt(labels: tuple[str, ...] = LABELS) -> str:
     )
 
 
+def with_excerpts(pages: DataFrame, rules: RulePack, settings: Settings) -> DataFrame:
+    """``excerpt`` in the place of ``text``: masked first, cut afterwards; of a null text it is null."""
+    rows = pages.withColumn("text", masked("text", rules.mask))
+    return rows.withColumn("excerpt", t.truncated(F.col("text"), settings.max_excerpt_chars)).drop("text")
+
+
+def requested(pages: DataFrame) -> DataFrame:
+    """``(package_id, page_number, excerpt, marker_style, marker_hint)`` of pages with excerpts."""
+    return pages.select("package_id", "page_number", "excerpt", "marker_style", t.marker_hint("marker_page", "marker_total").alias("marker_hint"))
+
+
 def requests(pages: DataFrame, rules: RulePack, settings: Settings) -> DataFrame:
-    """``(package_id, page_number, excerpt, marker_style, marker_hint)``: masked first, cut afterwards."""
-    rows = pages.select("package_id", "page_number", masked("text", rules.mask).alias("masked"), "marker_style", t.marker_hint("marker_page", "marker_total").alias("marker_hint"))
-    return rows.select("package_id", "page_number", t.truncated(F.col("masked"), settings.max_excerpt_chars).alias("excerpt"), "marker_style", "marker_hint")
+    """What :func:`requested` gives, from pages with texts."""
+    columns = ("package_id", "page_number", "text", "marker_style", "marker_page", "marker_total")
+    return requested(with_excerpts(pages.select(*columns), rules, settings))
 
 
 def batches(rows: DataFrame, size: int) -> DataFrame:
@@ -91,6 +103,7 @@ def user_prompt(pages: list[dict[str, Any]]) -> str:
     return "\n".join(parts)
 
 
+@lru_cache(maxsize=16)
 def _decision_model(labels: tuple[str, ...]):
     from typing import Literal
 

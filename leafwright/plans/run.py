@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import classify, delegate, extract, group, report
-from .materialise import materialised
+from .materialise import forget, materialised
 from .rulepack import RulePack
 
 
@@ -46,6 +46,20 @@ class RunResult:
         return head | counts | {"llm_call_records": calls, "llm_config": self.settings.as_dict(), "rules_version": self.rules_version, "warnings": list(self.warnings)}
 
 
+def decided(raw: DataFrame, rules: RulePack, strict: bool = False) -> DataFrame:
+    """Pages with what was extracted and what rules decide, and their texts."""
+    return classify.classify(extract.extract_pages(raw, rules, strict), rules)
+
+
+def sendable(pages: DataFrame, rules: RulePack, mode: str, settings: delegate.Settings) -> DataFrame:
+    """Decided pages, written once, with excerpts of those that ``mode`` may send in the place of texts.
+
+    Each branch of a run selects by the rules' decision. Over a plan, such a filter would read the texts and compute all rules anew.
+    """
+    rows = pages if mode == "llm-only" else pages.withColumn("text", F.when(F.col("delegate"), F.col("text")))
+    return materialised(delegate.with_excerpts(rows, rules, settings), "decided")
+
+
 def run(raw: DataFrame, rules: RulePack, mode: str = "rule-only", settings: delegate.Settings | None = None, client: delegate.Client | None = None, strict: bool = False) -> RunResult:
     """Extracts, classifies, delegates as ``mode`` says, and groups.
 
@@ -53,27 +67,44 @@ def run(raw: DataFrame, rules: RulePack, mode: str = "rule-only", settings: dele
     enabled settings it ends like ``rule-only`` with a warning. ``llm-only`` sends every page, and needs enabled settings. Text goes no
     further than classification and masking: results hold none.
     """
+    settings = checked(rules, mode, settings)
+    pages = decided(raw, rules, strict)
+    if mode == "rule-only" or not settings.enabled:
+        return resolve(pages.drop("text"), rules, mode, settings, client)
+    pages = sendable(pages, rules, mode, settings)
+    try:
+        return resolve(pages, rules, mode, settings, client)
+    finally:
+        forget(pages)
+
+
+def checked(rules: RulePack, mode: str, settings: delegate.Settings | None) -> delegate.Settings:
+    """The settings that hold; ValueError for a mode that isn't one, or can't be."""
     settings = settings or delegate.Settings(max_excerpt_chars=rules.excerpt_chars)
     if mode not in schema.MODES:
         raise ValueError(f"Unsupported pipeline mode: {mode!r}")
     if mode == "llm-only" and not settings.enabled:
         raise ValueError("llm-only mode requires an enabled LLM configuration; set LLM_API_KEY, or run rule-only or hybrid")
+    return settings
+
+
+def resolve(pages: DataFrame, rules: RulePack, mode: str, settings: delegate.Settings | None = None, client: delegate.Client | None = None) -> RunResult:
+    """What :func:`run` does after rules have decided: ``pages`` are decided ones without text, those of :func:`sendable` where pages are sent. Nothing that it returns reads them again."""
+    settings = checked(rules, mode, settings)
     labels = tuple(dict.fromkeys((*rules.labels, rules.fallback)))
-    classified = classify.classify(extract.extract_pages(raw, rules, strict), rules)
     targeted = F.lit(True) if mode == "llm-only" else F.col("delegate")
-    classified = classified.withColumn("targeted", targeted)
+    pages = pages.withColumn("targeted", targeted)
+    plain = pages.drop("excerpt")
     calls, warnings = None, ()
     if mode == "rule-only":
-        results = delegate.emit_order(classified.drop("text"), routed=False)
+        results = delegate.emit_order(plain, routed=False)
     elif not settings.enabled:
         warnings = ("LLM_DISABLED",)
-        results = delegate.emit_order(delegate.disabled(classified.drop("text")), routed=True)
+        results = delegate.emit_order(delegate.disabled(plain), routed=True)
     else:
-        sent = classified.where("targeted")
-        asked = delegate.batches(delegate.requests(sent, rules, settings), settings.batch_size)
+        asked = delegate.batches(delegate.requested(pages.where("targeted")), settings.batch_size)
         answered = delegate.answers(asked, client or delegate.openai_client, settings, labels)
         calls = delegate.call_records(answered)
-        plain = classified.drop("text")
         results = plain.where("not targeted").unionByName(delegate.resolved(plain.where("targeted"), answered))
         results = delegate.emit_order(results, routed=mode == "hybrid")
     # Four outputs derive from these rows; a row that breaks an invariant fails the job that would give it out.

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions import masking, text as t
 from .operators import classify, delegate, evaluate, extract, group, report
-from .plans.materialise import shared_dir
+from .plans.materialise import forget, shared_dir
 from .plans.rulepack import compile_rules, load_rules
-from .plans.run import run
+from .plans.run import decided, resolve, sendable
 from .queries import _CUT, _DELEGATE_SQL, _LABELS, _LAST, _METRICS_SQL, _ORDER_PAGES_SQL, _PAGES_SQL, _RANKED_SQL, _RUNS_SQL, _WINDOW_SQL, _NUMBERED, LANGS, REGISTERED as _BASE, RULES, _documents, _order_pages, _pages, _pairs, _table, rules
 from .sources import truth
 
@@ -141,11 +141,14 @@ def run_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run in its three modes, and in hybrid mode without a classifier."""
     raw = _pages(spark, sf_dir).select("package_id", "page_number", "text", F.lit(0).alias("rotation"), F.lit(0).alias("image_count"))
     on = delegate.Settings(enabled=True, batch_size=10, max_retries=0, max_excerpt_chars=300)
-    out = None
-    for name, mode, settings in (("rule-only", "rule-only", None), ("hybrid", "hybrid", on), ("llm-only", "llm-only", on), ("disabled", "hybrid", None)):
-        rows = run(raw, rules(), mode, settings, _decide).page_results
-        rows = rows.select(F.lit(name).alias("mode"), "package_id", "page_number", "emit_order", "doc_type", "decision_source", t.truth_value("llm_called").alias("llm_called"), t.truth_value(F.array_contains("warnings", "LLM_DISABLED")).alias("unsent"))
-        out = rows if out is None else out.unionByName(rows)
+    pages, out = sendable(decided(raw, rules()), rules(), "llm-only", on), None  # whose excerpts serve all modes
+    try:
+        for name, mode, settings in (("rule-only", "rule-only", None), ("hybrid", "hybrid", on), ("llm-only", "llm-only", on), ("disabled", "hybrid", None)):
+            rows = resolve(pages, rules(), mode, settings, _decide).page_results
+            rows = rows.select(F.lit(name).alias("mode"), "package_id", "page_number", "emit_order", "doc_type", "decision_source", t.truth_value("llm_called").alias("llm_called"), t.truth_value(F.array_contains("warnings", "LLM_DISABLED")).alias("unsent"))
+            out = rows if out is None else out.unionByName(rows)
+    finally:
+        forget(pages)
     return out
 
 

@@ -3,9 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from leafwright import schema
+from leafwright import run_queries, schema
 from leafwright.operators import delegate, evaluate, report
-from leafwright.plans import cli
+from leafwright.plans import cli, materialise, run as runs
 from leafwright.plans.rulepack import load_rules
 from leafwright.plans.run import run
 from leafwright.sources import pages, settings, sinks, truth
@@ -85,6 +85,49 @@ def test_hybrid_sends_masked_pages_once(spark, tmp_path):
     assert [(c.requested_page_ids, c.returned_page_ids, c.succeeded, c.attempt_count) for c in calls] == [([2, 4], [2, 4], True, 1), ([5], [5], True, 1)]
 
 
+def _counting(rows, counter):
+    """The same rows, counted each time that they are made."""
+
+    def count(batches):
+        for batch in batches:
+            counter.add(len(batch))
+            yield batch
+
+    return rows.mapInPandas(count, rows.schema)
+
+
+def _client():
+    def answer(prompt, user, settings):
+        ids = [int(line.split(": ")[1]) for line in user.splitlines() if line.startswith("page_id: ")]
+        return {"decisions": [{"page_id": i, "doc_type": "OTHER", "confidence": 0.5, "evidence": ""} for i in ids]}
+
+    return answer
+
+
+@pytest.mark.parametrize("mode", schema.MODES)
+def test_texts_are_read_once_a_run(spark, mode):
+    read = spark.sparkContext.accumulator(0)
+    assert run(_counting(_raw(spark), read), RULES, mode, ON, _client()).page_results.count() == len(ROWS)
+    assert read.value == len(ROWS)
+
+
+def test_texts_are_read_once_for_all_modes(spark, monkeypatch):
+    read, given = spark.sparkContext.accumulator(0), run_queries._pages
+    monkeypatch.setattr(run_queries, "_pages", lambda *args: _counting(given(*args), read))
+    found = run_queries.run_modes(spark, "/root/testdata/sf0.001")
+    assert found.count() == 4 * read.value
+
+
+def test_decided_pages_go_and_hold_no_text(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(runs, "forget", lambda *tables: kept.extend(tables))
+    run(_raw(spark), RULES, "hybrid", ON, _client())
+    [table] = kept
+    assert "text" not in table.columns and "123-45-6789" not in str(table.collect())
+    assert {r.page_number: r.excerpt is not None for r in table.collect()} == {r.page_number: r.delegate for r in table.collect()}
+    materialise.forget(table)
+
+
 def test_failing_calls_fall_back(spark):
     def client(prompt, user, config):
         raise TimeoutError
