@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from leafwright import queries
 from leafwright.functions import masking
@@ -105,6 +106,20 @@ def test_names_beside_labels(text, masked):
     assert masking.mask(text, load_rules().mask) == masked
 
 
+def test_masking_is_dealt_to_all_cores(spark):
+    rows = queries.queries()["masked_personal"](spark, SF).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(rows) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in rows) <= 2 * sum(r["count"] for r in rows) / len(rows) + 10
+
+
+def test_amounts_are_sought_only_where_something_hits(monkeypatch):
+    sought, given = [], masking.MaskPolicy.spared
+    monkeypatch.setattr(masking.MaskPolicy, "spared", lambda policy, text: sought.append(text) or given(policy, text))
+    policy = load_rules().mask
+    assert masking.mask("Paid $1,234.56 to the bank", policy) == "Paid $1,234.56 to the bank" and not sought
+    text = "SSN 123-45-6789, $123-45-6789 and 123-45-6789 of Ann"
+    assert masking.mask(text, policy) == "SSN [SSN], $123-45-6789 and [SSN] of Ann" and sought == [text]
+
+
 @pytest.mark.parametrize(("pattern", "around"), [(r"Page\s+(\d{1,3})", False), (r"\bPage", True), (r"(?<!x)a", True), (r"a(?=b)", True), (r"^a", True), (r"a$", True), (r"[$^]\$\^(?P<n>a)(?:b)", False), (r"a\\b", False), (r"[\b]x", False)])
 def test_patterns_that_look_around(pattern, around):
     assert java_pattern(pattern).looks_around == around
